@@ -9,7 +9,8 @@ sketches' XOR estimates how many samples differ, and a pair estimated well below
 Links are found in rounds. In a bucket's first round each member is held against the bucket's centre alone, so that a
 group of m near copies costs m pairs and not m * m. Confirmed links join classes into components. In the next round a
 pair of one bucket counts only if its two classes are in different components; a link within one adds nothing. All
-such pairs are confirmed or refused on their full sets, so that no link between components is lost.
+such pairs that a lossless bound on plain bitmaps lets through are confirmed or refused on their full sets, so that no
+link between components is lost.
 
 Cases: null and empty texts and texts of white space have an empty set and stand alone; fewer than five words make one
 shingle; equal rows are in one component; null document ids form no component but come back with nulls; an empty table
@@ -22,14 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelry.llm.components import components
 from voxelry.llm.shared import materialize
 from voxelry.llm.text import Words, slices, split_words, texts_of, word_hashes
 
-SHINGLE, ROWS, BANDS, BITS, THRESHOLD = 5, 6, 64, 1024, 0.75
+SHINGLE, ROWS, BANDS, BITS, PLACES, THRESHOLD = 5, 6, 64, 1024, 2048, 0.75
 SAMPLES = ROWS * BANDS
 #: Pairs whose sketches estimate a similarity below this are refused: about six standard deviations under 0.75.
 SIEVE = 0.60
@@ -93,7 +94,25 @@ def most_ones(similarity: float) -> int:
     return int(BITS / 2 * (1 - np.exp(-4 * SAMPLES * (1 - similarity) / BITS)))
 
 
-SKETCHES = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, odd array<long>"
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """``PLACES`` bits as int64 words: those that the set's hashes name."""
+    bits = np.zeros(PLACES, np.uint8)
+    bits[(s % np.uint64(PLACES)).astype(np.int64)] = 1
+    return np.packbits(bits).view("<i8")
+
+
+def may_link(n_a: str, n_b: str, bits_a: str, bits_b: str) -> Column:
+    """Whether two sets can have the threshold's similarity: a bound that no pair above it fails.
+
+    Each bit of one bitmap that the other lacks stands for a shingle of one set, at least, that the other lacks.
+    """
+    lack = lambda x, y: sum((F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(PLACES // 64)), F.lit(0))
+    most = F.least(F.col(n_a) - lack(bits_a, bits_b), F.col(n_b) - lack(bits_b, bits_a))
+    percent = int(100 * THRESHOLD)
+    return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (100 * most >= percent * (F.col(n_a) + F.col(n_b) - most))
+
+
+SKETCHES = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, odd array<long>, bits array<long>"
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -103,25 +122,26 @@ def sketches(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = texts_of(batch)
             for a, b in slices(texts):
-                n, prints, bands, odd = [], [], [], []
+                n, prints, bands, odd, bits = [], [], [], [], []
                 last: dict[bytes, tuple] = {}
                 for s in shingle_sets(split_words(texts.slice(a, b - a), lower=True)):
                     n.append(len(s))
                     print_ = xxhash.xxh3_128_digest(s.tobytes())
                     prints.append(print_)
                     if not len(s):
-                        bands.append(None), odd.append(None)
+                        bands.append(None), odd.append(None), bits.append(None)
                         continue
                     if print_ not in last:
                         low = samples(s)
-                        last[print_] = band_keys(low), odd_sketch(low)
-                    x, y = last[print_]
-                    bands.append(x), odd.append(y)
+                        last[print_] = band_keys(low), odd_sketch(low), bitmap(s)
+                    x, y, z = last[print_]
+                    bands.append(x), odd.append(y), bits.append(z)
                 two = np.frombuffer(b"".join(prints), "<i8").reshape(-1, 2)
                 yield pa.record_batch({
                     "doc_id": batch.column("doc_id").slice(a, b - a), "n_shingles": pa.array(n, pa.int64()),
                     "set_a": pa.array(two[:, 0]), "set_b": pa.array(two[:, 1]),
                     "bands": pa.array(bands, pa.list_(pa.int64())), "odd": pa.array(odd, pa.list_(pa.int64())),
+                    "bits": pa.array(bits, pa.list_(pa.int64())),
                 })
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, SKETCHES)
@@ -160,7 +180,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = materialize(sketches(docs), "sketches")
     known = rows.filter("doc_id is not null and n_shingles > 0")
     of_class = known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id"))
-    classes = materialize(known.join(of_class, ["set_a", "set_b"]).filter("doc_id = class_id").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "bands", "odd"), "classes")
+    classes = materialize(known.join(of_class, ["set_a", "set_b"]).filter("doc_id = class_id").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "bands", "odd", "bits"), "classes")
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts.join(classes.select("doc_id"), "doc_id", "left_semi")
 
@@ -183,7 +203,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             pairs = materialize(pairs, "pairs-2")
             tried = tried.unionByName(pairs)
         else:
-            pairs = across(bucket_pairs(buckets, label), None)
+            pairs = across(bucket_pairs(buckets, label, classes), None)
             pairs = materialize(sieved(pairs.join(tried, ["a", "b"], "left_anti"), classes).select("a", "b"), "pairs-3")
         links = materialize(links.unionByName(confirmed(pairs, texts)), f"links-{k}")
     label = materialize(components(links), "labels")
@@ -202,13 +222,18 @@ def across(pairs: DataFrame, label: DataFrame | None) -> DataFrame:
     return pairs.filter("ca <> cb").select("a", "b").distinct()
 
 
-def bucket_pairs(buckets: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket in different components, from the buckets that hold two components at least."""
+def bucket_pairs(buckets: DataFrame, label: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of members of one bucket in different components, from the buckets that hold two components at least.
+
+    In a large group of near copies some members are linked with none, each just below the threshold with all the rest;
+    ``may_link`` stands in the join, so that such pairs are refused where they meet and never become rows.
+    """
     m = buckets.join(label.toDF("doc_id", "c"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
     split = m.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("bucket")
-    m = materialize(m.join(split, "bucket").select("bucket", "doc_id", "c"), "split-buckets")
-    x, y = m.toDF("bucket", "a", "ca"), m.toDF("bucket", "b", "cb")
-    return x.join(y, "bucket").filter("a < b and ca <> cb")
+    m = m.join(split, "bucket").join(classes.select("doc_id", "n_shingles", "bits"), "doc_id").select("bucket", "doc_id", "c", "n_shingles", "bits")
+    m = materialize(m, "split-buckets")
+    x, y = m.toDF("bucket", "a", "ca", "n_a", "bits_a"), m.toDF("bucket", "b", "cb", "n_b", "bits_b")
+    return x.join(y, (x.bucket == y.bucket) & (x.a < y.b) & (x.ca != y.cb) & may_link("n_a", "n_b", "bits_a", "bits_b")).select("a", "b", "ca", "cb")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
