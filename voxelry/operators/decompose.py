@@ -84,8 +84,9 @@ def inject(voxels: DataFrame, k: int, delta: int = 1, l_inf: int = 0, max_rounds
     field, rounds = checkpointed(round_zero(voxels, parts, l_inf), "round-0"), 0
     own = with_halo(voxels, parts)
     for rounds in range(1, max_rounds + 1):
-        both = own.groupBy("vol_id", "k").cogroup(pins_of(field, parts).groupBy("vol_id", "k"))
-        new = checkpointed(both.applyInPandas(lambda a, b: slab_field(a, b, l_inf) if len(a) else pd.DataFrame(columns=[c.split()[0] for c in FIELD.split(", ")]), FIELD), f"round-{rounds}")
+        pins = pins_of(field, parts).toDF("pin_vol", "pin_k", "ex", "ey", "ez", "u")
+        both = own.groupBy("vol_id", "k").cogroup(pins.groupBy("pin_vol", "pin_k"))
+        new = checkpointed(both.applyInPandas(lambda a, b: slab_field(a, b, l_inf), FIELD), f"round-{rounds}")
         keys = [*VOLUME, "ex", "ey", "ez"]
         change = new.join(field.withColumnRenamed("u", "before"), keys).agg(F.max(F.abs(F.col("u") - F.col("before")))).first()[0] or 0
         field = new

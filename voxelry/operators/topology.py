@@ -72,16 +72,25 @@ def label(points: np.ndarray, steps: list[tuple[int, int, int]]) -> np.ndarray:
     return root
 
 
-def components(mask: DataFrame, keys: list[str], connectivity: int, names: tuple[str, str, str] = ("ex", "ey", "ez")) -> DataFrame:
-    """Per key the number of components b0 of the points of ``mask``; a key's points are one group."""
-    steps = half_steps(connectivity)
-    schema = ", ".join(f"{k} {mask.schema[k].dataType.simpleString()}" for k in keys) + ", b0 long"
+def components(mask: DataFrame, keys: list[str], connectivity: int | dict[str, int], names: tuple[str, str, str] = ("ex", "ey", "ez")) -> DataFrame:
+    """Per key the number of components of the points of ``mask``: b0, or a column for each named connectivity.
+
+    The first key's points are one task's group, and all its other keys are labelled at once, side by side.
+    """
+    wanted = {"b0": connectivity} if isinstance(connectivity, int) else connectivity
+    schema = ", ".join(f"{k} {mask.schema[k].dataType.simpleString()}" for k in keys) + "".join(f", {c} long" for c in wanted)
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        root = label(pdf[list(names)].to_numpy(), steps)
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), int((root == np.arange(len(root))).sum())]], columns=[*keys, "b0"])
+        code, groups = pd.factorize(pd.MultiIndex.from_frame(pdf[keys]))
+        points = pdf[list(names)].to_numpy().astype(np.int64)
+        points[:, 0] += code * (np.ptp(points[:, 0]) + 2)
+        out = pd.DataFrame(list(groups), columns=keys)
+        for name, c in wanted.items():
+            root = label(points, half_steps(c))
+            out[name] = np.bincount(code[root == np.arange(len(root))], minlength=len(groups))
+        return out
 
-    return mask.select(*keys, *names).groupBy(*keys).applyInPandas(count, schema)
+    return mask.select(*keys, *names).groupBy(keys[0]).applyInPandas(count, schema)
 
 
 def large_components(mask: DataFrame, connectivity: int, names: tuple[str, str, str] = ("ex", "ey", "ez"), sizes: tuple[Column, Column, Column] | None = None, rounds: int = 60) -> DataFrame:
@@ -129,7 +138,7 @@ def counts(field: DataFrame, thresholds: list[float], flat: bool = False, keys:
     mask = thresholded(field, thresholds)
     by = [*keys, "thr"]
     every = field.select(*keys).distinct().withColumn("thr", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
-    out = every.join(components(mask, by, low).withColumnRenamed("b0", "b0_low"), by, "left").join(components(mask, by, high).withColumnRenamed("b0", "b0_high"), by, "left").join(euler(mask, by, flat=flat), by, "left")
+    out = every.join(components(mask, by, {"b0_low": low, "b0_high": high}), by, "left").join(euler(mask, by, flat=flat), by, "left")
     return out.na.fill(0, ["b0_low", "b0_high", "chi"])
 
 
