@@ -36,7 +36,8 @@ def quantised(value: Column, low: float, width: float, top: int = 255) -> Column
 
 def wilson(successes: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Wilson score interval of a share; 0 and 0 for no trials."""
-    p, n = successes / F.nullif(n, F.lit(0)), n.cast("double")
+    n = F.nullif(n, F.lit(0)).cast("double")
+    p = successes / n
     middle = (p + z * z / (2 * n)) / (1 + z * z / n)
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
     return F.coalesce(F.greatest(middle - half, F.lit(0.0)), F.lit(0.0)), F.coalesce(F.least(middle + half, F.lit(1.0)), F.lit(0.0))
