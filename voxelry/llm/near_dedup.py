@@ -106,10 +106,12 @@ def may_link(n_a: str, n_b: str, bits_a: str, bits_b: str) -> Column:
 
     Each bit of one bitmap that the other lacks stands for a shingle of one set, at least, that the other lacks.
     """
-    lack = lambda x, y: sum((F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(PLACES // 64)), F.lit(0))
-    most = F.least(F.col(n_a) - lack(bits_a, bits_b), F.col(n_b) - lack(bits_b, bits_a))
+    lack = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda t, n: t + n)
     percent = int(100 * THRESHOLD)
-    return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (100 * most >= percent * (F.col(n_a) + F.col(n_b) - most))
+    # with m shingles in common at most, the union has n_a + n_b - m at least
+    enough = lambda m: 100 * m >= percent * (F.col(n_a) + F.col(n_b) - m)
+    sizes = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
+    return sizes & enough(F.col(n_a) - lack(bits_a, bits_b)) & enough(F.col(n_b) - lack(bits_b, bits_a))
 
 
 SKETCHES = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, odd array<long>, bits array<long>"
@@ -193,20 +195,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # round 1: each class with its nearest candidate; round 2: the other star pairs between components; round 3: all
     ends = star.select(F.col("a").alias("v"), "a", "b", "ones").unionByName(star.select(F.col("b").alias("v"), "a", "b", "ones"))
-    near = ends.groupBy("v").agg(F.min_by(F.struct("a", "b"), F.struct("ones", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    links = materialize(confirmed(near, texts), "links-1")
-    tried = near
-    for k in (2, 3):
-        label = materialize(components(links), f"labels-{k}")  # vertices that have a link: id, component
-        if k == 2:
-            pairs = across(star, label).select("a", "b").join(tried, ["a", "b"], "left_anti")
-            pairs = materialize(pairs, "pairs-2")
-            tried = tried.unionByName(pairs)
-        else:
-            pairs = across(bucket_pairs(buckets, label, classes), None)
-            pairs = materialize(sieved(pairs.join(tried, ["a", "b"], "left_anti"), classes).select("a", "b"), "pairs-3")
-        links = materialize(links.unionByName(confirmed(pairs, texts)), f"links-{k}")
-    label = materialize(components(links), "labels")
+    near = materialize(ends.groupBy("v").agg(F.min_by(F.struct("a", "b"), F.struct("ones", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "pairs-1")
+    label = materialize(components(confirmed(near, texts)), "labels-1")  # classes that have a link: id, component
+    pairs = materialize(across(star, label).join(near, ["a", "b"], "left_anti"), "pairs-2")
+    label = materialize(components(confirmed(pairs, texts), label), "labels-2")
+    tried = near.unionByName(pairs)
+    pairs = bucket_pairs(buckets, label, classes).distinct().join(tried, ["a", "b"], "left_anti")
+    pairs = materialize(sieved(pairs, classes).select("a", "b"), "pairs-3")
+    label = materialize(components(confirmed(pairs, texts), label), "labels-3")
     best = of_class.join(label.toDF("class_id", "component_id"), "class_id", "left").select("set_a", "set_b", F.coalesce("component_id", "class_id").alias("component_id"))
     out = rows.join(best, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
@@ -214,12 +210,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def across(pairs: DataFrame, label: DataFrame | None) -> DataFrame:
+def across(pairs: DataFrame, label: DataFrame) -> DataFrame:
     """Pairs whose ends are in different components; an end without a label is its own."""
-    if label is not None:
-        pairs = pairs.join(label.toDF("a", "ca"), "a", "left").join(label.toDF("b", "cb"), "b", "left")
-        pairs = pairs.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b"))
-    return pairs.filter("ca <> cb").select("a", "b").distinct()
+    both = pairs.join(label.toDF("a", "ca"), "a", "left").join(label.toDF("b", "cb"), "b", "left")
+    return both.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
 def bucket_pairs(buckets: DataFrame, label: DataFrame, classes: DataFrame) -> DataFrame:
@@ -233,7 +227,7 @@ def bucket_pairs(buckets: DataFrame, label: DataFrame, classes: DataFrame) -> Da
     m = m.join(split, "bucket").join(classes.select("doc_id", "n_shingles", "bits"), "doc_id").select("bucket", "doc_id", "c", "n_shingles", "bits")
     m = materialize(m, "split-buckets")
     x, y = m.toDF("bucket", "a", "ca", "n_a", "bits_a"), m.toDF("bucket", "b", "cb", "n_b", "bits_b")
-    return x.join(y, (x.bucket == y.bucket) & (x.a < y.b) & (x.ca != y.cb) & may_link("n_a", "n_b", "bits_a", "bits_b")).select("a", "b", "ca", "cb")
+    return x.join(y, (x.bucket == y.bucket) & (x.a < y.b) & (x.ca != y.cb) & may_link("n_a", "n_b", "bits_a", "bits_b")).select("a", "b")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
