@@ -96,7 +96,7 @@ def language_id(docs: DataFrame, text: str = "text", declared: str | None = "lan
                 bucket, row = trigrams(texts.slice(a, b - a))
                 n = np.bincount(row, minlength=b - a)
                 sums = np.column_stack([np.bincount(row, weights=t[bucket], minlength=b - a) for t in table])
-                sums *= np.minimum(1, EVIDENCE / np.maximum(n, 1))[:, None]
+                sums = sums * np.minimum(1, EVIDENCE / np.maximum(n, 1))[:, None]
                 best = np.where(n > 0, sums.argmax(axis=1), width - 1)
                 part = batch.slice(a, b - a)
                 yield pa.record_batch({c: part.column(c) for c in ("key", "said", "host")} | {"n": pa.array(n), "best": pa.array(best), "scores": pa.array(list(sums), pa.list_(pa.float64()))})
