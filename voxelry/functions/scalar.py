@@ -40,7 +40,7 @@ def wilson(successes: Column, n: Column, z: float = 1.96) -> tuple[Column, Colum
     p = successes / n
     middle = (p + z * z / (2 * n)) / (1 + z * z / n)
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
-    return F.coalesce(F.greatest(middle - half, F.lit(0.0)), F.lit(0.0)), F.coalesce(F.least(middle + half, F.lit(1.0)), F.lit(0.0))
+    return F.when(p.isNull(), 0.0).otherwise(F.greatest(middle - half, F.lit(0.0))), F.when(p.isNull(), 0.0).otherwise(F.least(middle + half, F.lit(1.0)))
 
 
 def cells_of(w: Column, h: Column, d: Column) -> Column:
