@@ -115,8 +115,12 @@ def plan(counts: np.ndarray, window: int) -> list[tuple[tuple[int, ...], int]]:
     return found
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, buckets: int = 256) -> DataFrame:
-    """Pieces of ``docs`` (doc_id, text) with their sequence_id and offset; ``buckets`` splits the count of ranks."""
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, buckets: int | None = None) -> DataFrame:
+    """Pieces of ``docs`` (doc_id, text) with their sequence_id and offset.
+
+    ``buckets`` splits the count of ranks within a length; by default there are four for each shuffle partition.
+    """
+    buckets = buckets or max(256, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     pieces = materialize(cut(docs, tokenizer, end_id, window), "pieces")
     rests = pieces.filter(F.col("length") < window).withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "ids_crc32", "start"), F.lit(buckets)))
     per = rests.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
