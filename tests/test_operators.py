@@ -78,6 +78,17 @@ def test_checkerboard_violates(voxels):
     assert verify.violating_cells(board, flat=True, most=3).count() == 3
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_small_and_large_grids_close_alike(seed):
+    rng = np.random.default_rng(seed)
+    v = rng.integers(0, (2, 20, 256)[seed % 3], (4, 3, 5))
+    low, high = propagate.dense_span(v)
+    seeds = None
+    if seed > 2:
+        seeds = np.where(rng.random(low.shape) < 0.1, rng.integers(low, high + 1), -1)
+    assert (propagate.close_levels(low, high, 7, seeds) == propagate.close_levels(low, high, 7, seeds, small=0)).all()
+
+
 def test_determinism(voxels):
     df = voxels(v0=noise((4, 4, 4), 9))
     assert (dense(propagate.propagated(df)) == dense(propagate.propagated(df))).all()

@@ -7,6 +7,8 @@ that do not. Order within a level does not matter, so a level closes as a set of
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,15 +39,61 @@ def dense_span(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, high
 
 
-def close_levels(low: np.ndarray, high: np.ndarray, l_inf: int, seeds: np.ndarray | None = None) -> np.ndarray:
+@functools.lru_cache(maxsize=16)
+def adjacent(shape: tuple[int, int, int]) -> list[list[int]]:
+    """The up to six neighbours of each cell of a small grid, by flat index."""
+    index = np.arange(int(np.prod(shape))).reshape(shape)
+    near: list[list[int]] = [[] for _ in range(index.size)]
+    for axis in range(3):
+        a, b = (index.take(range(s, shape[axis] - 1 + s), axis).ravel().tolist() for s in (0, 1))
+        for x, y in zip(a, b, strict=True):
+            near[x].append(y)
+            near[y].append(x)
+    return near
+
+
+def close_small(low: np.ndarray, high: np.ndarray, l_inf: int, seeds: np.ndarray | None, shape: tuple[int, int, int]) -> np.ndarray:
+    """``close_levels`` cell by cell, over the padded grid."""
+    pad = lambda a, v: np.pad(a.astype(np.int64), 1, constant_values=v).ravel().tolist()
+    lo, hi, near = pad(low, l_inf), pad(high, l_inf), adjacent(shape)
+    out, reached = [0] * len(lo), bytearray(len(lo))
+    waiting: dict[int, list[int]] = {l_inf: [0]}
+    reached[0] = 1
+    for c, v in enumerate(pad(seeds, -1) if seeds is not None else ()):
+        if v >= 0:
+            reached[c] = 1
+            waiting.setdefault(v, []).append(c)
+    level = l_inf
+    while waiting:
+        if level not in waiting:
+            level = min(waiting, key=lambda x: (abs(x - level), -x))
+        stack = waiting.pop(level)
+        while stack:
+            c = stack.pop()
+            out[c] = level
+            for n in near[c]:
+                if not reached[n]:
+                    reached[n] = 1
+                    at = lo[n] if level < lo[n] else hi[n] if level > hi[n] else level
+                    if at == level:
+                        stack.append(n)
+                    else:
+                        waiting.setdefault(at, []).append(n)
+    return np.array(out).reshape(shape)
+
+
+def close_levels(low: np.ndarray, high: np.ndarray, l_inf: int, seeds: np.ndarray | None = None, small: int = 4096) -> np.ndarray:
     """The field over cells with intervals [low, high], entered from a border at ``l_inf``.
 
     A cell waits at the level of the front that first reaches it, snapped to its interval. The front closes all that
     waits at its level, then goes on to the nearest level at which cells wait, the upper of two. ``seeds`` (below 0:
-    none) are cells that wait at given levels from the start.
+    none) are cells that wait at given levels from the start. Grids of at most ``small`` cells go cell by cell, as an
+    array operation costs more than a level's few cells there.
     """
     shape = tuple(n + 2 for n in low.shape)
     inner = tuple(slice(1, -1) for _ in shape)
+    if low.size <= small:
+        return close_small(low, high, l_inf, seeds, shape)[inner]
     lo, hi = np.full(shape, l_inf, np.int64), np.full(shape, l_inf, np.int64)
     lo[inner], hi[inner] = low, high
     lo, hi = lo.ravel(), hi.ravel()
