@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelry.llm.shared import materialize
-from voxelry.llm.text import slices, texts_of, word_encoder
+from voxelry.llm.text import TOKEN_BYTES, slices, texts_of, word_encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -33,7 +33,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> DataFrame:
         encoder = word_encoder(tokenizer)
         for batch in batches:
             texts = texts_of(batch)
-            for a, b in slices(texts):
+            for a, b in slices(texts, TOKEN_BYTES):
                 ids, starts = encoder.ids(texts.slice(a, b - a), end_id)
                 sizes = np.diff(starts)
                 n = -(-sizes // window)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelry.llm.shared import shared_dir
-from voxelry.llm.text import slices, texts_of, word_encoder
+from voxelry.llm.text import TOKEN_BYTES, slices, texts_of, word_encoder
 
 WRITTEN = "shard int, n_docs long, n_tokens long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -53,7 +53,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocab_
         tmp = f"{root}/_attempt-{attempt}-{shard_name(shard)}"
         for batch in batches:
             texts = texts_of(batch)
-            for a, b in slices(texts):
+            for a, b in slices(texts, TOKEN_BYTES):
                 tokens, starts = encoder.ids(texts.slice(a, b - a), end_id)
                 if stream is None:
                     store.create_dir(root, recursive=True)
