@@ -117,7 +117,7 @@ def test_percentile_normalisation(voxels):
 
 
 def test_methods_by_name(voxels):
-    assert interpolate.method("seq_fp")(voxels(v0=GOLDEN)).count() == 25
+    assert interpolate.method("field_zero")(voxels(v0=GOLDEN)).count() == 25
     with pytest.raises(ValueError):
         interpolate.method("none")
 

@@ -116,10 +116,10 @@ def label_upsampled(voxels: DataFrame) -> DataFrame:
 
 #: The four methods by name; each maps voxels to a field (CELL, u).
 METHODS = {
-    "no_interp": nearest,
-    "naive_interp": linear,
-    "ddfp": lambda v: field_2d(v, "border_median"),
-    "seq_fp": lambda v: field_2d(v, "zero"),
+    "nearest": nearest,
+    "linear": linear,
+    "field_border": lambda v: field_2d(v, "border_median"),
+    "field_zero": lambda v: field_2d(v, "zero"),
 }
 
 

@@ -292,7 +292,7 @@ def is_binary(spark, sf_dir):
 def topology_rows(spark, sf_dir):
     """One row for each image and method, with every topology metric."""
     masks = emb(spark, sf_dir, 2).withColumn("v", (F.col("v") > 127).cast("int"))
-    return experiments.topology_rows(masks, ["no_interp", "naive_interp", "ddfp", "seq_fp"], NINE)
+    return experiments.topology_rows(masks, ["nearest", "linear", "field_border", "field_zero"], NINE)
 
 
 # --- labels, tiles, slabs
