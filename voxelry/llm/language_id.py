@@ -29,6 +29,8 @@ from voxelry.llm.shared import materialize
 from voxelry.llm.text import slices, texts_of
 
 BUCKETS, TRAIN_ROWS, EVIDENCE, K, CONFIDENCE = 1 << 16, 2000, 200, 20.0, 0.5
+#: Bytes of text whose trigrams are in memory at once.
+SLICE = 2 << 20
 #: Languages that are told apart at most; the most declared ones.
 LANGUAGES = 200
 _letter = np.full(256, 32, np.uint8)
@@ -59,7 +61,7 @@ def fit(rows: DataFrame, languages: list[str]) -> np.ndarray:
         for batch in batches:
             texts = texts_of(batch)
             codes = batch.column("k").to_numpy(zero_copy_only=False)
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 bucket, row = trigrams(texts.slice(a, b - a))
                 keys, n = np.unique(codes[a:b][row] * BUCKETS + bucket, return_counts=True)
                 yield pa.record_batch({"key": pa.array(keys.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
@@ -92,7 +94,7 @@ def language_id(docs: DataFrame, text: str = "text", declared: str | None = "lan
         table = shared.value
         for batch in batches:
             texts = texts_of(batch)
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 bucket, row = trigrams(texts.slice(a, b - a))
                 n = np.bincount(row, minlength=b - a)
                 sums = np.column_stack([np.bincount(row, weights=t[bucket], minlength=b - a) for t in table])
