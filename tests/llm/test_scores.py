@@ -102,6 +102,17 @@ def test_depth_gives_way_to_the_bound(spark):
     assert deep.depth == 5
 
 
+@pytest.mark.parametrize("costs", [0, 300, 1_000_000])
+def test_depth_is_the_same_at_every_size(spark, costs):
+    texts = [r.text[:300] for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(28).collect()] + ["", "é x é y"]
+    ids = list(range(len(texts)))
+    training = [t.translate(A_Z) for t, h in zip(texts, lm_scoring.is_held_out(ids)) if not h]
+    rows = lm_scoring.scores(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string"), costs=costs).collect()
+    assert sorted(r.doc_id for r in rows) == ids and {r.held_out for r in rows} == {True, False}
+    for r in rows:
+        assert math.isclose(r.score, ppm_by_hand(training, texts[r.doc_id].translate(A_Z), lm_scoring.DEPTH), rel_tol=1e-5)
+
+
 def test_all_documents_are_scored(spark):
     rows = op2_lm_scoring(spark, SF).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

@@ -7,11 +7,12 @@ are excluded from the counts of the shorter ones. Texts are lower-cased (A-Z), b
 which no UTF-8 text holds, and end with one ``MARK``.
 
 What is gathered from the corpus: counts of all words and of all byte runs of ``depth + 1``, both summed within tasks
-first. Since a byte's cost depends on its ``depth`` predecessors alone, the trie becomes one table from runs to costs.
-It is broadcast, so its depth is the largest, up to ``DEPTH``, at which the training texts have at most ``NODES``
-distinct runs; runs of two bytes are at most 65,536, so some depth always fits. Runs that training never saw are costed
-from the same trie where they occur. The word counts of the base score are not bounded, so only the most
-frequent words, ``FREQUENT`` at most, are broadcast; all others are looked up by a join on the word's hash and summed by document.
+first. Since a byte's cost depends on its ``depth`` predecessors alone, the trie becomes one table from runs to costs,
+for the runs of all documents, seen in training or not. The depth is the same at every size: orders up to ``LOW`` are
+gathered and broadcast (runs of three bytes, bounded by the alphabet), and a cost of a higher order needs only runs that
+share the ``LOW + 1`` bytes before the last, so the table is costed in groups of those. Neither costs nor word counts
+are bounded, so only the most frequent runs and words, ``COSTS`` and ``FREQUENT`` at most, are broadcast; all others are
+looked up by a join on the run or on the word's hash and summed by document.
 
 Cases: null and empty texts are one end token; white space alone too; equal rows score alike, each its own row; null
 document ids count as the empty string in the split; an empty table gives no rows; other columns are left out.
@@ -33,6 +34,8 @@ from voxelry.llm.shared import materialize
 from voxelry.llm.text import slices, split_words, texts_of, word_hashes
 
 DEPTH, NODES, FREQUENT, MARK = 5, 6_000_000, 1 << 17, 0xFF
+#: The highest order that is broadcast whole, the runs whose costs are broadcast at most, and those costed at once.
+LOW, COSTS, GROUP = 2, 2_000_000, 200_000
 #: Bytes of text whose runs are in memory at once.
 RUN_BYTES = 2 << 20
 
@@ -65,34 +68,47 @@ def run_counts(texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n, first)
 
 
-COUNTS = "kind int, key long, n long"
+COUNTS = "kind int, key long, n long, m long"
 
 
 def counts(docs: DataFrame, depth: int) -> DataFrame:
-    """Counts over the training documents: kind 0 of word hashes, kind 1 of byte runs, kind 2 of documents."""
+    """Counts over the training documents (n) and all documents (m): kind 0 of word hashes and kind 2 of documents, of
+    training only, kind 1 of byte runs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = texts_of(batch).filter(pa.array(~is_held_out(batch.column("doc_id").to_pylist())))
-            for a, b in slices(texts):
-                part = texts.slice(a, b - a)
-                words = split_words(part, lower=True)
-                grams, n = run_counts(part, depth)
-                for kind, keys, sums in ((0, word_hashes(words.unique), np.bincount(words.codes, minlength=len(words.unique))), (1, grams, n), (2, np.zeros(1, np.uint64), np.array([b - a]))):
-                    yield pa.record_batch({"kind": pa.array(np.full(len(keys), kind, np.int32)), "key": pa.array(keys.view(np.int64)), "n": pa.array(sums.astype(np.int64))})
+            every, held = texts_of(batch), is_held_out(batch.column("doc_id").to_pylist())
+            for train, texts in ((1, every.filter(pa.array(~held))), (0, every.filter(pa.array(held)))):
+                for a, b in slices(texts):
+                    part = texts.slice(a, b - a)
+                    found = [(1, *run_counts(part, depth))]
+                    if train:
+                        words = split_words(part, lower=True)
+                        found += [(0, word_hashes(words.unique), np.bincount(words.codes, minlength=len(words.unique))), (2, np.zeros(1, np.uint64), np.array([b - a]))]
+                    for kind, keys, sums in found:
+                        sums = sums.astype(np.int64)
+                        yield pa.record_batch({"kind": pa.array(np.full(len(keys), kind, np.int32)), "key": pa.array(keys.view(np.int64)), "n": pa.array(sums * train), "m": pa.array(sums)})
 
     each = docs.select("doc_id", "text").mapInArrow(count, COUNTS)
-    return each.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return each.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 class Trie:
-    """Costs (log10 of probabilities) of runs of depth + 1 bytes, from the counts of the training runs."""
+    """Costs (log10 of probabilities) of runs of depth + 1 bytes, from the counts of the training runs.
 
-    def __init__(self, grams: np.ndarray, n: np.ndarray, depth: int):
+    With ``low``, the trie of the lower orders over all training runs, ``grams`` need to be whole only for the contexts
+    of ``low.depth + 1`` bytes that occur in them, and no table of their costs is made.
+    """
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray, depth: int, low: Trie | None = None):
         self.depth = depth
         # each order's runs of order + 1 bytes, their counts, and their contexts' sums
         self.runs, self.n, self.contexts, self.total, self.kinds = [], [], [], [], []
         for order in range(depth + 1):
+            if low and order <= low.depth:
+                for own, whole in ((self.runs, low.runs), (self.n, low.n), (self.contexts, low.contexts), (self.total, low.total), (self.kinds, low.kinds)):
+                    own.append(whole[order])
+                continue
             mask = np.uint64((1 << 8 * (order + 1)) - 1)
             keys, inverse = np.unique(grams & mask, return_inverse=True)
             sums = np.bincount(inverse, weights=n, minlength=len(keys))
@@ -103,11 +119,15 @@ class Trie:
         # for each context of order k + 1, what its successors take from the counts of order k
         self.excluded = []
         for order in range(depth):
+            if low and order < low.depth:
+                self.excluded.append(low.excluded[order])
+                continue
             keys = self.runs[order + 1]
             at = np.searchsorted(self.runs[order], keys & np.uint64((1 << 8 * (order + 1)) - 1))
             back = np.searchsorted(self.contexts[order + 1], keys >> np.uint64(8))
             self.excluded.append(np.bincount(back, weights=self.n[order][at], minlength=len(self.contexts[order + 1])))
-        self.table, self.costs = self.runs[depth], self.cost(self.runs[depth]).astype(np.float32)
+        if not low:
+            self.table, self.costs = self.runs[depth], self.cost(self.runs[depth]).astype(np.float32)
 
     @staticmethod
     def find(keys: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,8 +188,8 @@ class Lookup:
 
 
 def trie_of(count: DataFrame, depth: int = DEPTH, nodes: int = NODES) -> Trie:
-    """The deepest trie that fits; its rows come to the driver as Arrow columns, at most ``nodes`` of them."""
-    grams = count.filter("kind = 1").select("key", "n")
+    """The deepest trie of at most ``nodes`` runs, in the driver: a model of bounded size, which ``scores`` does not use."""
+    grams = count.filter("kind = 1 and n > 0").select("key", "n")
     while depth > 1 and grams.count() > nodes:
         depth -= 1
         grams = materialize(grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (depth + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")), "grams")
@@ -177,8 +197,25 @@ def trie_of(count: DataFrame, depth: int = DEPTH, nodes: int = NODES) -> Trie:
     return Trie(found["key"].to_numpy().view(np.uint64), found["n"].to_numpy(), depth)
 
 
+def run_costs(count: DataFrame, depth: int) -> DataFrame:
+    """key, m (how often it occurs) and cost of each run of the documents."""
+    runs, spark = count.filter("kind = 1").select("key", "n", "m"), count.sparkSession
+    order = min(depth, LOW)
+    found = runs.filter("n > 0").groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    shared = spark.sparkContext.broadcast(Trie(found["key"].to_numpy().view(np.uint64), found["n"].to_numpy(), order))
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), runs.count() // GROUP + 1)
+    context = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * (LOW + 1)) - 1))
+
+    def price(rows: pa.Table) -> pa.Table:
+        keys, n = rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+        trie = Trie(keys[n > 0], n[n > 0], depth, shared.value)
+        return pa.table({"key": rows["key"], "m": rows["m"], "cost": pa.array(trie.cost(keys).astype(np.float32))})
+
+    return runs.groupBy(F.pmod(F.xxhash64(context), F.lit(groups))).applyInArrow(price, "key long, m long, cost float")
+
+
 def least_frequent(words: DataFrame, most: int) -> int:
-    """A count that at most ``most`` words reach, from a histogram by eighths of powers of two: no sort, one row a bin."""
+    """A count that at most ``most`` keys reach, from a histogram by eighths of powers of two: no sort, one row a bin."""
     bins = words.groupBy(F.floor(F.log2("n") * 8).alias("bin")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect()
     limit, total = 1 << 62, 0
     for b in sorted(bins, key=lambda b: -b.bin):
@@ -189,10 +226,10 @@ def least_frequent(words: DataFrame, most: int) -> int:
     return limit
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, score double, frequent_known long, frequent_score double, rare array<long>"
+SCORED = "doc_id long, held_out boolean, n_tokens long, score double, frequent_known long, frequent_score double, rare array<long>, rare_runs array<long>"
 
 
-def scores(docs: DataFrame, depth: int = DEPTH, nodes: int = NODES, frequent: int = FREQUENT) -> DataFrame:
+def scores(docs: DataFrame, depth: int = DEPTH, costs: int = COSTS, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs``."""
     sc = docs.sparkSession.sparkContext
     count = materialize(counts(docs, depth), "counts")
@@ -203,11 +240,14 @@ def scores(docs: DataFrame, depth: int = DEPTH, nodes: int = NODES, frequent: in
     top = words.filter(F.col("n") >= least_frequent(words, frequent)).toArrow()  # at most ``frequent`` rows
     top_keys, top_n = top["key"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(top_keys)
-    shared, number = sc.broadcast((trie_of(count, depth, nodes), top_keys[order], top_n[order], ends)), uuid.uuid4().hex
+    cost_of = materialize(run_costs(count, depth), "costs")
+    usual = least_frequent(cost_of.select("key", F.col("m").alias("n")), costs)
+    top_runs = cost_of.filter(F.col("m") >= usual).select("key", "cost").toArrow()  # at most ``costs`` rows
+    shared, number = sc.broadcast((top_runs["key"].to_numpy().view(np.uint64), top_runs["cost"].to_numpy(), top_keys[order], top_n[order], ends)), uuid.uuid4().hex
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, keys, n, end = shared.value
-        find = lookup_of(number, trie.table)
+        run_keys, run_cost, keys, n, end = shared.value
+        find = lookup_of(number, run_keys)
         for batch in batches:
             texts = texts_of(batch)
             for a, b in slices(texts, RUN_BYTES):
@@ -220,24 +260,27 @@ def scores(docs: DataFrame, depth: int = DEPTH, nodes: int = NODES, frequent: in
                 known, value = there[words.codes], np.log10(c + 1.0)[words.codes]
                 rare = hashes[words.codes[~known]].view(np.int64)
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(row[~known], minlength=rows))])
-                grams, sizes = runs(part, trie.depth)
+                grams, sizes = runs(part, depth)
                 place, seen = find(grams)
-                cost = trie.costs[place].astype(np.float64) if len(trie.table) else np.zeros(len(grams))
-                cost[~seen] = trie.cost(grams[~seen])
+                cost = np.where(seen, run_cost[place].astype(np.float64), 0.0) if len(run_keys) else np.zeros(len(grams))
+                run_offsets = np.concatenate([[0], np.cumsum(np.add.reduceat((~seen).astype(np.int64), np.cumsum(sizes) - sizes))])
                 yield pa.record_batch({
                     "doc_id": ids, "held_out": pa.array(is_held_out(ids.to_pylist())),
                     "n_tokens": pa.array(words.counts() + 1), "score": pa.array(np.add.reduceat(cost, np.cumsum(sizes) - sizes)),
                     "frequent_known": pa.array(np.bincount(row[known], minlength=rows).astype(np.int64) + (end > 0)),
                     "frequent_score": pa.array(np.bincount(row, weights=value, minlength=rows) + np.log10(end + 1.0)),
                     "rare": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(rare)),
+                    "rare_runs": pa.ListArray.from_arrays(pa.array(run_offsets, pa.int32()), pa.array(grams[~seen].view(np.int64))),
                 })
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, SCORED)
     rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "scored")
     rare = rows.select("_row", F.explode("rare").alias("key")).join(words, "key").groupBy("_row").agg(F.count("*").alias("_known"), F.sum(F.log10(F.col("n") + 1.0)).alias("_value"))
-    out = rows.drop("rare").join(rare, "_row", "left")
+    others = cost_of.filter(F.col("m") < usual).select("key", "cost")
+    rare_runs = rows.select("_row", F.explode("rare_runs").alias("key")).join(others, "key").groupBy("_row").agg(F.sum(F.col("cost").cast("double")).alias("_cost"))
+    out = rows.drop("rare", "rare_runs").join(rare, "_row", "left").join(rare_runs, "_row", "left")
     base = F.col("frequent_score") + F.coalesce("_value", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1)))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("frequent_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("frequent_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("_cost", F.lit(0.0))).alias("score"))
 
 
 _lookups: dict[str, Lookup] = {}
