@@ -169,6 +169,17 @@ def test_rules(spark):
     assert np.mean([k for q, k in judged if q == 1]) > 0.98 and np.mean([k for q, k in judged if q == 0]) < 0.3
 
 
+def test_threshold_covers_all_labelled_rows(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+    rows = [r for r in quality_forest.rules(docs, labels, train_rows=5).collect() if not r.base_failed]
+    good, bad = ([r for r in rows if quality.get(r.doc_id) == q] for q in (1, 0))
+    # of fewer than 500 good rows none may be lost; of the bad ones all above them are
+    assert 5 < len(good) < 500 and all(r.kept for r in good)
+    top = max(r.score for r in good) + 1 / quality_forest.BINS
+    assert not any(r.kept for r in bad if r.score > top) and any(r.score > top for r in bad)
+
+
 def test_rules_on_odd_tables(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(ODD)] + [(None, "null id", "x"), (0, "", "x")], "doc_id long, text string, kept string")
     labels = spark.createDataFrame([], "doc_id long, quality int")

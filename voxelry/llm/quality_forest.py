@@ -3,9 +3,9 @@
 Each text is measured once, in Arrow batches: the base counts (``BASE``) and the statistics of the rules (``RATIOS``). Two
 base rules reject at once. The forest is fitted on labelled documents, at most ``TRAIN_ROWS`` of either label, those
 with the smallest hashes of their ids: each tree splits a random sample of good ones by random thresholds of random
-statistics. A document that few splits set apart from all others has short paths, hence a high anomaly score. The
-labelled rows also set the threshold: the score that best tells good from bad, but with at most ``LOSS`` of the good
-ones above it. Where the labels lack one of the two kinds, the forest rejects nothing.
+statistics. A document that few splits set apart from all others has short paths, hence a high anomaly score. All
+labelled rows that pass the base rules, sampled or not, set the threshold by a histogram of their scores in ``BINS``
+bins: the score that best tells good from bad, but with at most ``LOSS`` of the good ones above it. Where the labels lack one of the two kinds, the forest rejects nothing.
 
 Cases: a null or empty text has no words and fails the base rules; words repeated throughout fail; documents without a
 label are judged like the others; of several labels for one id all count; equal rows are judged alike, each its own
@@ -27,7 +27,7 @@ from voxelry.llm.text import Words, encode, slices, split_words, texts_of
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RATIOS = ("word_length", "symbols", "dup_lines", "repeats", "upper", "digits", "punctuation", "doubled")
-TRAIN_ROWS, TREES, TREE_ROWS, LOSS = 4000, 200, 256, 0.002
+TRAIN_ROWS, TREES, TREE_ROWS, LOSS, BINS = 4000, 200, 256, 0.002, 1 << 16
 
 
 def repeats(words: Words) -> np.ndarray:
@@ -150,14 +150,19 @@ class Forest:
 
 def calibrated(good: np.ndarray, bad: np.ndarray, loss: float = LOSS) -> float:
     """The score above which to reject: the widest gap between the shares of bad and good above it, within ``loss``."""
-    if not len(good) or not len(bad):
-        return float("inf")
     at = np.unique(np.concatenate([good, bad]))
-    above = lambda x: 1 - np.searchsorted(np.sort(x), at, side="right") / len(x)
+    count = lambda x: np.bincount(np.searchsorted(at, x), minlength=len(at))
+    return threshold(at, at, count(good), count(bad), loss)
+
+
+def threshold(low: np.ndarray, high: np.ndarray, good: np.ndarray, bad: np.ndarray, loss: float = LOSS) -> float:
+    """The same from the least and the greatest score and the counts of each bin, bins in order."""
+    if not good.sum() or not bad.sum():
+        return float("inf")
+    above = lambda n: 1 - np.cumsum(n) / n.sum()
     gain = np.where(above(good) <= loss, above(bad) - above(good), -1.0)
     best = int(np.argmax(gain))
-    upper = at[min(best + 1, len(at) - 1)]
-    return float((at[best] + upper) / 2)
+    return float((high[best] + low[best + 1]) / 2) if best + 1 < len(low) else float(high[best])
 
 
 def rules(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -167,20 +172,26 @@ def rules(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> D
     pick = lambda q: np.array([r.ratios for r in known.filter(F.col("quality") == q).orderBy("h").limit(train_rows).collect()]).reshape(-1, len(RATIOS))
     good, bad = pick(1), pick(0)
     forest = Forest(good, bad) if len(good) else None
-    limit = calibrated(forest.scores(good), forest.scores(bad)) if forest else float("inf")
-    shared = docs.sparkSession.sparkContext.broadcast((forest, limit))
+    shared = docs.sparkSession.sparkContext.broadcast(forest)
     names = ("doc_id", *BASE, "base_failed")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, limit = shared.value
+        forest = shared.value
         for batch in batches:
             x = batch.column("ratios").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(RATIOS))
             score = forest.scores(x) if forest else np.zeros(len(x))
-            failed = batch.column("base_failed").to_numpy(zero_copy_only=False)
-            yield pa.record_batch({c: batch.column(c) for c in names} | {"score": pa.array(score), "kept": pa.array(~failed & (score <= limit))})
-
-    schema = ", ".join(["doc_id long", *(f"{c} long" for c in BASE), "base_failed boolean, score double, kept boolean"])
-    return rows.select(*names, "ratios").mapInArrow(judge, schema)
+            yield pa.record_batch({c: batch.column(c) for c in names} | {"score": pa.array(score)})
+
+    schema = ", ".join(["doc_id long", *(f"{c} long" for c in BASE), "base_failed boolean, score double"])
+    scored = materialize(rows.select(*names, "ratios").mapInArrow(judge, schema), "judged")
+    limit = float("inf")
+    if forest:
+        every = scored.filter(~F.col("base_failed")).join(labels.filter("quality in (0, 1)").select("doc_id", "quality"), "doc_id")
+        count = lambda q: F.sum((F.col("quality") == q).cast("long"))
+        bins = every.groupBy(F.floor(F.col("score") * BINS).alias("bin")).agg(F.min("score").alias("low"), F.max("score").alias("high"), count(1).alias("good"), count(0).alias("bad"))
+        found = sorted(bins.collect(), key=lambda b: b.bin)  # at most BINS + 1 rows
+        limit = threshold(*(np.array([b[c] for b in found]) for c in ("low", "high", "good", "bad")))
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") <= limit))
 
 
 def kept_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
