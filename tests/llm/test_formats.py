@@ -165,6 +165,30 @@ def test_other_templates(wrap):
     assert html_extract.extract(PAGE % (wrap % body)).split("\n\n") == want
 
 
+PARAGRAPH = "<p>" + "Some words of the text, in order, that say what it is about; and more. " * 4 + "</p>"
+
+
+@pytest.mark.parametrize("page, parts", [
+    ("<main><h1>Short title</h1><article>%s</article></main>", ["Short title"]),
+    ("<main><div><h2>Short title</h2></div><article>%s</article></main>", ["Short title"]),
+    ("<div class='post'><h1>Short title</h1><div class='text'>%s</div></div>", ["Short title"]),
+    ("<div class='post'><div class='top'><h2>Short title</h2></div>%s</div>", ["Short title"]),
+    ("<div class='post'>%s<section><b>A caption</b></section></div>", ["A caption"]),
+    ("<div class='post'>%s<table><tr><th>Name<td>one<tr><th>Size<td>two</table></div>", ["Name", "one", "Size", "two"]),
+    ("%s<table><tr><td>one<td>two</table>", ["one", "two"]),
+    ("<div class='post'>%s<blockquote>To be</blockquote></div>", ["To be"]),
+])
+def test_parts_in_containers_of_their_own(page, parts):
+    got = html_extract.extract(PAGE % (page % (PARAGRAPH * 20))).split("\n\n")
+    assert [x for x in got if not x.startswith("Some words")] == parts and len(got) == len(parts) + 20
+
+
+def test_links_do_not_rise():
+    links = "<div><a href=/1>One more</a> <a href=/2>Another</a></div>"
+    for page in (f"<main><article>%s</article>{links}</main>", f"%s{links}"):
+        assert "Another" not in html_extract.extract(PAGE % (page % (PARAGRAPH * 20)))
+
+
 def test_odd_pages(spark):
     odd = [None, "", "no tags at all", "<p>open <b>and cut", "<article><p>a<", "<article><p>x &amp", "<<<>>>", "<script>never closed <p>x", '<p title="a > b">ok</p>', "<!-- <p>no</p>", "<div><p>a</div>b</p>"]
     got = [html_extract.extract(x) for x in odd]

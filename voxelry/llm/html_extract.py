@@ -6,6 +6,10 @@ first. For every path the length of its text, its punctuation, its links and its
 text per node, weighed by punctuation and by the share outside links. The ratio is smoothed with that of the path's
 container, in which headings and short paragraphs stand beside long ones, and paths at or above a share of the page's
 best are content. Within an ``article`` or ``main`` the container is that element, so that its parts stay together.
+A path that falls short counts by the best ratio of the containers around it, all their text summed, up to the content
+root: the outermost ``article`` or ``main``, else the container with the most text outside links, below ``body`` (cells
+and quotes count in what holds them, even ``body``). Containers that mostly hold links do not rise so; an ``h1`` does,
+and where no ``article`` or ``main`` is around it also as heading of a root further in.
 
 Text is decoded, white space within a block becomes one space, blocks are joined by two line ends.
 
@@ -48,12 +52,15 @@ KEEP, NOT_ARTICLES = {"html", "body", "main"}, {"ad", "ads", "advert", "advertis
 #: Words that turn the others round: a container that has a sidebar is none.
 AROUND = {"has", "no", "with", "without"}
 SHARE = 0.3
+#: Elements that hold an article by declaration, others that text is summed by, and those of them that are parts of an article.
+DECLARED, CONTAINERS, PARTS = ("article", "main"), ("div", "section", "body", "td", "center", "blockquote"), ("td", "blockquote")
 
 
 @dataclass
 class Node:
     path: tuple[str, ...]
     container: tuple[str, ...]
+    around: tuple[tuple[str, ...], ...]
     block: int
     text: str
     link: bool
@@ -84,10 +91,9 @@ def nodes(html: str) -> list[Node]:
     def text(raw: str) -> None:
         if raw and not (stack and stack[-1][2]):
             path = tuple(x[1] for x in stack)
-            inner = max((i for i, x in enumerate(stack) if x[0] in ("article", "main")), default=-1)
-            if inner < 0:
-                inner = max((i for i, x in enumerate(stack) if x[0] in ("div", "section", "body", "td", "center", "blockquote")), default=-1)
-            out.append(Node(path, path[: inner + 1], block, unescape(raw), any(x[0] == "a" for x in stack)))
+            around = [i for i, x in enumerate(stack) if x[0] in CONTAINERS or x[0] in DECLARED]
+            inner = max((i for i in around if stack[i][0] in DECLARED), default=max(around, default=-1))
+            out.append(Node(path, path[: inner + 1], tuple(path[: i + 1] for i in around), block, unescape(raw), any(x[0] == "a" for x in stack)))
 
     def close(to: int) -> None:
         nonlocal block
@@ -153,14 +159,14 @@ def nodes(html: str) -> list[Node]:
 
 def content(found: list[Node]) -> list[Node]:
     """Nodes on paths whose smoothed ratio is at least ``SHARE`` of the best path's."""
-    own: dict[tuple, list[float]] = defaultdict(lambda: [0.0] * 4)
-    around: dict[tuple, list[float]] = defaultdict(lambda: [0.0] * 4)
+    tables: list[dict[tuple, list[float]]] = [defaultdict(lambda: [0.0] * 4) for _ in range(4)]
+    own, around, nearest, within = tables  # by path, by container, by the innermost element of any kind, by all around
     for x in found:
         size = len(x.text.strip())
         if not size:
             continue
         marks = sum(x.text.count(c) for c in ".,;:!?")
-        for table, key in ((own, x.path), (around, x.container)):
+        for table, key in ((own, x.path), (around, x.container), (nearest, x.around[-1:]), *((within, c) for c in x.around)):
             for i, v in enumerate((size, marks, size * x.link, 1)):
                 table[key][i] += v
 
@@ -175,6 +181,26 @@ def content(found: list[Node]) -> list[Node]:
             weight = 1.0 if x.container and x.container[-1] in ("article", "main") else 0.5
             fused[x.path] = weight * ratio(around[x.container]) + (1 - weight) * ratio(own[x.path])
     best = max(fused.values(), default=0.0)
+    root = max(around, key=lambda c: around[c][0] - around[c][2], default=())
+    risen = set()
+    for x in found:
+        if x.path in risen or fused[x.path] >= SHARE * best:
+            continue
+        risen.add(x.path)
+        declared = next((c for c in x.around if c[-1] in DECLARED), None)
+        size, _, links, _ = nearest[x.around[-1:]]
+        if "h1" not in x.path and 2 * links > size:
+            continue
+        if declared:
+            up, weight = [c for c in x.around if len(c) >= len(declared)], 1.0
+        else:
+            up, weight = [c for c in x.around if root and c[: len(root)] == root and root[-1] != "body"], 0.5
+            kept = [c for c in x.around if c[-1] not in PARTS]
+            if x.around and x.around[-1][-1] in PARTS:
+                up += kept[-1:]
+            if "h1" in x.path and root[: len(x.container)] == x.container:
+                up, weight = [*up, root], 1.0
+        fused[x.path] = max([fused[x.path], *(weight * ratio(within[c]) + (1 - weight) * ratio(own[x.path]) for c in up)])
     return [x for x in found if fused[x.path] >= SHARE * best and best > 0]
 
 
