@@ -3,6 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelry.operators import decompose, interpolate, labels, propagate, topology, verify
+from voxelry.plans import experiments
+from voxelry.plans.queries import EPS_GRID
 from voxelry.sources import raster
 
 
@@ -190,6 +192,14 @@ def test_slabs_cover_and_agree(voxels):
         decompose.inject(df, 2, 0)
 
 
+def test_each_volume_has_its_own_rounds(voxels):
+    values = {"v0": np.zeros((4, 4, 4), int), "v1": noise((4, 4, 4), 1)}
+    found = {tuple(r)[:1] + tuple(r)[-1:] for r in experiments.sweep(voxels(**values), "v", [(4, 1, 1.0)]).select("subject", "rounds").collect()}
+    alone = {(name, decompose.inject(voxels(**{name: v}), 4, eps=1.0)[1]) for name, v in values.items()}
+    assert found == alone and ("v0", 1) in found and max(r for _, r in found) > 1
+    assert {k for k, _, _ in EPS_GRID} == {2, 4} and {d for _, d, _ in EPS_GRID} == {1, 2} and {e for _, _, e in EPS_GRID} == {0.1, 0.5, 1.0, 2.0}
+
+
 def test_order_is_total(voxels):
     field = propagate.ordered(interpolate.field_2d(voxels(v0=GOLDEN)))
     assert sorted(r.f_ord for r in field.collect()) == list(range(25))

@@ -7,6 +7,8 @@ written to the shared checkpoint folder before the next one reads it; the driver
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -72,27 +74,42 @@ def pins_of(field: DataFrame, parts: DataFrame) -> DataFrame:
     return joined.filter(left | right).select("vol_id", "k", "ex", "ey", "ez", "u")
 
 
-def inject(voxels: DataFrame, k: int, delta: int = 1, l_inf: int = 0, max_rounds: int = 8, eps: float = 0.5) -> tuple[DataFrame, int]:
-    """Boundary-injection rounds from ``round_zero``; returns the field and how many rounds ran.
+def inject_each(voxels: DataFrame, k: int, delta: int = 1, l_inf: int = 0, max_rounds: int = 8, eps: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Boundary-injection rounds from ``round_zero``; returns the field and how many rounds each volume took (vol_id, rounds).
 
-    A round recomputes each slab with its pinned planes. It is the last if no cell changed by ``eps`` or more.
+    A round recomputes each slab with its pinned planes. It is a volume's last if none of the volume's cells changed by
+    ``eps`` or more; the others go on without it.
     """
-    if delta < 1:
-        raise ValueError("rounds need a halo of one plane at least")
+    if delta < 1 or max_rounds < 1:
+        raise ValueError("rounds need a halo of one plane at least, and there must be one")
     voxels = checkpointed(voxels, "voxels")
     parts = checkpointed(slabs(voxels, k, delta), "slabs")
-    field, rounds = checkpointed(round_zero(voxels, parts, l_inf), "round-0"), 0
-    own = with_halo(voxels, parts)
+    field = checkpointed(round_zero(voxels, parts, l_inf), "round-0")
+    done, took = [], []
     for rounds in range(1, max_rounds + 1):
         pins = pins_of(field, parts).toDF("pin_vol", "pin_k", "ex", "ey", "ez", "u")
-        both = own.groupBy("vol_id", "k").cogroup(pins.groupBy("pin_vol", "pin_k"))
+        both = with_halo(voxels, parts).groupBy("vol_id", "k").cogroup(pins.groupBy("pin_vol", "pin_k"))
         new = checkpointed(both.applyInPandas(lambda a, b: slab_field(a, b, l_inf), FIELD), f"round-{rounds}")
         keys = [*VOLUME, "ex", "ey", "ez"]
-        change = new.join(field.withColumnRenamed("u", "before"), keys).agg(F.max(F.abs(F.col("u") - F.col("before")))).first()[0] or 0
+        moved = new.join(field.withColumnRenamed("u", "before"), keys).groupBy("vol_id").agg(F.max(F.abs(F.col("u") - F.col("before"))).alias("change"))
+        moved = checkpointed(moved.select("vol_id", (F.col("change") >= eps).alias("goes_on")), f"moved-{rounds}")
         field = new
-        if change < eps:
+        if rounds == max_rounds or not moved.filter("goes_on").limit(1).count():
             break
-    return field, rounds
+        ended, on = moved.filter("not goes_on"), moved.filter("goes_on")
+        done.append(new.join(ended, "vol_id", "left_semi"))
+        took.append(ended.select("vol_id", F.lit(rounds).alias("rounds")))
+        parts = checkpointed(parts.join(on, "vol_id", "left_semi"), f"slabs-{rounds}")
+    took.append(moved.select("vol_id", F.lit(rounds).alias("rounds")))
+    if done:
+        field = checkpointed(reduce(DataFrame.unionByName, [*done, field]), "field")
+    return field, reduce(DataFrame.unionByName, took)
+
+
+def inject(voxels: DataFrame, k: int, delta: int = 1, l_inf: int = 0, max_rounds: int = 8, eps: float = 0.5) -> tuple[DataFrame, int]:
+    """The field of ``inject_each`` and how many rounds ran, those of the slowest volume."""
+    field, took = inject_each(voxels, k, delta, l_inf, max_rounds, eps)
+    return field, took.agg(F.max("rounds")).first()[0] or 1
 
 
 def plane_width(spans: DataFrame, parts: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelry.operators import decompose, interpolate, topology, verify
+from voxelry.sources.store import checkpointed
 
 
 def fields(voxels: DataFrame, methods: list[str]) -> DataFrame:
@@ -46,11 +48,15 @@ def still_to_do(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFram
 
 def sweep(voxels: DataFrame, subjects: str, configs: list[tuple[int, int, float]]) -> DataFrame:
     """(subject, K, delta, eps, violations, rounds) of the injection rounds for each (K, delta, eps)."""
-    parts = []
+    parts, found = [], {}
     for k, delta, eps in configs:
-        field, rounds = decompose.inject(voxels, k, delta, eps=eps)
-        bad = verify.boundary_violations(field, decompose.bounds_of(decompose.slabs(voxels, k, delta)))
-        parts.append(bad.select(F.concat(F.lit(subjects), "vol_id").alias("subject"), F.lit(k).alias("K"), F.lit(delta).alias("delta"), F.lit(float(eps)).alias("eps"), F.col("bdry_violations").alias("violations"), F.lit(rounds).alias("rounds")))
+        # fields are integers, so a change is below eps if it is below the next integer
+        key = k, delta, math.ceil(eps)
+        if key not in found:
+            field, took = decompose.inject_each(voxels, k, delta, eps=key[2])
+            bad = verify.boundary_violations(field, decompose.bounds_of(decompose.slabs(voxels, k, delta)))
+            found[key] = checkpointed(took.join(bad, "vol_id", "left").na.fill(0, ["bdry_violations"]), "sweep")
+        parts.append(found[key].select(F.concat(F.lit(subjects), "vol_id").alias("subject"), F.lit(k).alias("K"), F.lit(delta).alias("delta"), F.lit(float(eps)).alias("eps"), F.col("bdry_violations").alias("violations"), "rounds"))
     return reduce(DataFrame.unionByName, parts)
 
 

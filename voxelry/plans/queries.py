@@ -390,11 +390,11 @@ for _k in (1, 2, 4):
 
     def _ibi(spark, sf_dir, k=_k):
         voxels = checkpointed(emb(spark, sf_dir, 3), "volumes")
-        field, rounds = decompose.inject(voxels, k)
+        field, took = decompose.inject_each(voxels, k)
         whole = propagate.propagated(voxels, "zero")
         checked = verify.well_composed(field).select("vol_id", "n_violations").join(verify.differing(field, whole), "vol_id")
         bounds = decompose.bounds_of(decompose.slabs(voxels, k))
-        return checked.join(verify.boundary_violations(field, bounds), "vol_id", "left").withColumn("rounds", F.lit(rounds)).na.fill(0, ["bdry_violations"])
+        return checked.join(verify.boundary_violations(field, bounds), "vol_id", "left").join(took, "vol_id").na.fill(0, ["bdry_violations"])
 
     QUERIES[f"ibi_k{_k}"] = _ibi
 SQL["ibi_k1"] = "SELECT vec_id AS vol_id, 0::BIGINT AS n_violations, 0::BIGINT AS cells_differ, 0 AS max_diff, 0::BIGINT AS bdry_violations, 1 AS rounds FROM embeddings"
@@ -509,11 +509,15 @@ def mode_default(spark, sf_dir):
     return stats.mode(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_linenumber")
 
 
+#: K, delta and eps; the volumes have 4 planes, so that larger K would be these again.
+EPS_GRID = [(k, delta, eps) for k in (2, 4) for delta in (1, 2) for eps in (0.1, 0.5, 1.0, 2.0)]
+
+
 @query()
 def eps_sweep(spark, sf_dir):
-    """Injection rounds over the volumes for two tolerances, summed by tolerance."""
+    """Injection rounds over the volumes for each number of slabs, halo and tolerance, summed by these."""
     voxels = checkpointed(emb(spark, sf_dir, 3), "volumes")
-    return stats.per_epsilon(experiments.sweep(voxels, "v", [(2, 1, 0.1), (2, 1, 1.0)]), ("K", "delta", "eps"))
+    return stats.per_epsilon(experiments.sweep(voxels, "v", EPS_GRID), ("K", "delta", "eps"))
 
 
 # --- relational glue
