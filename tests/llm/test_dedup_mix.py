@@ -70,6 +70,54 @@ def test_odd_tables(spark):
     assert near_dedup.deduplicated(df).count() == 3
 
 
+def test_one_id_with_different_texts(spark):
+    a, b = "a b c d e f g h i j k l m n o p q r s t", "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    rows = [(1, a), (1, b), (2, b), (3, a), (5, a + " more"), (6, b + " more"), (7, "x y z u v w"), (7, "nothing in common with it at all")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _dup string")
+    got = sorted((r.doc_id, r.component_id) for r in near_dedup.near_duplicates(df).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (5, 1), (6, 1), (7, 7), (7, 7)]
+    left = near_dedup.deduplicated(df)
+    assert left.columns == df.columns and sorted((r.doc_id, r.text) for r in left.collect()) == sorted([(1, a), (1, b), *rows[-2:]])
+    again = df.unionByName(df.filter("doc_id = 7")).unionByName(spark.createDataFrame([(9, "", "x"), (9, "", "x")], df.schema))
+    assert sorted(r.doc_id for r in near_dedup.deduplicated(again).collect()) == [1, 1, 7, 7, 9, 9]
+
+
+def templated(n, words, own, seed):
+    """Texts of one template, each with ``own`` words of its own at the end: all pairs are as similar as one another."""
+    rng = np.random.default_rng(seed)
+    base = " ".join(f"t{x}" for x in rng.integers(0, 10**6, words - own))
+    return [f"{base} " + " ".join(f"u{k}x{j}" for j in range(own)) for k in range(n)]
+
+
+def test_templates_below_the_threshold_do_not_meet(spark):
+    texts = templated(2000, 120, 24, 3)  # (96 - 4) / (116 + 24): 0.66, no link
+    assert 0.6 < len(sets_of(texts[0]) & sets_of(texts[1])) / len(sets_of(texts[0]) | sets_of(texts[1])) < 0.7
+    linked = templated(40, 120, 10, 3)  # linked with each other, not with those above
+    rows = list(enumerate(texts + linked))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()}
+    assert got == {i: min(i, 2000) for i in range(2040)}
+
+
+def test_rare_pairs_lose_nothing(spark):
+    texts = family(60, 11, 40) + family(60, 12, 30) + templated(30, 60, 8, 5) + templated(30, 60, 5, 5) + ["x " * k + "y z" for k in range(20)] + ["a b", "a c", "a b c"]
+    s = [sets_of(t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    met = {(r.a, r.b) for r in near_dedup.rare_pairs(df.select("id", near_dedup.F.col("id").alias("c")), df).collect()}
+    true = {(a, b) for a in range(len(s)) for b in range(a + 1, len(s)) if 100 * len(s[a] & s[b]) >= 75 * len(s[a] | s[b])}
+    assert true <= met and len(true) > 300 and len(met) < len(s) * (len(s) - 1) / 4
+
+
+def test_hot_keys_are_looked_up(spark):
+    from voxelry.llm.shared import looked_up
+
+    rows = spark.createDataFrame([(k, i) for k, m in (("a", 40), ("b", 3), ("c", 1)) for i in range(m)] + [("d", 0)], "k string, i int")
+    found = spark.createDataFrame([("a", 40, "A"), ("b", 3, "B"), ("c", 1, None)], "k string, n long, v string")
+    for most in (0, 1, 10):
+        got = looked_up(rows, found, ["k"], "n", most).collect()
+        assert len(got) == 45 and all(r.v == {"a": "A", "b": "B"}.get(r.k) for r in got)
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(5)
     for share in (0.6, 0.75, 0.9):
@@ -166,3 +214,29 @@ def test_pipeline(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {r.doc_id for r in last} == ids
     assert sorted((r.doc_id, r.start, r.ids_crc32) for r in corpus_pipeline.run(spark, SF).collect()) == sorted((r.doc_id, r.start, r.ids_crc32) for r in last)
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Nulls, empty texts, repeated ids and rows, an empty table and columns named like the operators' own."""
+    import corpus_pipeline
+    from voxelry.llm.shared import materialize
+
+    names = ["_lost", "_dup", "of", "row", "kept", "_mix_n2", "component", "best"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one = docs.orderBy(-near_dedup.F.length("text")).first()
+    odd = [(None, None, None, None, None), (None, one.text, "en", None, 1), (one.doc_id, "", "en", one.source, 0), (one.doc_id, one.text, one.lang, one.source, 1), (one.doc_id, one.text, one.lang, one.source, 1), (10**9, "word " * 200_000, "en", None, 1)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumns({n: near_dedup.F.lit(n) for n in names})
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"file://{tmp_path}/labels.parquet")
+    kept = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, kept = kept, materialize(stage(spark, kept, f"file://{tmp_path}"), name)
+        assert kept.columns == before.columns and kept.exceptAll(before.unionByName(before)).count() == 0
+        if name == "near_dedup":
+            assert kept.filter(near_dedup.F.col("doc_id") == one.doc_id).count() <= 1
+    assert corpus_pipeline.STAGES[-1][1](spark, kept, f"file://{tmp_path}").count() > 0
+    none = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        none = materialize(stage(spark, none, SF), name)
+        assert none.count() == 0 and none.columns == docs.columns
+    assert corpus_pipeline.STAGES[-1][1](spark, none, SF).count() == 0
