@@ -15,7 +15,8 @@ are bounded, so only the most frequent runs and words, ``COSTS`` and ``FREQUENT`
 looked up by a join on the run or on the word's hash and summed by document.
 
 Cases: null and empty texts are one end token; white space alone too; equal rows score alike, each its own row; null
-document ids count as the empty string in the split; an empty table gives no rows; other columns are left out.
+document ids count as the empty string in the split; very long texts are read in windows; an empty table gives no rows;
+other columns are left out.
 """
 
 from __future__ import annotations
@@ -30,10 +31,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelry.llm.shared import materialize
+from voxelry.llm.shared import least_frequent, materialize
 from voxelry.llm.text import slices, split_words, texts_of, word_hashes
 
-DEPTH, NODES, FREQUENT, MARK = 5, 6_000_000, 1 << 17, 0xFF
+DEPTH, FREQUENT, MARK = 5, 1 << 17, 0xFF
 #: The highest order that is broadcast whole, the runs whose costs are broadcast at most, and those costed at once.
 LOW, COSTS, GROUP = 2, 2_000_000, 200_000
 #: Bytes of text whose runs are in memory at once.
@@ -58,9 +59,27 @@ def runs(texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes + 1
 
 
+def run_windows(texts: pa.Array, depth: int, limit: int = RUN_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs of at most about ``limit`` bytes of text at a time, and each run's text; a longer text comes in windows."""
+    for a, b in slices(texts, limit):
+        part = texts.slice(a, b - a)
+        if b - a > 1 or len(part[0].as_buffer()) <= limit:
+            found, sizes = runs(part, depth)
+            yield found, np.repeat(np.arange(a, b), sizes)
+            continue
+        whole = np.frombuffer(pc.ascii_lower(part)[0].as_buffer(), np.uint8)
+        padded = np.concatenate([np.full(depth, MARK, np.uint8), whole, np.full(1, MARK, np.uint8)])
+        for k in range(0, len(whole) + 1, limit):
+            own = padded[k : k + limit + depth]
+            out = np.zeros(len(own) - depth, np.uint64)
+            for i in range(depth + 1):
+                out = out << np.uint64(8) | own[i : i + len(out)]
+            yield out, np.full(len(out), a)
+
+
 def run_counts(texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct runs and their counts, gathered from small slices so that only those are in memory at once."""
-    parts = [np.unique(runs(texts.slice(a, b - a), depth)[0], return_counts=True) for a, b in slices(texts, RUN_BYTES)]
+    """Distinct runs and their counts, gathered from small windows so that only those are in memory at once."""
+    parts = [np.unique(found, return_counts=True) for found, _ in run_windows(texts, depth)]
     keys, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     order = np.argsort(keys)
     keys, n = keys[order], n[order]
@@ -187,16 +206,6 @@ class Lookup:
         return out, there
 
 
-def trie_of(count: DataFrame, depth: int = DEPTH, nodes: int = NODES) -> Trie:
-    """The deepest trie of at most ``nodes`` runs, in the driver: a model of bounded size, which ``scores`` does not use."""
-    grams = count.filter("kind = 1 and n > 0").select("key", "n")
-    while depth > 1 and grams.count() > nodes:
-        depth -= 1
-        grams = materialize(grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (depth + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")), "grams")
-    found = grams.toArrow()
-    return Trie(found["key"].to_numpy().view(np.uint64), found["n"].to_numpy(), depth)
-
-
 def run_costs(count: DataFrame, depth: int) -> DataFrame:
     """key, m (how often it occurs) and cost of each run of the documents."""
     runs, spark = count.filter("kind = 1").select("key", "n", "m"), count.sparkSession
@@ -214,18 +223,6 @@ def run_costs(count: DataFrame, depth: int) -> DataFrame:
     return runs.groupBy(F.pmod(F.xxhash64(context), F.lit(groups))).applyInArrow(price, "key long, m long, cost float")
 
 
-def least_frequent(words: DataFrame, most: int) -> int:
-    """A count that at most ``most`` keys reach, from a histogram by eighths of powers of two: no sort, one row a bin."""
-    bins = words.groupBy(F.floor(F.log2("n") * 8).alias("bin")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect()
-    limit, total = 1 << 62, 0
-    for b in sorted(bins, key=lambda b: -b.bin):
-        total += b.words
-        if total > most:
-            break
-        limit = b.least
-    return limit
-
-
 SCORED = "doc_id long, held_out boolean, n_tokens long, score double, frequent_known long, frequent_score double, rare array<long>, rare_runs array<long>"
 
 
@@ -260,17 +257,21 @@ def scores(docs: DataFrame, depth: int = DEPTH, costs: int = COSTS, frequent: in
                 known, value = there[words.codes], np.log10(c + 1.0)[words.codes]
                 rare = hashes[words.codes[~known]].view(np.int64)
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(row[~known], minlength=rows))])
-                grams, sizes = runs(part, depth)
-                place, seen = find(grams)
-                cost = np.where(seen, run_cost[place].astype(np.float64), 0.0) if len(run_keys) else np.zeros(len(grams))
-                run_offsets = np.concatenate([[0], np.cumsum(np.add.reduceat((~seen).astype(np.int64), np.cumsum(sizes) - sizes))])
+                sums, others, n_others = np.zeros(rows), [], np.zeros(rows, np.int64)
+                for grams, of in run_windows(part, depth):
+                    place, seen = find(grams)
+                    if len(run_keys):
+                        sums += np.bincount(of, weights=np.where(seen, run_cost[place], 0.0), minlength=rows)
+                    others.append(grams[~seen].view(np.int64))
+                    n_others += np.bincount(of[~seen], minlength=rows)
+                run_offsets = np.concatenate([[0], np.cumsum(n_others)])
                 yield pa.record_batch({
                     "doc_id": ids, "held_out": pa.array(is_held_out(ids.to_pylist())),
-                    "n_tokens": pa.array(words.counts() + 1), "score": pa.array(np.add.reduceat(cost, np.cumsum(sizes) - sizes)),
+                    "n_tokens": pa.array(words.counts() + 1), "score": pa.array(sums),
                     "frequent_known": pa.array(np.bincount(row[known], minlength=rows).astype(np.int64) + (end > 0)),
                     "frequent_score": pa.array(np.bincount(row, weights=value, minlength=rows) + np.log10(end + 1.0)),
                     "rare": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(rare)),
-                    "rare_runs": pa.ListArray.from_arrays(pa.array(run_offsets, pa.int32()), pa.array(grams[~seen].view(np.int64))),
+                    "rare_runs": pa.ListArray.from_arrays(pa.array(run_offsets, pa.int32()), pa.array(np.concatenate(others))),
                 })
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, SCORED)
