@@ -1,17 +1,20 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read once into text nodes, each with its path of open elements. What elements declare to be no article
-(navigation, forms, scripts, adverts, notices, comments of readers and so on, by tag, role, class or id) is left out
-first. For every path the length of its text, its punctuation, its links and its nodes are summed; a path's ratio is
-text per node, weighed by punctuation and by the share outside links. The ratio is smoothed with that of the path's
-container, in which headings and short paragraphs stand beside long ones, and paths at or above a share of the page's
-best are content. Within an ``article`` or ``main`` the container is that element, so that its parts stay together.
-A path that falls short counts by the best ratio of the containers around it, all their text summed, up to the content
+A page is read once into text nodes, each with its block and that block's path of tags from the root; inline elements
+count as their block. For every path the length of its text, its punctuation, its links and its nodes are summed; a
+path's ratio is text per node, weighed by punctuation per node and by the share outside links. The ratio is smoothed
+with that of the element that holds the block (``CONTAINERS``), in which headings and short paragraphs stand beside long
+ones, and fused with what the elements around declare by tag, role, class or id: what says that it is no part of an
+article counts a thousandth (``OUT``), and within an ``article`` or ``main`` the ratio is that element's alone, so that its
+parts stay together. Paths whose fused ratio reaches a share (``SHARE``) of the page's best are content.
+
+A path that falls short counts by the best ratio of the elements that hold it, all their text summed, up to the content
 root: the outermost ``article`` or ``main``, else the container with the most text outside links, below ``body`` (cells
 and quotes count in what holds them, even ``body``). Containers that mostly hold links do not rise so; an ``h1`` does,
 and where no ``article`` or ``main`` is around it also as heading of a root further in.
 
-Text is decoded, white space within a block becomes one space, blocks are joined by two line ends.
+Text is decoded, white space within a block becomes one space, blocks are joined by two line ends. Reading takes time in
+proportion to the page, however deep or unclosed its elements are.
 
 Cases: null or empty pages, and pages without content, give an empty text; tags left open or cut off end with the page;
 equal rows give equal texts; an empty table gives no rows; other columns are left out.
@@ -19,11 +22,10 @@ equal rows give equal texts; an empty table gives no rows; other columns are lef
 
 from __future__ import annotations
 
-import math
+import heapq
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
@@ -40,7 +42,10 @@ BLOCKS = {
 }
 #: Elements that a new one of the same group ends.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-LEFT_OUT = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "svg", "canvas", "object", "audio", "video", "math", "label", "datalist", "head", *RAW}
+#: Elements without text of the page, and those that are no part of an article.
+SILENT = {"button", "select", "svg", "canvas", "object", "audio", "video", "datalist", "head", *RAW}
+LEFT_OUT = {"nav", "footer", "aside", "form", "menu", "dialog", "label"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "toolbar"}
 #: Whole words of classes and ids; digits and separators split words.
 NAMES = {
@@ -51,21 +56,11 @@ NAMES = {
 KEEP, NOT_ARTICLES = {"html", "body", "main"}, {"ad", "ads", "advert", "advertisement", "comment", "comments", "promo", "related", "reply", "replies", "sponsored"}
 #: Words that turn the others round: a container that has a sidebar is none.
 AROUND = {"has", "no", "with", "without"}
-SHARE = 0.3
+SHARE, OUT = 0.3, 0.001
 #: Elements that hold an article by declaration, others that text is summed by, and those of them that are parts of an article.
 DECLARED, CONTAINERS, PARTS = ("article", "main"), ("div", "section", "body", "td", "center", "blockquote"), ("td", "blockquote")
 
 
-@dataclass
-class Node:
-    path: tuple[str, ...]
-    container: tuple[str, ...]
-    around: tuple[tuple[str, ...], ...]
-    block: int
-    text: str
-    link: bool
-
-
 def left_out(tag: str, attributes: str, inside: bool) -> bool:
     """Whether an element says of itself that it is no part of the article; ``inside``: it is in one."""
     if tag in LEFT_OUT or tag == "header" and not inside:
@@ -82,133 +77,179 @@ def left_out(tag: str, attributes: str, inside: bool) -> bool:
     return bool(hits) and not names & AROUND and not (inside and hits == {"header"})
 
 
-def nodes(html: str) -> list[Node]:
-    """Text nodes outside of what is left out, with their paths, in page order."""
-    out: list[Node] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, name in the path, left out
-    block = 0
-
-    def text(raw: str) -> None:
-        if raw and not (stack and stack[-1][2]):
-            path = tuple(x[1] for x in stack)
-            around = [i for i, x in enumerate(stack) if x[0] in CONTAINERS or x[0] in DECLARED]
-            inner = max((i for i in around if stack[i][0] in DECLARED), default=max(around, default=-1))
-            out.append(Node(path, path[: inner + 1], tuple(path[: i + 1] for i in around), block, unescape(raw), any(x[0] == "a" for x in stack)))
-
-    def close(to: int) -> None:
-        nonlocal block
-        if any(x[0] in BLOCKS for x in stack[to:]):
-            block += 1
-        del stack[to:]
-
-    at, n = 0, len(html)
-    while at < n:
-        m = TOKEN.search(html, at)
-        if not m:
-            text(html[at:])
-            break
-        text(html[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            continue
-        attributes = m[3] or m[6] or ""
-        if m[1] or m[4]:
-            # an end tag closes the last open element of its name, but no element around a block by an inline tag
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-            else:
-                block += tag in BLOCKS
-            continue
-        if tag == "br":
-            text(" ")
-            continue
-        if tag in VOID:
-            block += tag in BLOCKS
-            continue
-        if tag in BLOCKS:
-            # a block ends an open paragraph, and with it what stands open inside
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in BLOCKS:
-                    break
-        if tag in ENDS:
-            same, until = ENDS[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in same:
-                    close(i)
-                    break
-                if stack[i][0] in until:
-                    break
-        block += tag in BLOCKS
-        inside = any(x[0] in ("article", "main") for x in stack)
-        out_ = bool(stack and stack[-1][2]) or left_out(tag, attributes, inside)
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*(?:>|\Z)", re.I).search(html, at)
-            at = end.end() if end else n
+class Page:
+    """Elements and text nodes of a page, in page order, as parallel lists; an element knows its parent, not its path."""
+
+    def __init__(self, html: str):
+        self.tag, self.up, self.path, self.out, self.holder, self.root, self.link, self.block_of = ["#"], [-1], [0], [False], [0], [-1], [False], [0]
+        self.paths: dict[tuple[int, str, bool], int] = {}
+        self.nodes: list[tuple[int, int, str]] = []  # element, block number, text
+        self.stack, self.block, self.silent = [0], 0, -1
+        self.places: dict[str, list[int]] = defaultdict(list)  # where in the stack elements of a tag are open
+        self.open_blocks: list[int] = []
+        self.read(html)
+
+    def text(self, raw: str) -> None:
+        if raw and self.silent < 0:
+            self.nodes.append((self.stack[-1], self.block, unescape(raw)))
+
+    def open(self, tag: str, attributes: str) -> None:
+        up, e, at = self.stack[-1], len(self.tag), len(self.stack)
+        is_block = tag in BLOCKS
+        out = self.out[up] or left_out(tag, attributes, self.root[up] >= 0)
+        declared = tag in DECLARED and not out
+        self.tag.append(tag), self.up.append(up), self.out.append(out)
+        self.path.append(self.paths.setdefault((self.path[up], tag, out), len(self.paths) + 1) if is_block else self.path[up])
+        self.block_of.append(e if is_block else self.block_of[up])
+        # what is left out holds its own text; within an article the article does
+        own = out and not self.out[up] or declared or (tag in CONTAINERS and (out or self.root[up] < 0))
+        self.holder.append(e if own else self.holder[up])
+        self.root.append(self.root[up] if self.root[up] >= 0 else e if declared else -1)
+        self.link.append(self.link[up] or tag == "a")
+        if tag in SILENT and self.silent < 0:
+            self.silent = at
+        self.stack.append(e)
+        self.places[tag].append(at)
+        if is_block:
+            self.open_blocks.append(at)
+
+    def close(self, to: int) -> None:
+        """End the elements from place ``to`` of the stack on."""
+        while len(self.stack) > to:
+            tag = self.tag[self.stack.pop()]
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.open_blocks.pop()
+                self.block += 1
+        if self.silent >= to:
+            self.silent = -1
+
+    def last(self, tags: set[str]) -> int:
+        """Place of the innermost open element of these tags, -1 for none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def read(self, html: str) -> None:
+        at, n = 0, len(html)
+        while at < n:
+            m = TOKEN.search(html, at)
+            if not m:
+                self.text(html[at:])
+                break
+            self.text(html[at : m.start()])
+            at = m.end()
+            tag = (m[2] or m[5] or "").lower()
+            if not tag:
+                continue
+            attributes = m[3] or m[6] or ""
+            if m[1] or m[4]:
+                if self.places.get(tag):
+                    self.close(self.places[tag][-1])
+                else:
+                    self.block += tag in BLOCKS
+                continue
+            if tag == "br":
+                self.text(" ")
+                continue
+            if tag in BLOCKS:
+                self.block += 1
+                if tag not in VOID and self.open_blocks and self.tag[self.stack[self.open_blocks[-1]]] == "p":
+                    self.close(self.open_blocks[-1])  # a block ends an open paragraph, and with it what stands open inside
+            if tag in VOID:
+                continue
+            if tag in ENDS:
+                same, until = ENDS[tag]
+                if (place := self.last(same)) > self.last(until):
+                    self.close(place)
+            if tag in RAW:
+                end = re.compile(rf"</{tag}\s*(?:>|\Z)", re.I).search(html, at)
+                at = end.end() if end else n
+                continue
+            if attributes.endswith("/") and tag not in BLOCKS:
+                continue
+            self.open(tag, attributes)
+
+
+def ratio(sums: list[float]) -> float:
+    """Text per node, weighed by punctuation per node and by the share outside links."""
+    size, marks, links, count = sums
+    return size / count * (1 + marks / count) * (1 - links / size) if size else 0.0
+
+
+def content(page: Page) -> list[tuple[int, int, str]]:
+    """Nodes on paths whose smoothed and fused ratio is at least ``SHARE`` of the best path's."""
+    own, held = defaultdict(lambda: [0.0] * 4), defaultdict(lambda: [0.0] * 4)  # by path, by holding element
+    seen: dict[tuple[int, int], int] = {}  # path and holder: a node's block element
+    for e, _, text in page.nodes:
+        size = len(text.strip())
+        if not size:
             continue
-        if attributes.endswith("/") and tag not in BLOCKS:
+        marks = sum(map(text.count, ".,;:!?"))
+        for sums in (own[page.path[e]], held[page.holder[e]]):
+            sums[0] += size
+            sums[1] += marks
+            sums[2] += size * page.link[e]
+            sums[3] += 1
+        seen.setdefault((page.path[e], page.holder[e]), page.block_of[e])
+    within = {c: list(s) for c, s in held.items()}  # with all that stands in others inside, but for what is left out
+    waiting = [-c for c in held]
+    heapq.heapify(waiting)
+    while waiting:  # inner elements first: an element's number is above its parent's
+        c = -heapq.heappop(waiting)
+        if not c or page.out[c]:
             continue
-        stack.append((tag, tag, out_))
-    return out
+        up = page.holder[page.up[c]]
+        if up not in within:
+            within[up] = [0.0] * 4
+            heapq.heappush(waiting, -up)
+        within[up] = [x + y for x, y in zip(within[up], within[c], strict=True)]
 
+    def fused(key: tuple[int, int], sums: list[float], whole: bool) -> float:
+        path, holder = key
+        tag, declares = page.tag[seen[key]], OUT if page.out[seen[key]] else 1.0
+        if whole:
+            return declares * ratio(sums)
+        size, _, links, _ = own[path]
+        outside = 1.0 if tag in HEADINGS else 1 - links / size
+        return declares * outside * (ratio(sums) + ratio(own[path])) / 2
 
-def content(found: list[Node]) -> list[Node]:
-    """Nodes on paths whose smoothed ratio is at least ``SHARE`` of the best path's."""
-    tables: list[dict[tuple, list[float]]] = [defaultdict(lambda: [0.0] * 4) for _ in range(4)]
-    own, around, nearest, within = tables  # by path, by container, by the innermost element of any kind, by all around
-    for x in found:
-        size = len(x.text.strip())
-        if not size:
+    score = {k: fused(k, held[k[1]], page.root[k[1]] >= 0) for k in seen}
+    best = max((v for k, v in score.items() if not page.out[seen[k]]), default=0.0)
+    free = [c for c in held if not page.out[c]]
+    root = max(free, key=lambda c: held[c][0] - held[c][2], default=0)
+    above, e = set(), root
+    while e > 0:
+        e = page.up[e]
+        above.add(e)
+    # outermost elements first: the best sums from the content root down to each element, and what holds cells and quotes
+    most, solid = [None] * len(page.tag), [0] * len(page.tag)
+    for e in range(1, len(page.tag)):
+        up, tag = page.up[e], page.tag[e]
+        sums = within.get(e) if tag in CONTAINERS or tag in DECLARED else None
+        solid[e] = e if sums and tag not in PARTS else solid[up]
+        begins = e == page.root[e] or page.root[e] < 0 and e == root and tag != "body"
+        if begins or most[up]:
+            most[e] = max([x for x in (sums, None if begins else most[up]) if x], key=ratio, default=None)
+    for key, value in score.items():
+        e, holder = seen[key], key[1]
+        if value >= SHARE * best or page.out[e]:
             continue
-        marks = sum(x.text.count(c) for c in ".,;:!?")
-        for table, key in ((own, x.path), (around, x.container), (nearest, x.around[-1:]), *((within, c) for c in x.around)):
-            for i, v in enumerate((size, marks, size * x.link, 1)):
-                table[key][i] += v
-
-    def ratio(s: list[float]) -> float:
-        size, marks, links, count = s
-        return math.log1p(size / max(count, 1)) * (1 + math.log1p(marks)) * (1 - links / max(size, 1)) if size else 0.0
-
-    fused = {}
-    for x in found:
-        if x.path not in fused:
-            # inside an article the article's own ratio counts, elsewhere both alike
-            weight = 1.0 if x.container and x.container[-1] in ("article", "main") else 0.5
-            fused[x.path] = weight * ratio(around[x.container]) + (1 - weight) * ratio(own[x.path])
-    best = max(fused.values(), default=0.0)
-    root = max(around, key=lambda c: around[c][0] - around[c][2], default=())
-    risen = set()
-    for x in found:
-        if x.path in risen or fused[x.path] >= SHARE * best:
+        size, _, links, _ = held[holder]
+        if page.tag[e] != "h1" and 2 * links > size:
             continue
-        risen.add(x.path)
-        declared = next((c for c in x.around if c[-1] in DECLARED), None)
-        size, _, links, _ = nearest[x.around[-1:]]
-        if "h1" not in x.path and 2 * links > size:
+        if page.root[e] >= 0:
+            score[key] = max(value, fused(key, most[e], True) if most[e] else 0.0)
             continue
-        if declared:
-            up, weight = [c for c in x.around if len(c) >= len(declared)], 1.0
-        else:
-            up, weight = [c for c in x.around if root and c[: len(root)] == root and root[-1] != "body"], 0.5
-            kept = [c for c in x.around if c[-1] not in PARTS]
-            if x.around and x.around[-1][-1] in PARTS:
-                up += kept[-1:]
-            if "h1" in x.path and root[: len(x.container)] == x.container:
-                up, weight = [*up, root], 1.0
-        fused[x.path] = max([fused[x.path], *(weight * ratio(within[c]) + (1 - weight) * ratio(own[x.path]) for c in up)])
-    return [x for x in found if fused[x.path] >= SHARE * best and best > 0]
+        up = [(most[holder], False), (within[solid[holder]] if page.tag[holder] in PARTS and solid[holder] else None, False)]
+        up.append((within[root] if page.tag[e] == "h1" and holder in {*above, root} else None, True))
+        score[key] = max([value, *(fused(key, sums, whole) for sums, whole in up if sums)])
+    return [x for x in page.nodes if score.get((page.path[x[0]], page.holder[x[0]]), 0) >= SHARE * best > 0]
 
 
 def extract(html: str | None) -> str:
     """The page's main text."""
     pieces: dict[int, list[str]] = {}
-    for x in content(nodes(html or "")):
-        pieces.setdefault(x.block, []).append(x.text)
+    for _, block, text in content(Page(html or "")):
+        pieces.setdefault(block, []).append(text)
     done = (" ".join("".join(p).split()) for p in pieces.values())
     return "\n\n".join(x for x in done if x)
 
