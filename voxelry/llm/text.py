@@ -35,6 +35,26 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         base, at = int(ends[to - 1]), to
 
 
+def cut_long(texts: pa.Array, limit: int) -> tuple[pa.Array, np.ndarray]:
+    """The texts, those of more than ``limit`` bytes in parts cut at white space where there is any, and each part's text."""
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    if not len(sizes) or sizes.max() <= limit:
+        return texts, np.arange(len(texts))
+    parts, of, step = [], [], max(1, limit // 8)  # at most four bytes a character
+    for i, text in enumerate(texts.to_pylist()):
+        at = 0
+        while len(text) - at > 2 * step and sizes[i] > limit:
+            m = SPACE.search(text, at + step, at + 2 * step)
+            to = m.start() if m else at + 2 * step
+            parts.append(text[at:to]), of.append(i)
+            at = to
+        parts.append(text[at:]), of.append(i)
+    return pa.array(parts, pa.large_string()), np.array(of)
+
+
+SPACE = re.compile(r"[ \t-\r]")
+
+
 @dataclass
 class Words:
     """Words of some texts: ``codes`` point into ``unique``; text i has codes[starts[i]:starts[i + 1]]."""
