@@ -5,7 +5,8 @@ base rules reject at once. The forest is fitted on labelled documents, at most `
 with the smallest hashes of their ids: each tree splits a random sample of good ones by random thresholds of random
 statistics. A document that few splits set apart from all others has short paths, hence a high anomaly score. All
 labelled rows that pass the base rules, sampled or not, set the threshold by a histogram of their scores in ``BINS``
-bins: the score that best tells good from bad, but with at most ``LOSS`` of the good ones above it. Where the labels lack one of the two kinds, the forest rejects nothing.
+bins: the score that best tells good from bad, but with at most ``LOSS`` of the good ones above it. Where the labels lack
+one of the two kinds, the forest rejects nothing.
 
 Cases: a null or empty text has no words and fails the base rules; words repeated throughout fail; documents without a
 label are judged like the others; of several labels for one id all count; equal rows are judged alike, each its own
@@ -15,11 +16,12 @@ row; an empty table gives no rows; other columns are left out, or kept whole by
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelry.llm.shared import materialize
@@ -28,6 +30,8 @@ from voxelry.llm.text import Words, encode, slices, split_words, texts_of
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RATIOS = ("word_length", "symbols", "dup_lines", "repeats", "upper", "digits", "punctuation", "doubled")
 TRAIN_ROWS, TREES, TREE_ROWS, LOSS, BINS = 4000, 200, 256, 0.002, 1 << 16
+#: Bytes of text that are measured at once.
+MEASURE_BYTES = 4 << 20
 
 
 def repeats(words: Words) -> np.ndarray:
@@ -84,16 +88,16 @@ def measure(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 MEASURED = ", ".join(["doc_id long", *(f"{c} long" for c in BASE), "ratios array<double>"])
 
 
-def measured(docs: DataFrame, more: str = "", schema: str = MEASURED) -> DataFrame:
+def measured(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch)
-            for a, b in slices(texts):
+            for a, b in slices(texts, MEASURE_BYTES):
                 base, ratios = measure(texts.slice(a, b - a))
                 columns = {"doc_id": batch.column("doc_id").slice(a, b - a)} | {c: pa.array(base[:, i], pa.int64()) for i, c in enumerate(BASE)}
                 yield pa.record_batch(columns | {"ratios": pa.array(list(ratios), pa.list_(pa.float64()))})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, MEASURED)
 
 
 class Forest:
@@ -165,36 +169,73 @@ def threshold(low: np.ndarray, high: np.ndarray, good: np.ndarray, bad: np.ndarr
     return float((high[best] + low[best + 1]) / 2) if best + 1 < len(low) else float(high[best])
 
 
-def rules(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, the base counts, base_failed, score and kept for each row of ``docs``."""
-    rows = materialize(measured(docs), "measured").withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    known = rows.filter(~F.col("base_failed")).join(labels.select("doc_id", "quality"), "doc_id").select("quality", "ratios", F.xxhash64("doc_id").alias("h"))
+@dataclass
+class Verdict:
+    """A forest and the score above which it rejects; without a forest nothing is rejected."""
+
+    forest: Forest | None
+    limit: float
+
+    def scores(self, ratios: np.ndarray) -> np.ndarray:
+        return self.forest.scores(ratios) if self.forest else np.zeros(len(ratios))
+
+
+def learned(rows: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Verdict:
+    """The verdict of the forest fitted on the labelled ones of measured ``rows`` that pass the base rules."""
+    known = rows.filter(~base_failed()).join(labels.filter("quality in (0, 1)").select("doc_id", "quality"), "doc_id")
+    known = materialize(known.select("quality", "ratios", F.xxhash64("doc_id").alias("h")), "labelled")
     pick = lambda q: np.array([r.ratios for r in known.filter(F.col("quality") == q).orderBy("h").limit(train_rows).collect()]).reshape(-1, len(RATIOS))
     good, bad = pick(1), pick(0)
-    forest = Forest(good, bad) if len(good) else None
-    shared = docs.sparkSession.sparkContext.broadcast(forest)
-    names = ("doc_id", *BASE, "base_failed")
+    if not len(good):
+        return Verdict(None, float("inf"))
+    forest = Forest(good, bad)
+    shared = rows.sparkSession.sparkContext.broadcast(forest)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("ratios").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(RATIOS))
+            yield pa.record_batch({"quality": batch.column("quality"), "score": pa.array(shared.value.scores(x))})
+
+    every = known.select("quality", "ratios").mapInArrow(score, f"quality {known.schema['quality'].dataType.simpleString()}, score double")
+    count = lambda q: F.sum((F.col("quality") == q).cast("long"))
+    bins = every.groupBy(F.floor(F.col("score") * BINS).alias("bin")).agg(F.min("score").alias("low"), F.max("score").alias("high"), count(1).alias("good"), count(0).alias("bad"))
+    found = sorted(bins.collect(), key=lambda b: b.bin)  # at most BINS + 1 rows
+    return Verdict(forest, threshold(*(np.array([b[c] for b in found]) for c in ("low", "high", "good", "bad"))))
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def rules(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, the base counts, base_failed, score and kept for each row of ``docs``."""
+    rows = materialize(measured(docs), "measured")
+    verdict = learned(rows, labels, train_rows)
+    shared, names = docs.sparkSession.sparkContext.broadcast(verdict), ("doc_id", *BASE, "base_failed")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = shared.value
         for batch in batches:
             x = batch.column("ratios").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(RATIOS))
-            score = forest.scores(x) if forest else np.zeros(len(x))
-            yield pa.record_batch({c: batch.column(c) for c in names} | {"score": pa.array(score)})
+            yield pa.record_batch({c: batch.column(c) for c in names} | {"score": pa.array(shared.value.scores(x))})
 
     schema = ", ".join(["doc_id long", *(f"{c} long" for c in BASE), "base_failed boolean, score double"])
-    scored = materialize(rows.select(*names, "ratios").mapInArrow(judge, schema), "judged")
-    limit = float("inf")
-    if forest:
-        every = scored.filter(~F.col("base_failed")).join(labels.filter("quality in (0, 1)").select("doc_id", "quality"), "doc_id")
-        count = lambda q: F.sum((F.col("quality") == q).cast("long"))
-        bins = every.groupBy(F.floor(F.col("score") * BINS).alias("bin")).agg(F.min("score").alias("low"), F.max("score").alias("high"), count(1).alias("good"), count(0).alias("bad"))
-        found = sorted(bins.collect(), key=lambda b: b.bin)  # at most BINS + 1 rows
-        limit = threshold(*(np.array([b[c] for b in found]) for c in ("low", "high", "good", "bad")))
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") <= limit))
-
-
-def kept_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with all columns, without the documents that the rules reject; an id counts as kept if all its rows are."""
-    lost = rules(docs, labels).filter("not kept").select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, F.col("doc_id").eqNullSafe(F.col("_lost")), "left_anti")
+    scored = rows.withColumn("base_failed", base_failed()).select(*names, "ratios").mapInArrow(judge, schema)
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") <= verdict.limit))
+
+
+def kept_rows(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """``docs`` with all columns, without the rows that the rules reject. Each row is judged where it stands, by being
+    measured again: no text is shuffled, and rows of one id do not share a verdict."""
+    shared = docs.sparkSession.sparkContext.broadcast(learned(measured(docs), labels, train_rows))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        verdict = shared.value
+        for batch in batches:
+            texts = texts_of(batch)
+            for a, b in slices(texts, MEASURE_BYTES):
+                base, ratios = measure(texts.slice(a, b - a))
+                n, repeat = base[:, BASE.index("n_words")], base[:, BASE.index("n_repeat_words")]
+                good = (n >= 50) & (100 * repeat <= 50 * n) & (verdict.scores(ratios) <= verdict.limit)
+                yield batch.slice(a, b - a).filter(pa.array(good))
+
+    return docs.mapInArrow(keep, docs.schema)
