@@ -97,16 +97,28 @@ class Shard:
         local = isinstance(self.store, pafs.LocalFileSystem)
         self.ids = np.memmap(f"{self.name}.ids", self.dtype, "r") if local and self.offsets[-1] else None
 
-    def tokens(self, i: int) -> np.ndarray:
-        """Ids of document i of the shard."""
-        a, b = int(self.offsets[i]), int(self.offsets[i + 1])
+    def span(self, a: int, b: int) -> np.ndarray:
+        """Ids of the shard's documents from a to before b, in one read."""
+        first, end = int(self.offsets[a]), int(self.offsets[b])
         if self.ids is not None:
-            return self.ids[a:b]
+            return self.ids[first:end]
         with self.store.open_input_file(f"{self.name}.ids") as f:
-            return np.frombuffer(f.read_at((b - a) * self.dtype.itemsize, a * self.dtype.itemsize), self.dtype)
+            return np.frombuffer(f.read_at((end - first) * self.dtype.itemsize, first * self.dtype.itemsize), self.dtype)
+
+    def tokens(self, i: int) -> np.ndarray:
+        """Ids of document i of the shard."""
+        return self.span(i, i + 1)
+
+    def ranges(self, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+        """Runs of documents with at most ``most`` ids, or one longer document."""
+        at, n = 0, len(self.doc_ids)
+        while at < n:
+            to = max(at + 1, int(np.searchsorted(self.offsets, self.offsets[at] + most, side="right")) - 1)
+            yield at, to
+            at = to
 
 
-def read_shards(spark: SparkSession, path: str, manifest: list[dict], batch_rows: int = 4096) -> DataFrame:
+def read_shards(spark: SparkSession, path: str, manifest: list[dict]) -> DataFrame:
     """A row for each document in the shards: doc_id, start over all shards, n_tokens, CRC-32 of its ids as uint32."""
     if not manifest:
         return spark.createDataFrame([], READ)
@@ -117,10 +129,10 @@ def read_shards(spark: SparkSession, path: str, manifest: list[dict], batch_rows
             for k in batch.column("id").to_pylist():
                 number, base, dtype = parts[k]
                 shard = Shard(path, number, dtype)
-                n = len(shard.doc_ids)
-                for a in range(0, n, batch_rows):
-                    b = min(n, a + batch_rows)
-                    crcs = [zlib.crc32(shard.tokens(i).astype("<u4").tobytes()) for i in range(a, b)]
+                for a, b in shard.ranges():
+                    raw = memoryview(shard.span(a, b).astype("<u4")).cast("B")
+                    at = (4 * (shard.offsets[a : b + 1] - shard.offsets[a])).tolist()
+                    crcs = [zlib.crc32(raw[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
                     yield pa.record_batch({
                         "doc_id": pa.array(shard.doc_ids[a:b], pa.int64(), mask=~shard.valid[a:b]),
                         "start": pa.array(base + shard.offsets[a:b], pa.int64()),
