@@ -132,6 +132,26 @@ def test_media_column(spark):
     assert len(frames) == 4 and b"".join(bytes(f.samples) for f in sorted(frames, key=lambda f: f.frame)).rstrip(b"\0") == b"long text " * 19_999 + b"long text "
 
 
+def test_feature_without_rendering_is_the_rendered_one():
+    rng = np.random.default_rng(2)
+    for disposal in (0, 1, 2, 3):
+        frames = [media_gif.Frame(rng.integers(0, 200, (h, 4)).astype(np.uint8), y=y, disposal=disposal, transparent=t) for h, y, t in ((6, 0, None), (3, 2, 7), (5, 4, None))]
+        gif = media_gif.decode(media_gif.encode(media_gif.Gif(4, 6, rng.integers(0, 256, (256, 3)).astype(np.uint8), 0, frames)))
+        want = [media_gif.histogram(canvas) for _, canvas in media_gif.rendered(gif)]
+        assert all((a == b).all() for a, b in zip(media_gif.histograms(gif), want, strict=True))
+
+
+def test_streams_decode_together():
+    rng = np.random.default_rng(4)
+    data = [rng.integers(0, 4, n).astype(np.uint8).tobytes() for n in (0, 1, 5, 9000, 40_000)]
+    for bits in (2, 8):
+        streams = media_gif.packed([media_gif.lzw_codes(d, bits) for d in data], [bits] * len(data))
+        assert streams == [media_gif.lzw_encode(d, bits) for d in data]
+        assert media_gif.lzw_decode_all(streams, [bits] * len(data)) == data
+    with pytest.raises(ValueError):
+        media_gif.lzw_decode((256 | 300 << 9 | 257 << 18).to_bytes(4, "little"))
+
+
 def test_media_query(spark):
     rows = op7_media_gif(spark, SF).collect()
     by = {}
@@ -165,6 +185,31 @@ def test_other_templates(wrap):
     assert html_extract.extract(PAGE % (wrap % body)).split("\n\n") == want
 
 
+def test_ratios_decide_alone(spark):
+    """Pages that declare nothing: no class, id or role, and plain divisions for the sectioning elements."""
+    import re
+    from collections import Counter
+    from html import unescape
+
+    right = found = wanted = 0
+    for p in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        article = re.search(r"<article>(.*?)(</article>|\Z)", p.html, re.S)[1]
+        want = Counter(x for b in re.split(r"<(?:p|h1|/p|/h1)>", article.replace("<br>", " ")) if (x := " ".join(unescape(re.sub("<[^>]*>", "", b)).split())))
+        plain = re.sub(r'\s(class|id|role)="[^"]*"', "", re.sub(r"<(/?)(nav|article|footer|header|main|aside|section)\b[^>]*>", r"<\1div>", p.html))
+        got = Counter(x for x in html_extract.extract(plain).split("\n\n") if x)
+        right, found, wanted = right + (got & want).total(), found + got.total(), wanted + want.total()
+    assert right / found > 0.9 and right / wanted > 0.99
+
+
+@pytest.mark.parametrize("page", ["<b>x" * 250_000, "<a " * 300_000, "<div>x." * 100_000, "<ul><li>y, " * 60_000, "<b>" * 90_000 + "</i>" * 90_000, "<p>Some words, of a text. " * 20 + "<div>x" * 100_000])
+def test_open_elements_in_time(page):
+    import time
+
+    began = time.process_time()
+    html_extract.extract(page)
+    assert time.process_time() - began < 15
+
+
 PARAGRAPH = "<p>" + "Some words of the text, in order, that say what it is about; and more. " * 4 + "</p>"
 
 

@@ -12,6 +12,7 @@ import pytest
 from tests.conftest import SF
 from voxelry.llm import language_id, lm_scoring, quality_forest
 from voxelry.llm.queries import op2_lm_scoring, op10_quality_forest, page_language
+from voxelry.llm import text as text_module
 from voxelry.llm.text import split_words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -94,12 +95,12 @@ def test_base_scores(spark, frequent):
     assert lm_scoring.scores(df.limit(0)).count() == 0
 
 
-def test_depth_gives_way_to_the_bound(spark):
-    df = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
-    counts = lm_scoring.counts(df, 5).persist()
-    assert lm_scoring.trie_of(counts, 5, 10_000).depth < 5
-    deep = lm_scoring.trie_of(counts, 5, 10_000_000)
-    assert deep.depth == 5
+def test_long_texts_in_windows():
+    texts = pa.array(["ab", "", "The quick brown É fox " * 50, "x" * 700, "z"], pa.large_string())
+    whole, sizes = lm_scoring.runs(texts, 4)
+    for limit in (16, 100, 10_000):
+        parts = list(lm_scoring.run_windows(texts, 4, limit))
+        assert (np.concatenate([p for p, _ in parts]) == whole).all() and (np.concatenate([r for _, r in parts]) == np.repeat(np.arange(5), sizes)).all()
 
 
 @pytest.mark.parametrize("costs", [0, 300, 1_000_000])
@@ -169,6 +170,25 @@ def test_rules(spark):
     assert np.mean([k for q, k in judged if q == 1]) > 0.98 and np.mean([k for q, k in judged if q == 0]) < 0.3
 
 
+def test_verdict_on_rows_it_has_not_seen(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = quality_forest.rules(docs, labels.filter("doc_id % 2 = 0")).join(labels.filter("doc_id % 2 = 1"), "doc_id").filter("not base_failed").collect()
+    good, bad = ([r.kept for r in rows if r.quality == q] for q in (1, 0))
+    assert len(good) > 100 and np.mean(good) > 0.97
+    assert len(bad) > 10 and np.mean(bad) < 0.5
+
+
+def test_kept_rows_judges_row_by_row(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").withColumn("_lost", quality_forest.F.lit("x"))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    ruled = quality_forest.rules(docs, labels).collect()
+    want = sorted(r.doc_id for r in ruled if r.kept)
+    poor = spark.createDataFrame([(want[0], "too short", "x"), (None, None, "x"), (10**9, "word " * 300_000, "x")], docs.schema)
+    got = quality_forest.kept_rows(docs.unionByName(poor).unionByName(docs.filter(f"doc_id = {want[0]}")), labels)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == sorted([*want, want[0]])
+
+
 def test_threshold_covers_all_labelled_rows(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     quality = {r.doc_id: r.quality for r in labels.collect()}
@@ -211,6 +231,97 @@ def test_text_beats_a_wrong_declaration(spark):
     assert kept.columns == docs.columns and kept.filter("doc_id = -4").count() == 0
 
 
+def fused_by_hand(rows, k=language_id.K):
+    """Language and posterior of each (text, declaration, host), every sum written out; the model is of all declared rows."""
+    said = sorted({d for _, d, _ in rows if d})
+    grams = [collections.Counter(language_id.trigrams(pa.array([t or ""], pa.large_string()))[0].tolist()) for t, _, _ in rows]
+    share = {}
+    for c in said:
+        n = sum((g for g, (_, d, _) in zip(grams, rows, strict=True) if d == c), collections.Counter())
+        total = sum(n.values()) + 0.5 * language_id.BUCKETS
+        share[c] = lambda b, n=n, total=total: math.log((n[b] + 0.5) / total)
+    share["und"] = lambda b: -math.log(language_id.BUCKETS)
+    names = [*said, "und"]
+    text = [[min(1, language_id.EVIDENCE / max(sum(g.values()), 1)) * sum(m * share[c](b) for b, m in g.items()) for c in names] for g in grams]
+    best = [names[max(range(len(names)), key=lambda i: x[i])] if g else "und" for x, g in zip(text, grams, strict=True)]
+    every = [best.count(c) + 1 for c in names]
+    root = [x / sum(every) for x in every]
+    domain_of = lambda h: h if h.count(".") < 2 else ".".join(h.split(".")[-2:])
+    suffix_of = lambda h: h.rsplit(".", 1)[1] if h and "." in h else None
+
+    def smoothed(where, parent):
+        own = [sum(where(h) and b == c for (_, _, h), b in zip(rows, best, strict=True)) for c in names]
+        return [(x + k * p) / (sum(own) + k) for x, p in zip(own, parent, strict=True)]
+
+    def evidence(value, of):
+        have = [(of(r), b) for r, b in zip(rows, best, strict=True) if of(r)]
+        part = sum(v == value for v, _ in have) / max(len(have), 1)
+        return [(sum(v == value and b == c for v, b in have) + k * part) / (sum(b == c for _, b in have) + k) for c in names]
+
+    out = []
+    for x, (_, d, h), g in zip(text, rows, grams, strict=True):
+        prior = smoothed(lambda y: y == h, smoothed(lambda y: bool(y) and domain_of(y) == domain_of(h), root)) if h else root
+        logs = [a + math.log(p) for a, p in zip(x, prior, strict=True)]
+        for value, of in ((d, lambda r: r[1]), (suffix_of(h), lambda r: suffix_of(r[2]))):
+            if value:
+                logs = [a + math.log(e) for a, e in zip(logs, evidence(value, of), strict=True)]
+        top = max(logs)
+        out.append((names[logs.index(top)], 1 / sum(math.exp(v - top) for v in logs)) if g else ("und", 1.0))
+    return out
+
+
+def test_fusion_against_brute_force(spark):
+    docs = [r for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    hosts = ["a.x.de", "b.x.de", "www.y.com", "y.com", None, "plain", "z.fr"]
+    rows = [(r.text[:200], r.lang if i % 4 else None, hosts[i % 7]) for i, r in enumerate(docs)] + [("", "en", "y.com"), (None, None, None), ("12 34", "fr", "z.fr"), (docs[0].text[:200], "xx", "a.x.de")] * 2
+    df = spark.createDataFrame([(i, *r, 1) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, posterior int")
+    got = {r.doc_id: r for r in language_id.language_id(df).collect()}
+    for i, (language, posterior) in enumerate(fused_by_hand(rows)):
+        assert got[i].language == language and math.isclose(got[i].posterior, posterior, rel_tol=1e-5), i
+
+
+def test_text_alone_tells_languages_it_was_not_told(spark):
+    """Held out: half of the rows declare nothing and have no host; their language comes from the text."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source")
+    half = docs.withColumn("told", language_id.F.when(language_id.F.col("doc_id") % 2 == 0, language_id.F.col("lang")))
+    rows = {r.doc_id: r for r in language_id.language_id(half, declared="told", host=None).collect()}
+    apart = [(rows[r.doc_id].text_language, r.lang) for r in docs.collect() if r.doc_id % 2 and len(r.text) > 100]
+    assert len(apart) > 50 and np.mean([a == b for a, b in apart]) > 0.97
+
+
+def test_every_declared_language_takes_part(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    codes = [a + b + "q" for a in letters for b in letters][:300]
+    rows = [(i, f"{c[:2] * 3}ab {c[:2]}{c[1]}zo {c[1]}{c[0] * 2}ek " * 10, c, None) for i, c in enumerate(codes)]
+    df = spark.createDataFrame(rows + [(i + 1000, t, None, h) for i, t, _, h in rows] + [(5000, "abc", "english", None)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.text_language for r in language_id.language_id(df).collect()}
+    assert np.mean([got[i] == c and got[i + 1000] == c for i, c in enumerate(codes)]) > 0.95 and "english" not in got.values()
+
+
+def test_hot_values_are_joined(spark):
+    rows = spark.createDataFrame([("a",)] * 50 + [("b",)] * 3 + [("c",), (None,), ("d",)], "host string")
+    found = spark.createDataFrame([("a", "A", 50), ("b", "B", 3), ("c", "C", 1)], "host string, v string, n long")
+    for most in (0, 1, 10):
+        got = language_id.joined(rows, found, "host", "v", most)
+        assert got.columns == ["host", "v"] and sorted((r.host or "", r.v or "") for r in got.collect()) == sorted([("a", "A")] * 50 + [("b", "B")] * 3 + [("c", "C"), ("", ""), ("d", "")])
+
+
+def test_long_texts_are_cut_at_white_space():
+    texts = ["abc def " * 400, "x" * 3000, "short", "", "é" * 2000]
+    parts, of = text_module.cut_long(pa.array(texts, pa.large_string()), 800)
+    parts = parts.to_pylist()
+    assert ["".join(p for p, k in zip(parts, of, strict=True) if k == i) for i in range(5)] == texts
+    assert max(len(p.encode()) for p in parts) <= 800 and not any(p.rstrip().endswith("ab") for p in parts)
+
+
+def test_rows_of_one_id_and_clashing_names(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40).select("doc_id", "text", "lang", "source").withColumn("_lost", language_id.F.lit(1)).withColumn("of", language_id.F.lit(2))
+    more = spark.createDataFrame([(docs.first().doc_id, "12 34 !!", "en", "src0", 1, 2), (None, "12", None, None, 1, 2), (None, None, None, None, 1, 2)], docs.schema)
+    kept = language_id.kept_rows(docs.unionByName(more).unionByName(docs.limit(1)))
+    assert kept.columns == docs.columns and kept.count() == language_id.kept_rows(docs).count() + 1
+    assert language_id.kept_rows(docs.limit(0)).count() == 0
+
+
 def test_language_of_odd_tables(spark):
     df = spark.createDataFrame([(1, "abc def", None, None)], "doc_id long, text string, lang string, source string")
     assert language_id.language_id(df).first().language == "und"

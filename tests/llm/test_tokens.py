@@ -54,6 +54,19 @@ def test_shards_are_flat_files(spark, docs, tmp_path):
     assert spark.read.parquet(f"{path}/manifest").count() == len(manifest)
 
 
+def test_ranges_hold_every_document(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/tokens"
+    for m in token_output.write_shards(docs, path, PATH, 2, 1 << 20):
+        shard = token_output.Shard(path, m["shard"], m["dtype"])
+        for most in (1, 100, 5000, 1 << 21):
+            found = list(shard.ranges(most))
+            assert [i for a, b in found for i in range(a, b)] == list(range(len(shard.doc_ids)))
+            assert all(shard.offsets[b] - shard.offsets[a] <= most or b == a + 1 for a, b in found)
+            mapped, shard.ids = shard.ids, None  # as where the store is not local
+            assert all((shard.span(a, b) == mapped[shard.offsets[a] : shard.offsets[b]]).all() for a, b in found)
+            shard.ids = mapped
+
+
 def test_empty(spark, docs):
     assert token_output.token_output(docs.limit(0), PATH).count() == 0
     assert packing.pack(docs.limit(0), PATH).count() == 0
