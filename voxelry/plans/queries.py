@@ -57,6 +57,31 @@ def face_blocks(field: str, planes: tuple[str, ...] = ("xy",)) -> str:
 SUMMARY = "SELECT vol_id, count(*) AS n_blocks, count(*) FILTER (WHERE gap > 0) AS n_violations, coalesce(max(gap) FILTER (WHERE gap > 0), 0)::DOUBLE AS max_abs_error, (count(*) FILTER (WHERE gap > 0)) / count(*)::DOUBLE AS violation_rate FROM blocks GROUP BY vol_id"
 
 
+def closure(name: str, start: str) -> str:
+    """SQL of CTEs ``<name>_front`` and ``<name>``: the well-composed field, a step of the front in each round of a recursion.
+
+    ``start`` has a row for each group with key columns k (a list), w, h, d cells along the axes, l (the border's level),
+    and lists lo, hi and s in row-major order; s holds the level at which a cell waits, -1 for none. A step closes all cells
+    that wait at the level nearest to the last one, the upper of two, and lets their neighbours wait.
+    """
+    at = "(i - 1)"
+    ways = [(f"{at} // (h * d) > 0", "i - h * d"), (f"{at} // (h * d) < w - 1", "i + h * d"), (f"{at} // d % h > 0", "i - d"), (f"{at} // d % h < h - 1", "i + d"), (f"{at} % d > 0", "i - 1"), (f"{at} % d < d - 1", "i + 1")]
+    touched = " OR ".join(f"({there} AND s[{j}] = l)" for there, j in ways)
+    nearest = "255 - list_min(list_transform(list_filter(s, lambda v: v BETWEEN 0 AND 255), lambda v: abs(v - l) * 1000 + 255 - v)) % 1000"
+    return f"""{name}_front AS (SELECT k, w, h, d, l, lo, hi, s, 0 AS step FROM ({start})
+  UNION ALL SELECT k, w, h, d, l, lo, hi, list_transform(s, lambda v, i: CASE WHEN v = l THEN 1000 + l WHEN v = -1 AND ({touched}) THEN greatest(lo[i], least(l, hi[i])) ELSE v END), step + 1
+  FROM (SELECT k, w, h, d, lo, hi, s, step, ({nearest})::INT AS l FROM {name}_front WHERE list_bool_or(list_transform(s, lambda v: v BETWEEN 0 AND 255)))),
+{name} AS (SELECT k, (i // (h * d))::INT AS ex, (i // d % h)::INT AS ey, (i % d)::INT AS ez, (s[i + 1] - 1000)::INT AS u FROM (SELECT k, w, h, d, arg_max(s, step) AS s FROM {name}_front GROUP BY ALL), range(343) t(i) WHERE i < w * h * d)"""
+
+
+def dense_start(cells: str, keys: str, level: str, d: str = "7", seed: str = "NULL") -> str:
+    """SQL of ``closure``'s start from cells (keys, ex, ey, ez, lo, hi): those at the rim wait, and those with a seed."""
+    rim = f"least(ex, ey, ez) = 0 OR greatest(ex, ey) = 6 OR ez = {d} - 1"
+    waits = f"CASE WHEN {seed} IS NOT NULL THEN {seed} WHEN {rim} THEN greatest(lo, least({level}, hi)) ELSE -1 END"
+    order = "ORDER BY ex, ey, ez"
+    return f"SELECT [{keys}] AS k, 7 AS w, 7 AS h, any_value({d})::INT AS d, any_value({level})::INT AS l, list(lo::INT {order}) AS lo, list(hi::INT {order}) AS hi, list(({waits})::INT {order}) AS s FROM {cells} GROUP BY [{keys}]"
+
+
 def emb(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     return raster.embeddings(spark, sf_dir, f"emb{n}d")
 
@@ -171,16 +196,17 @@ def violating_cells(spark, sf_dir):
     return verify.violating_cells(interpolate.linear(emb(spark, sf_dir, 2)), flat=True).select("vol_id", "ex", "ey", "ez")
 
 
-@query("SELECT vec_id AS vol_id, 0 AS max_error FROM embeddings")
+@query(f"WITH {volumes(2)} SELECT vol_id, max(abs(greatest(lo, least(0, hi)) - v))::INT AS max_error FROM cells JOIN vox USING (vol_id) WHERE ex = 2 * x AND ey = 2 * y GROUP BY vol_id")
 def zero_cell_error(spark, sf_dir):
     voxels = emb(spark, sf_dir, 2)
     return verify.voxel_error(interpolate.field_2d(voxels), voxels)
 
 
-@query("SELECT vec_id AS vol_id, 0::BIGINT AS n_outside, 225::BIGINT AS n_cells FROM embeddings")
+@query(f"WITH {volumes(2)} SELECT vol_id, count(*) FILTER (WHERE 100 NOT BETWEEN lo AND hi) AS n_outside, count(*) AS n_cells FROM cells GROUP BY vol_id")
 def interval_bounds(spark, sf_dir):
-    voxels = emb(spark, sf_dir, 2)
-    return verify.within_span(interpolate.field_2d(voxels, "border_median"), interpolate.interval_span(voxels))
+    """Cells whose span does not hold 100, as a field that is 100 everywhere."""
+    cells = interpolate.interval_span(emb(spark, sf_dir, 2))
+    return verify.within_span(cells.withColumn("u", F.lit(100)), cells)
 
 
 @query(f"""WITH {volumes(3)}, c AS (SELECT p.vol_id, p.ex, p.ey, p.ez, any_value(p.med) AS u, min(q.med) AS lo, max(q.med) AS hi FROM cells p JOIN cells q ON p.vol_id = q.vol_id
@@ -336,26 +362,42 @@ def f_ord(spark, sf_dir):
 
 # --- propagation and slabs: invariants of the gray fields
 
-_fine = "SELECT vec_id AS vol_id, 0::BIGINT AS n_violations, 0::BIGINT AS n_outside, 343::BIGINT AS n_cells FROM embeddings"
+_whole = closure("whole", dense_start("cells", "vol_id", "0"))
+_faces3 = "faces AS (" + " UNION ALL ".join(f"SELECT vol_id, v FROM vox WHERE {c} = {e}" for c in "xyz" for e in (0, 3)) + "), border AS (SELECT vol_id, round_even(median(v), 0)::INT AS l FROM faces GROUP BY vol_id)"
+
+
+def _checked(field: str, cells: str = "cells") -> str:
+    """SQL of blocks, violations and sums of a field f (vol_id, ex, ey, ez, u)."""
+    return f"""blocks AS ({face_blocks('f', ('xy', 'xz', 'yz'))} UNION ALL {_body()}), bad AS (SELECT vol_id, count(*) FILTER (WHERE gap > 0) AS n_violations FROM blocks GROUP BY vol_id),
+sums AS (SELECT vol_id, count(*) FILTER (WHERE u NOT BETWEEN lo AND hi) AS n_outside, count(*) AS n_cells, sum(u)::BIGINT AS total, sum(u * (ex + 7 * ey + 49 * ez + 1))::BIGINT AS placed FROM f JOIN {cells} USING (vol_id, ex, ey, ez) GROUP BY vol_id)
+SELECT vol_id, n_violations, n_outside, n_cells, total, placed FROM bad JOIN sums USING (vol_id)"""
 
 
 def _invariants(spark, sf_dir, l_inf):
     voxels = emb(spark, sf_dir, 3)
     field = checkpointed(propagate.propagated(voxels, l_inf), "field")
-    checked = verify.well_composed(field).select("vol_id", "n_violations")
-    return checked.join(verify.within_span(field, interpolate.interval_span(voxels)), "vol_id").select("vol_id", "n_violations", "n_outside", "n_cells")
+    checked = verify.well_composed(field).select("vol_id", "n_violations").join(verify.within_span(field, interpolate.interval_span(voxels)), "vol_id")
+    place = F.col("ex") + 7 * F.col("ey") + 49 * F.col("ez") + 1
+    sums = field.groupBy("vol_id").agg(F.sum("u").alias("total"), F.sum(F.col("u") * place).alias("placed"))
+    return checked.join(sums, "vol_id").select("vol_id", "n_violations", "n_outside", "n_cells", "total", "placed")
 
 
-@query(_fine)
+@query(f"WITH RECURSIVE {volumes(3)}, {_whole}, f AS (SELECT k[1] AS vol_id, ex, ey, ez, u FROM whole), {_checked('f')}")
 def udwc3d_zero(spark, sf_dir):
     return _invariants(spark, sf_dir, "zero")
 
 
-@query(_fine)
+@query(f"WITH RECURSIVE {volumes(3)}, {_faces3}, with_l AS (SELECT * FROM cells JOIN border USING (vol_id)), {closure('whole', dense_start('with_l', 'vol_id', 'l'))}, f AS (SELECT k[1] AS vol_id, ex, ey, ez, u FROM whole), {_checked('f')}")
 def udwc3d_median(spark, sf_dir):
     return _invariants(spark, sf_dir, "border_median")
 
 
+@query(f"WITH RECURSIVE {volumes(3)}, {_whole} SELECT k[1] AS vol_id, ex, ey, ez, u FROM whole")
+def immersion3d(spark, sf_dir):
+    """Every cell of the gray field."""
+    return propagate.propagated(emb(spark, sf_dir, 3), "zero").select("vol_id", "ex", "ey", "ez", "u")
+
+
 @query(f"""WITH RECURSIVE {volumes(3)}, b AS (SELECT vol_id, ex, ey, ez, (lo > 127)::INT AS lo, (hi > 127)::INT AS hi FROM cells),
 edge AS (SELECT vol_id, ex, ey, ez FROM b WHERE lo = 0 AND (least(ex, ey, ez) = 0 OR greatest(ex, ey, ez) = 6)),
 flood AS (SELECT vol_id, ex, ey, ez FROM edge UNION SELECT b.vol_id, b.ex, b.ey, b.ez FROM flood f, (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) s(dx, dy, dz), b
@@ -386,21 +428,60 @@ def udwc3d_flood(spark, sf_dir):
     return masks.select("vol_id").distinct().join(found, "vol_id", "left").na.fill(0, ["n_flooded"])
 
 
-for _k in (1, 2, 4):
+def _slabs_sql(k: int, delta: int) -> list[tuple[int, int, int, int, int]]:
+    """k, z0, z1, z0e, z1e of four planes in k slabs."""
+    size, out = 4 // k, []
+    for i in range(k):
+        z0, z1 = i * size, (i + 1) * size
+        out.append((i, z0, z1, max(0, z0 - delta), min(4, z1 + delta)))
+    return out
+
 
-    def _ibi(spark, sf_dir, k=_k):
+def rounds_sql(k: int, delta: int, eps: int, rounds: int) -> str:
+    """SQL of CTEs ``f0`` (slabs by themselves), ``f<r>`` (round r) and ``f`` with ``took``: injection rounds over the volumes."""
+    values = ", ".join(str((i, z0, z1, z0e, z1e, 2 * (z1e - z0e) - 1, 2 * z0 if i else 0, 2 * z1 if i < k - 1 else 7)) for i, z0, z1, z0e, z1e in _slabs_sql(k, delta))
+    parts = [f"""slab AS (SELECT * FROM (VALUES {values}) t(part, z0, z1, z0e, z1e, d, own_from, own_to)),
+local AS (SELECT vol_id, part, z0, z1, z0e, z1e, d, own_from, own_to, ex, ey, ez - 2 * z0e AS ez, lo, hi FROM cells JOIN slab ON ez BETWEEN 2 * z0e AND 2 * z0e + d - 1)"""]
+
+    def owned(r: int) -> str:
+        return f"f{r} AS (SELECT k[1] AS vol_id, ex, ey, ez + 2 * z0e AS ez, u FROM g{r} JOIN slab ON part = k[2] WHERE ez + 2 * z0e >= own_from AND ez + 2 * z0e < own_to)"
+
+    parts += [closure("g0", dense_start("local", "vol_id, part", "0", "d")), owned(0)]
+    for r in range(1, rounds + 1):
+        pinned = f"((part > 0 AND x.ez + 2 * z0e < 2 * z0 + 1) OR (part < {k - 1} AND x.ez + 2 * z0e >= 2 * z1 AND x.ez + 2 * z0e < 2 * z1e))"
+        parts.append(f"p{r} AS (SELECT x.vol_id, part, d, x.ex, x.ey, x.ez, CASE WHEN {pinned} THEN y.u END AS pin, coalesce(CASE WHEN {pinned} THEN y.u END, lo) AS lo, coalesce(CASE WHEN {pinned} THEN y.u END, hi) AS hi FROM local x JOIN f{r - 1} y ON x.vol_id = y.vol_id AND x.ex = y.ex AND x.ey = y.ey AND x.ez + 2 * z0e = y.ez)")
+        parts += [closure(f"g{r}", dense_start(f"p{r}", "vol_id, part", "0", "d", "pin")), owned(r)]
+        parts.append(f"c{r} AS (SELECT vol_id, {r} AS r, max(abs(f{r}.u - f{r - 1}.u)) AS change FROM f{r} JOIN f{r - 1} USING (vol_id, ex, ey, ez) GROUP BY vol_id)")
+    every = " UNION ALL ".join(f"SELECT * FROM c{r}" for r in range(1, rounds + 1))
+    parts.append(f"took AS (SELECT vol_id, least(coalesce(min(r) FILTER (WHERE change < {eps}), {rounds}), {rounds})::INT AS rounds FROM ({every}) GROUP BY vol_id)")
+    parts.append("f AS (" + " UNION ALL ".join(f"SELECT vol_id, ex, ey, ez, u FROM f{r} JOIN took USING (vol_id) WHERE rounds = {r}" for r in range(1, rounds + 1)) + ")")
+    return ",\n".join(parts)
+
+
+def _ibi_sql(k: int, delta: int = 1, eps: int = 1, rounds: int = 3) -> str:
+    bounds = ", ".join(f"({2 * z1 - 1}), ({2 * z1})" for i, _, z1, _, _ in _slabs_sql(k, delta) if i < k - 1) or "(-1)"
+    return f"""WITH RECURSIVE {volumes(3)}, {_whole}, {rounds_sql(k, delta, eps, rounds)}, blocks AS ({face_blocks('f', ('xy', 'xz', 'yz'))} UNION ALL {_body()}),
+bad AS (SELECT vol_id, count(*) FILTER (WHERE gap > 0) AS n_violations, count(*) FILTER (WHERE gap > 0 AND plane IN ('xz', 'yz') AND ez IN (SELECT z FROM (VALUES {bounds}) b(z))) AS bdry_violations FROM blocks GROUP BY vol_id),
+apart AS (SELECT f.vol_id, count(*) FILTER (WHERE f.u <> w.u) AS cells_differ, max(abs(f.u - w.u)) AS max_diff FROM f JOIN whole w ON w.k[1] = f.vol_id AND w.ex = f.ex AND w.ey = f.ey AND w.ez = f.ez GROUP BY f.vol_id)
+SELECT vol_id, n_violations, cells_differ, max_diff, bdry_violations, rounds FROM bad JOIN apart USING (vol_id) JOIN took USING (vol_id)"""
+
+
+#: Slabs, halo, tolerance and most rounds of the injection queries.
+IBI = {"ibi_k1": (1, 1, 0.5, 3), "ibi_k2": (2, 1, 0.5, 3), "ibi_k4": (4, 1, 0.5, 3), "ibi_wide": (2, 2, 0.5, 3), "ibi_eps": (4, 1, 2.0, 3)}
+for _name, (_k, _delta, _eps, _most) in IBI.items():
+
+    def _ibi(spark, sf_dir, k=_k, delta=_delta, eps=_eps, most=_most):
         voxels = checkpointed(emb(spark, sf_dir, 3), "volumes")
-        field, took = decompose.inject_each(voxels, k)
+        field, took = decompose.inject_each(voxels, k, delta, max_rounds=most, eps=eps)
         whole = propagate.propagated(voxels, "zero")
         checked = verify.well_composed(field).select("vol_id", "n_violations").join(verify.differing(field, whole), "vol_id")
-        bounds = decompose.bounds_of(decompose.slabs(voxels, k))
+        bounds = decompose.bounds_of(decompose.slabs(voxels, k, delta))
         return checked.join(verify.boundary_violations(field, bounds), "vol_id", "left").join(took, "vol_id").na.fill(0, ["bdry_violations"])
 
-    QUERIES[f"ibi_k{_k}"] = _ibi
-SQL["ibi_k1"] = "SELECT vec_id AS vol_id, 0::BIGINT AS n_violations, 0::BIGINT AS cells_differ, 0 AS max_diff, 0::BIGINT AS bdry_violations, 1 AS rounds FROM embeddings"
+    QUERIES[_name], SQL[_name] = _ibi, _ibi_sql(_k, _delta, -(-int(2 * _eps) // 2), _most)
 
 
-@query()
+@query(f"WITH RECURSIVE {volumes(3)}, {rounds_sql(2, 1, 1, 1)}, g AS (SELECT * FROM f0), blocks AS ({face_blocks('g', ('xy', 'xz', 'yz'))} UNION ALL {_body().replace('f c', 'g c')}) SELECT vol_id, count(*) AS n_blocks, count(*) FILTER (WHERE gap > 0) AS n_violations FROM blocks GROUP BY vol_id")
 def ibi_round0(spark, sf_dir):
     voxels = emb(spark, sf_dir, 3)
     field = decompose.round_zero(voxels, decompose.slabs(voxels, 2, 1))
