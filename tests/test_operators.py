@@ -91,6 +91,84 @@ def test_small_and_large_grids_close_alike(seed):
     assert (propagate.close_levels(low, high, 7, seeds) == propagate.close_levels(low, high, 7, seeds, small=0)).all()
 
 
+def queue_field(low, high, l_inf, seeds=None):
+    """One cell at a time from a first-in first-out queue for each level, over a padded grid held in dictionaries."""
+    import collections
+
+    span = {tuple(i): (int(low[tuple(i)]), int(high[tuple(i)])) for i in np.ndindex(low.shape)}
+    rim = {i for i in np.ndindex(tuple(n + 2 for n in low.shape))}
+    span = {tuple(c - 1 for c in i): span.get(tuple(c - 1 for c in i), (l_inf, l_inf)) for i in rim}
+    queues, seen, out, level = collections.defaultdict(collections.deque), set(), {}, l_inf
+
+    def put(cell, value):
+        if cell in span and cell not in seen:
+            seen.add(cell)
+            queues[value].append(cell)
+
+    put((-1, -1, -1), l_inf)
+    for i in np.ndindex(low.shape) if seeds is not None else ():
+        if seeds[i] >= 0:
+            put(i, int(seeds[i]))
+    while any(queues.values()):
+        level = min((v for v in queues if queues[v]), key=lambda v: (abs(v - level), -v))
+        cell = queues[level].popleft()
+        out[cell] = level
+        for axis in range(3):
+            for d in (-1, 1):
+                near = tuple(c + d * (a == axis) for a, c in enumerate(cell))
+                if near in span:
+                    put(near, max(span[near][0], min(level, span[near][1])))
+    return np.array([out[i] for i in np.ndindex(low.shape)]).reshape(low.shape)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_field_against_a_queue(seed):
+    rng = np.random.default_rng(seed)
+    low, high = propagate.dense_span(rng.integers(0, (2, 20, 256)[seed % 3], (3, 4, 3)))
+    seeds = np.where(rng.random(low.shape) < 0.1, rng.integers(low, high + 1), -1) if seed > 2 else None
+    for small in (0, 4096):
+        assert (propagate.close_levels(low, high, (0, 7, 90)[seed % 3], seeds, small) == queue_field(low, high, (0, 7, 90)[seed % 3], seeds)).all()
+
+
+def test_sweep_and_fill(voxels):
+    v = noise((4, 4, 4), 11, 2) * 200
+    swept = propagate.propagated(voxels(v0=v), "zero", ascending=True)
+    closed = dense(propagate.propagated(voxels(v0=v), "zero"))
+    found = dense(swept)
+    assert (found[~np.isnan(found)] == closed[~np.isnan(found)]).all()
+    cells = interpolate.interval_span(voxels(v0=v)).join(swept.select("vol_id", "ex", "ey", "ez", "u"), ["vol_id", "ex", "ey", "ez"])
+    filled = propagate.gap_filled(cells, 3)
+    assert filled.filter("u is null or u < lo or u > hi").count() == 0 and filled.count() == 7**3
+
+
+def test_volumes_are_validated(voxels):
+    df = voxels(v0=noise((3, 3, 3)))
+    assert verify.validated(df) is df
+    for bad in (df.drop("z"), df.filter("x > 0"), df.unionByName(df.limit(1)), df.withColumn("x", F.col("x") + 1), df.withColumn("v", F.col("v").cast("double")), df.withColumn("v", F.when(F.col("x") > 0, F.col("v")))):
+        with pytest.raises(ValueError):
+            verify.validated(bad)
+
+
+def test_sample_is_the_same_however_dealt(voxels):
+    df = voxels(v0=noise((20, 20))).withColumn("key", F.col("x") * 20 + F.col("y"))
+    one, two = ({r.key for r in labels.sampled(d, "key", 30, 5).collect()} for d in (df, df.repartition(7)))
+    assert one == two and len(one) == 30 and one != {r.key for r in labels.sampled(df, "key", 30, 6).collect()}
+
+
+def test_bell_and_random_walls(spark):
+    side = 16
+    bell = dense(raster.formula(spark, 0, (side,) * 3, raster.bell(side, 220)), ("x", "y", "z"), "v")
+    assert bell.max() == bell[8, 8, 8] == 220 and (bell[:, 8, 8] == bell[8, :, 8]).all()
+    size, value = raster.membranes()["random"]
+    walls = dense(raster.formula(spark, 0, size, value), ("x", "y", "z"), "v")
+    assert walls.shape == (48, 48, 24) and all(1 <= (walls[:, :, z].mean(axis=0) == 1).sum() <= 6 for z in range(24))
+
+
+def test_slab_bounds_are_checked(voxels):
+    with pytest.raises(ValueError):
+        decompose.inject_each(voxels(v0=noise((3, 3, 4))), 2, 1, shift=2)
+
+
 def test_determinism(voxels):
     df = voxels(v0=noise((4, 4, 4), 9))
     assert (dense(propagate.propagated(df)) == dense(propagate.propagated(df))).all()
@@ -154,7 +232,7 @@ def test_large_components_agree(voxels):
 
 
 def test_shapes_have_their_topology(spark):
-    want = {"disk": (1, 1), "ring": (1, 0), "two_disks": (2, 2), "line": (1, 1), "cross_gap": (4, 4), "diagonal": (20, 20)}
+    want = {"disk": (1, 1), "ring": (1, 0), "two_disks": (2, 2), "line": (1, 1), "cross_gap": (4, 4), "diagonal": (24, 24)}
     for k, (name, (size, value)) in enumerate(raster.shapes().items()):
         on = raster.formula(spark, k, size, value).filter("v = 1")
         b0 = topology.components(on, ["vol_id"], 4, ("x", "y", "z")).first().b0

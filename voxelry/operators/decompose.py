@@ -43,8 +43,12 @@ def bounds_of(parts: DataFrame) -> DataFrame:
     return parts.filter("k < n - 1").select("vol_id", F.col("z1").alias("zb"))
 
 
-def slab_field(pdf: pd.DataFrame, pins: pd.DataFrame | None, l_inf: int) -> pd.DataFrame:
-    """The planes that a slab owns: from twice its first plane to just before twice its end; the last slab all."""
+def slab_field(pdf: pd.DataFrame, pins: pd.DataFrame | None, l_inf: int, shift: int = 0) -> pd.DataFrame:
+    """The planes that a slab owns: from twice its first plane to just before twice its end; the last slab all.
+
+    With ``shift`` a bound's first planes belong to the slab before it: 1 for the plane of the bound itself, so that it
+    and the one below come from one slab, 2 for the plane above too.
+    """
     first = pdf.iloc[0]
     w, h, d, k, n, z0, z1, z0e, z1e = (int(first[c]) for c in ("w", "h", "d", "k", "n", "z0", "z1", "z0e", "z1e"))
     low, high = dense_span(to_dense(pdf.assign(zl=pdf["z"] - z0e), ("x", "y", "zl"), "v", (w, h, z1e - z0e)))
@@ -54,42 +58,45 @@ def slab_field(pdf: pd.DataFrame, pins: pd.DataFrame | None, l_inf: int) -> pd.D
         seeds = np.full(low.shape, -1, np.int64)
         low[at] = high[at] = seeds[at] = pins["u"].to_numpy()
     field = close_levels(low, high, l_inf, seeds)
-    begin = 2 * z0 if k else 0
-    end = 2 * z1 if k < n - 1 else 2 * d - 1
+    begin = 2 * z0 + shift if k else 0
+    end = 2 * z1 + shift if k < n - 1 else 2 * d - 1
     part = field[:, :, begin - 2 * z0e : end - 2 * z0e]
     ex, ey, ez = (a.ravel() for a in np.indices(part.shape, dtype=np.int32))
     return pd.DataFrame({"vol_id": int(first["vol_id"]), "w": w, "h": h, "d": d, "ex": ex, "ey": ey, "ez": ez + np.int32(begin), "u": part.ravel().astype(np.int32)})
 
 
-def round_zero(voxels: DataFrame, parts: DataFrame, l_inf: int = 0) -> DataFrame:
+def round_zero(voxels: DataFrame, parts: DataFrame, l_inf: int = 0, shift: int = 0) -> DataFrame:
     """Every slab by itself."""
-    return with_halo(voxels, parts).groupBy("vol_id", "k").applyInPandas(lambda pdf: slab_field(pdf, None, l_inf), FIELD)
+    return with_halo(voxels, parts).groupBy("vol_id", "k").applyInPandas(lambda pdf: slab_field(pdf, None, l_inf, shift), FIELD)
 
 
-def pins_of(field: DataFrame, parts: DataFrame) -> DataFrame:
-    """Planes of the assembled field that pin each slab: its halo and first plane below, its halo above."""
+def pins_of(field: DataFrame, parts: DataFrame, one_plane: bool = False) -> DataFrame:
+    """Planes of the assembled field that pin each slab: its halo and first plane below (with ``one_plane`` the latter
+    alone), its halo above."""
     joined = field.join(parts, "vol_id")
-    left = (F.col("k") > 0) & (F.col("ez") >= 2 * F.col("z0e")) & (F.col("ez") < 2 * F.col("z0") + 1)
+    left = (F.col("k") > 0) & (F.col("ez") >= 2 * F.col("z0" if one_plane else "z0e")) & (F.col("ez") < 2 * F.col("z0") + 1)
     right = (F.col("k") < F.col("n") - 1) & (F.col("ez") >= 2 * F.col("z1")) & (F.col("ez") < 2 * F.col("z1e")) & (F.col("ez") <= 2 * F.col("z1e") - 2)
     return joined.filter(left | right).select("vol_id", "k", "ex", "ey", "ez", "u")
 
 
-def inject_each(voxels: DataFrame, k: int, delta: int = 1, l_inf: int = 0, max_rounds: int = 8, eps: float = 0.5) -> tuple[DataFrame, DataFrame]:
+def inject_each(voxels: DataFrame, k: int, delta: int = 1, l_inf: int = 0, max_rounds: int = 8, eps: float = 0.5, shift: int = 0, one_plane: bool = False) -> tuple[DataFrame, DataFrame]:
     """Boundary-injection rounds from ``round_zero``; returns the field and how many rounds each volume took (vol_id, rounds).
 
     A round recomputes each slab with its pinned planes. It is a volume's last if none of the volume's cells changed by
-    ``eps`` or more; the others go on without it.
+    ``eps`` or more; the others go on without it. ``shift`` and ``one_plane`` are those of ``slab_field`` and ``pins_of``.
     """
+    if shift > 2 * delta - 1:
+        raise ValueError("a halo must hold the planes that its slab owns beyond the bound")
     if delta < 1 or max_rounds < 1:
         raise ValueError("rounds need a halo of one plane at least, and there must be one")
     voxels = checkpointed(voxels, "voxels")
     parts = checkpointed(slabs(voxels, k, delta), "slabs")
-    field = checkpointed(round_zero(voxels, parts, l_inf), "round-0")
+    field = checkpointed(round_zero(voxels, parts, l_inf, shift), "round-0")
     done, took = [], []
     for rounds in range(1, max_rounds + 1):
-        pins = pins_of(field, parts).toDF("pin_vol", "pin_k", "ex", "ey", "ez", "u")
+        pins = pins_of(field, parts, one_plane).toDF("pin_vol", "pin_k", "ex", "ey", "ez", "u")
         both = with_halo(voxels, parts).groupBy("vol_id", "k").cogroup(pins.groupBy("pin_vol", "pin_k"))
-        new = checkpointed(both.applyInPandas(lambda a, b: slab_field(a, b, l_inf), FIELD), f"round-{rounds}")
+        new = checkpointed(both.applyInPandas(lambda a, b: slab_field(a, b, l_inf, shift), FIELD), f"round-{rounds}")
         keys = [*VOLUME, "ex", "ey", "ez"]
         moved = new.join(field.withColumnRenamed("u", "before"), keys).groupBy("vol_id").agg(F.max(F.abs(F.col("u") - F.col("before"))).alias("change"))
         moved = checkpointed(moved.select("vol_id", (F.col("change") >= eps).alias("goes_on")), f"moved-{rounds}")

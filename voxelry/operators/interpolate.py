@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelry.functions.scalar import snap
@@ -29,6 +29,14 @@ def linear(voxels: DataFrame) -> DataFrame:
     return to_cells(voxels).groupBy(*CELL).agg(F.avg("v").alias("u"))
 
 
+def zoomed(voxels: DataFrame, order: int, low: float = 0, high: float = 255) -> DataFrame:
+    """Interpolation of order 0 or 1, clipped."""
+    if order not in (0, 1):
+        raise ValueError("order must be 0 or 1")
+    out = (nearest, linear)[order](voxels)
+    return out.withColumn("u", snap(F.col("u").cast("double"), F.lit(float(low)), F.lit(float(high))))
+
+
 def corner_median(voxels: DataFrame) -> DataFrame:
     """Median of the corners: the mean of the middle two for an even number."""
     return to_cells(voxels).groupBy(*CELL).agg(F.median("v").alias("u"))
@@ -99,9 +107,9 @@ def percentile_normalised(voxels: DataFrame, low: float = 0.01, high: float = 0.
 
 def min_max_normalised(voxels: DataFrame) -> DataFrame:
     """0-1 between a volume's extremes; constant volumes become 0."""
-    every = Window.partitionBy("vol_id")
-    low, high = F.min("v").over(every), F.max("v").over(every)
-    return voxels.withColumn("v", F.when(high > low, (F.col("v") - low) / (high - low)).otherwise(0.0))
+    ends = voxels.groupBy("vol_id").agg(F.min("v").alias("_low"), F.max("v").alias("_high"))
+    low, high = F.col("_low"), F.col("_high")
+    return voxels.join(ends, "vol_id").withColumn("v", F.when(high > low, (F.col("v") - low) / (high - low)).otherwise(0.0)).drop("_low", "_high")
 
 
 def thresholded(voxels: DataFrame, limit: Column | float) -> DataFrame:

@@ -52,6 +52,17 @@ def foreground(masks: DataFrame, low: float = 0.001, high: float = 0.999) -> Dat
     return rate.filter(F.col("fg_rate").between(low, high))
 
 
+def not_empty(masks: DataFrame) -> DataFrame:
+    """(vol_id, n_on) of the volumes with any mask voxel."""
+    return masks.groupBy("vol_id").agg(F.count_if("m").alias("n_on")).filter("n_on > 0")
+
+
+def sampled(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """``n`` rows without replacement, the same for a seed whatever the partitioning: those with the least hashes."""
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    return rows.orderBy(order, key).limit(n)
+
+
 def patches(masks: DataFrame, corners: DataFrame, size: tuple[int, int, int], wanted: int, low: float = 0.01, high: float = 0.30) -> DataFrame:
     """The first ``wanted`` of the corners (vol_id, attempt, x0, y0, z0) whose patch has a fitting share of mask voxels.
 

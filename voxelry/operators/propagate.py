@@ -14,8 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelry.functions.scalar import snap
 from voxelry.operators.interpolate import border_level
-from voxelry.operators.lattice import VOLUME
+from voxelry.operators.lattice import CELL, VOLUME, neighbours
 
 FIELD = "vol_id long, w int, h int, d int, ex int, ey int, ez int, u int"
 
@@ -137,6 +138,49 @@ def close_levels(low: np.ndarray, high: np.ndarray, l_inf: int, seeds: np.ndarra
     return out.reshape(shape)[inner]
 
 
+def sweep_levels(low: np.ndarray, high: np.ndarray, l_inf: int = 0, top: int = 255) -> np.ndarray:
+    """The field by one sweep over rising levels from a border at ``l_inf``; -1 where the sweep does not come.
+
+    At each level all cells join that have a cell of the field or the border beside them and whose interval snaps to the
+    level, until none does. A cell whose interval the front has passed by stays open.
+    """
+    out = np.full(tuple(n + 2 for n in low.shape), l_inf, np.int64)
+    inner = tuple(slice(1, -1) for _ in low.shape)
+    out[inner] = -1
+    for level in range(l_inf, top + 1):
+        fits = np.clip(level, low, high) == level
+        while (new := fits & (out[inner] < 0) & beside(out >= 0)).any():
+            out[inner][new] = level
+    return out[inner]
+
+
+def beside(there: np.ndarray) -> np.ndarray:
+    """Inner cells of a padded grid with a neighbour that is there."""
+    out = np.zeros(tuple(n - 2 for n in there.shape), bool)
+    for axis in range(there.ndim):
+        for a, b in ((0, -2), (2, None)):
+            out |= there[tuple(slice(a, b) if i == axis else slice(1, -1) for i in range(there.ndim))]
+    return out
+
+
+def gap_filled(field: DataFrame, rounds: int = 1) -> DataFrame:
+    """(CELL, lo, hi, u) with open cells (u null) filled from their neighbours: in each round, all at once, an open cell
+    takes the neighbour's value snapped to its interval that moves least, the lesser of two; what stays open after the
+    last round takes its interval's lower end."""
+    for _ in range(rounds):
+        own = F.col("_self")
+        around = neighbours(field.select(*CELL, "lo", "hi", "u")).groupBy(*CELL).agg(
+            *[F.max(F.when(own, F.col(c))).alias(c) for c in ("lo", "hi", "u")], F.collect_list(F.when(~own, F.col("u"))).alias("_near"))  # six at most
+        moved = F.transform("_near", lambda n: F.struct(F.abs(snap(n, F.col("lo"), F.col("hi")) - n), snap(n, F.col("lo"), F.col("hi")).alias("to")))
+        field = around.select(*CELL, "lo", "hi", F.coalesce("u", F.array_min(moved)["to"]).alias("u"))
+    return field.withColumn("u", F.coalesce("u", "lo"))
+
+
+def nearest_level(levels: DataFrame, at: int, keys: tuple[str, ...] = ("vol_id",)) -> DataFrame:
+    """Per key the level nearest to ``at`` among the rows' v, the upper of two."""
+    return levels.groupBy(*keys).agg(F.min_by("v", F.struct(F.abs(F.col("v") - at), -F.col("v"))).alias("level"))
+
+
 def to_dense(pdf: pd.DataFrame, names: tuple[str, str, str], value: str, shape: tuple[int, int, int], empty: int = 0) -> np.ndarray:
     out = np.full(shape, empty, np.int64)
     out[tuple(pdf[n].to_numpy() for n in names)] = pdf[value].to_numpy()
@@ -149,8 +193,9 @@ def to_rows(field: np.ndarray, vol_id: int, size: tuple[int, int, int]) -> pd.Da
     return pd.DataFrame({"vol_id": vol_id, "w": w, "h": h, "d": d, "ex": ex, "ey": ey, "ez": ez, "u": field.ravel().astype(np.int32)})
 
 
-def propagated(voxels: DataFrame, l_inf: str | int = "border_median") -> DataFrame:
-    """The well-composed field (CELL, u) of each volume; ``l_inf`` as in ``with_border_level``."""
+def propagated(voxels: DataFrame, l_inf: str | int = "border_median", ascending: bool = False) -> DataFrame:
+    """The well-composed field (CELL, u) of each volume; ``l_inf`` as in ``with_border_level``. With ``ascending`` one
+    sweep over rising levels, u null where it does not come, for ``gap_filled`` to fill."""
     if l_inf == "border_median":
         rows = voxels.join(border_level(voxels).select("vol_id", F.rint("l_inf").cast("int").alias("l_inf")), "vol_id")
     else:
@@ -159,7 +204,9 @@ def propagated(voxels: DataFrame, l_inf: str | int = "border_median") -> DataFra
     def close(pdf: pd.DataFrame) -> pd.DataFrame:
         size = tuple(int(pdf[c].iloc[0]) for c in ("w", "h", "d"))
         low, high = dense_span(to_dense(pdf, ("x", "y", "z"), "v", size))
-        return to_rows(close_levels(low, high, int(pdf["l_inf"].iloc[0])), int(pdf["vol_id"].iloc[0]), size)
+        found = (sweep_levels if ascending else close_levels)(low, high, int(pdf["l_inf"].iloc[0]))
+        rows = to_rows(found, int(pdf["vol_id"].iloc[0]), size)
+        return rows.assign(u=rows["u"].astype("Int32").where(rows["u"] >= 0, pd.NA)) if ascending else rows
 
     return rows.select(*VOLUME, "x", "y", "z", "v", "l_inf").groupBy("vol_id").applyInPandas(close, FIELD)
 

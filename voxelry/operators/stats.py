@@ -45,6 +45,22 @@ def trials(rows: DataFrame, keys: list[str], metric: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.bool_and(c == 0).alias("all_zero"))
 
 
+def spread_of(rows: DataFrame, keys: list[str], metric: str) -> DataFrame:
+    """n, mean, sample std (0 for one row), min and max, such as of cells a second by method."""
+    c = F.col(metric)
+    return rows.groupBy(*keys).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+
+
+def slab_table(rows: DataFrame, least_depth: int = 30, least_share: float = 0.10) -> DataFrame:
+    """By K and delta, over rows of ``experiments.slab_rows``: passes with their interval, medians, and two rules: slabs
+    thinner than ``least_depth`` planes, and a halo below ``least_share`` of a slab."""
+    medians = [F.median(c).alias(f"{c}_median") for c in ("D_sub", "sigma_cover", "rho_pct", "plane_width_med")]
+    out = rows.groupBy("K", "delta").agg(F.count("*").alias("n"), F.count_if("dwc_ok").alias("n_pass"), *medians)
+    low, high = wilson(F.col("n_pass"), F.col("n"))
+    thin, narrow = F.col("D_sub_median") < least_depth, F.col("delta") / F.greatest(F.col("D_sub_median"), F.lit(1.0)) < least_share
+    return out.withColumns({"ci_low_pct": 100 * low, "ci_high_pct": 100 * high, "thin": thin, "narrow": narrow})
+
+
 def per_epsilon(records: DataFrame, keys: list[str] = ("eps",)) -> DataFrame:
     """Violations and rounds by tolerance, with the share of runs without violations."""
     v, r = F.col("violations"), F.col("rounds")

@@ -147,6 +147,12 @@ def stability(counted: DataFrame, keys: tuple[str, ...] = ("vol_id",)) -> DataFr
     return counted.groupBy(*keys).agg(F.stddev_pop("b0_low").alias("tsi"))
 
 
+def betti(counted: DataFrame, flat: bool = False) -> DataFrame:
+    """Adds b0 and b1 to rows of ``counts``: components under the narrower adjacency, and holes, -1 (unknown) in 3-D."""
+    holes = F.greatest(F.lit(0), F.col("b0_low") - F.col("chi")) if flat else F.lit(-1).cast("long")
+    return counted.withColumns({"b0": F.col("b0_low"), "b1": holes})
+
+
 def is_binary(field: DataFrame, keys: tuple[str, ...] = ("vol_id",)) -> DataFrame:
     return field.groupBy(*keys).agg(F.bool_and(F.col("u").isin(0, 1)).cast("int").alias("is_binary"))
 

@@ -118,6 +118,31 @@ def within_span(field: DataFrame, cells: DataFrame) -> DataFrame:
     return both.groupBy("vol_id").agg(F.count_if((F.col("u") < F.col("lo")) | (F.col("u") > F.col("hi"))).alias("n_outside"), F.count("*").alias("n_cells"))
 
 
+def shape_checks(voxels: DataFrame) -> DataFrame:
+    """Per volume how its rows differ from a whole lattice of its size: n_rows, n_wanted, n_outside, n_twice, n_null, ok."""
+    inside = F.lit(True)
+    for c, n in (("x", "w"), ("y", "h"), ("z", "d")):
+        inside = inside & F.col(c).between(0, F.col(n) - 1)
+    per = voxels.groupBy("vol_id", "w", "h", "d", "x", "y", "z").agg(F.count("*").alias("n"), F.count_if(F.col("v").isNull()).alias("nulls"))
+    out = per.groupBy("vol_id").agg(
+        F.sum("n").alias("n_rows"), F.max(F.col("w").cast("long") * F.col("h") * F.col("d")).alias("n_wanted"), F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("n_outside"),
+        F.count_if(F.col("n") > 1).alias("n_twice"), F.sum("nulls").alias("n_null"))
+    fine = (F.col("n_rows") == F.col("n_wanted")) & (F.col("n_outside") == 0) & (F.col("n_twice") == 0) & (F.col("n_null") == 0)
+    return out.withColumn("ok", fine)
+
+
+def validated(voxels: DataFrame, integers: bool = True) -> DataFrame:
+    """``voxels`` unchanged; ValueError if a column lacks, levels are no integers, or a volume is not a whole lattice."""
+    if missing := [c for c in (*VOLUME, "x", "y", "z", "v") if c not in voxels.columns]:
+        raise ValueError(f"missing columns: {missing}")
+    kind = voxels.schema["v"].dataType.simpleString()
+    if integers and kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"levels are {kind}, not integers")
+    if bad := shape_checks(voxels).filter("not ok").limit(1).collect():
+        raise ValueError(f"not a whole volume: {bad[0].asDict()}")
+    return voxels
+
+
 def differing(a: DataFrame, b: DataFrame) -> DataFrame:
     """Per volume how many cells of two fields differ, and by how much at most."""
     both = a.select("vol_id", "ex", "ey", "ez", F.col("u").alias("ua")).join(b.select("vol_id", "ex", "ey", "ez", F.col("u").alias("ub")), ["vol_id", "ex", "ey", "ez"])

@@ -60,6 +60,21 @@ def sweep(voxels: DataFrame, subjects: str, configs: list[tuple[int, int, float]
     return reduce(DataFrame.unionByName, parts)
 
 
+def slab_rows(voxels: DataFrame, k: int, delta: int = 1, max_rounds: int = 8) -> DataFrame:
+    """A row for each volume in K slabs: rounds, violations at the bounds, planes a slab, its half, the widest intervals
+    on the bounds' planes, and the halo's share of a slab in percent."""
+    parts = decompose.slabs(voxels, k, delta)
+    field, took = decompose.inject_each(voxels, k, delta, max_rounds=max_rounds)
+    bad = verify.boundary_violations(field, decompose.bounds_of(parts))
+    width = decompose.plane_width(interpolate.interval_span(voxels), parts)
+    sizes = voxels.select("vol_id", "d").distinct().withColumn("D_sub", F.floor(F.col("d") / k).cast("int"))
+    rows = sizes.join(took, "vol_id").join(bad, "vol_id", "left").join(width, "vol_id", "left").na.fill(0, ["bdry_violations"])
+    share = F.when(F.col("D_sub") > 0, F.bround(delta / F.col("D_sub") * 100, 1)).otherwise(0.0)
+    return rows.select(
+        "vol_id", F.lit(k).alias("K"), F.lit(delta).alias("delta"), "rounds", "bdry_violations", (F.col("bdry_violations") == 0).alias("dwc_ok"), "D_sub", F.floor(F.col("D_sub") / 2).cast("int").alias("sigma_cover"),
+        F.bround("plane_width_med", 1).alias("plane_width_med"), F.bround("plane_width_max", 1).alias("plane_width_max"), share.alias("rho_pct"))
+
+
 def cached(df: DataFrame, compute, path: str, key: str = "vol_id") -> DataFrame:
     """Rows of ``compute(df)`` for the keys of ``df``: those stored under ``path`` are read, the others are computed
     and added to the store."""

@@ -13,6 +13,7 @@ from voxelry.operators import decompose, interpolate, labels, propagate, stats,
 from voxelry.operators.lattice import CELL
 from voxelry.plans import experiments
 from voxelry.sources import raster
+from voxelry.sources import volumes as volume_files
 from voxelry.sources.store import checkpointed
 
 QUERIES: dict = {}
@@ -295,7 +296,38 @@ def _mean_counts(spark, sf_dir):
     return topology.counts(field, NINE, flat=True)
 
 
-@query()
+def labelled(name: str, masks: str, steps: list[tuple[int, int]]) -> str:
+    """SQL of CTEs ``<name>_round`` and ``<name>``: b0 of masks (k, and m, a list of 15 x 15), by labels that shrink.
+
+    Every point takes the least label of itself, its neighbours and its own label's place, until none changes.
+    """
+    near = []
+    for dx, dy in steps:
+        inside = [c for d, v in ((dx, "(i - 1) // 15"), (dy, "(i - 1) % 15")) if d for c in ([f"{v} > 0"] if d < 0 else [f"{v} < 14"])]
+        near.append(f"CASE WHEN {' AND '.join(inside)} THEN l[i + {15 * dx + dy}] END")
+    return f"""{name}_round AS (SELECT k, list_transform(m, lambda v, i: CASE WHEN v THEN i END) AS l, 0 AS step FROM {masks}
+  UNION ALL SELECT k, n, step + 1 FROM (SELECT k, l, step, list_transform(l, lambda v, i: CASE WHEN v IS NOT NULL THEN list_min([v, l[v], {', '.join(near)}]) END) AS n FROM {name}_round) WHERE n <> l),
+{name} AS (SELECT k, len(list_filter(list_transform(l, lambda v, i: v = i), lambda v: v)) AS b0 FROM (SELECT k, arg_max(l, step) AS l FROM {name}_round GROUP BY k))"""
+
+
+_four = [(0, 1), (0, -1), (1, 0), (-1, 0)]
+_eight = [*_four, (1, 1), (1, -1), (-1, 1), (-1, -1)]
+
+
+def counts_sql(field: str) -> str:
+    """SQL of CTE ``counted`` (k, thr, b0_low, b0_high, chi) of a field (k: an integer, ex, ey, u) over nine thresholds."""
+    return f"""thrs AS (SELECT t + 1 AS i, (t + 1) / 10.0::DOUBLE AS thr FROM range(9) r(t)),
+over AS (SELECT k * 16 + i AS vol_id, ex, ey, 0 AS ez FROM {field} JOIN thrs ON u >= thr), marked AS (SELECT k * 16 + i AS k, list(u >= thr ORDER BY ex, ey) AS m FROM {field}, thrs GROUP BY ALL),
+{labelled('low', 'marked', _four)}, {labelled('high', 'marked', _eight)}, parts AS ({_chi(2, ('ex', 'ey', 'ez'), 'over')}), chis AS (SELECT vol_id AS k, sum(s)::BIGINT AS chi FROM parts GROUP BY vol_id),
+counted AS (SELECT low.k // 16 AS k, thr, low.b0 AS b0_low, high.b0 AS b0_high, coalesce(chi, 0) AS chi FROM low JOIN high USING (k) LEFT JOIN chis USING (k) JOIN thrs ON low.k % 16 = i)"""
+
+
+_cross = "abs(b0_low - b0_high) AS cc, (b0_low = b0_high)::INT AS cc_zero, CASE WHEN b0_low > 0 THEN round_even(b0_high / b0_low::DOUBLE, 6) ELSE 1.0 END::DOUBLE AS b0_consistency, (ref_chi <> 0 AND ref_chi * chi < 0)::INT AS chi_sign_flip, greatest(0, b0_high - chi) AS beta1_proxy"
+_ref = f"ref_parts AS ({_chi(2, ('x', 'y', 'z'), 'on_voxels')}), ref AS (SELECT vol_id, sum(s)::BIGINT AS ref_chi FROM ref_parts GROUP BY vol_id)"
+_mean = "f AS (SELECT vol_id AS k, ex, ey, mean / 255 AS u FROM cells)"
+
+
+@query(f"WITH RECURSIVE {volumes(2)}, {_mean}, {counts_sql('f')}, on_voxels AS (SELECT * FROM vox WHERE v > 127), {_ref}, every AS (SELECT c.k AS vol_id, thr, b0_low, b0_high, chi, coalesce(ref_chi, 0) AS ref_chi FROM counted c LEFT JOIN ref ON ref.vol_id = c.k) SELECT *, {_cross} FROM every")
 def cross_connectivity(spark, sf_dir):
     """Differences of b0 under both adjacencies with consistency, flips and the beta1 proxy, over nine thresholds."""
     counted = _mean_counts(spark, sf_dir)
@@ -304,9 +336,9 @@ def cross_connectivity(spark, sf_dir):
     return both.withColumns(topology.cross_metrics(F.col("b0_low"), F.col("b0_high"), F.col("chi"), F.col("ref_chi")))
 
 
-@query()
+@query(f"WITH RECURSIVE {volumes(2)}, {_mean}, {counts_sql('f')} SELECT k AS vol_id, round(stddev_pop(b0_low), 9) AS tsi FROM counted GROUP BY k")
 def tsi9(spark, sf_dir):
-    return topology.stability(_mean_counts(spark, sf_dir))
+    return topology.stability(_mean_counts(spark, sf_dir)).withColumn("tsi", F.round("tsi", 9))
 
 
 @query(f"WITH {volumes(2)} SELECT vol_id, bool_and(v IN (0, 1))::INT AS is_binary FROM vox GROUP BY vol_id")
@@ -314,11 +346,22 @@ def is_binary(spark, sf_dir):
     return topology.is_binary(emb(spark, sf_dir, 2).withColumnRenamed("v", "u"))
 
 
-@query()
+_methods = ["nearest", "linear", "field_border", "field_zero"]
+_masks = volumes(2).replace("vox AS (", "gray AS (", 1).replace("\nlat AS", "\nvox AS (SELECT vol_id, x, y, z, (v > 127)::INT AS v FROM gray),\nlat AS", 1)
+_fields = """rims AS (SELECT vol_id, v FROM vox WHERE x = 0 UNION ALL SELECT vol_id, v FROM vox WHERE x = 7 UNION ALL SELECT vol_id, v FROM vox WHERE y = 0 UNION ALL SELECT vol_id, v FROM vox WHERE y = 7
+  UNION ALL SELECT vol_id, v FROM vox UNION ALL SELECT vol_id, v FROM vox), rim AS (SELECT vol_id, round_even(median(v), 0) AS l FROM rims GROUP BY vol_id),
+f AS (SELECT c.vol_id * 4 AS k, ex, ey, v::DOUBLE AS u FROM cells c JOIN vox USING (vol_id) WHERE x = (ex + 1) // 2 AND y = (ey + 1) // 2 UNION ALL SELECT vol_id * 4 + 1, ex, ey, mean FROM cells
+  UNION ALL SELECT vol_id * 4 + 2, ex, ey, greatest(lo, least(l, hi)) FROM cells JOIN rim USING (vol_id) UNION ALL SELECT vol_id * 4 + 3, ex, ey, greatest(lo, least(0, hi)) FROM cells)"""
+
+
+@query(f"""WITH RECURSIVE {_masks}, {_fields}, {counts_sql('f')}, on_voxels AS (SELECT * FROM vox WHERE v = 1), {_ref},
+tsis AS (SELECT k, round(stddev_pop(b0_low), 9) AS tsi FROM counted GROUP BY k), twos AS (SELECT k, bool_and(u IN (0, 1))::INT AS is_binary FROM f GROUP BY k),
+every AS (SELECT k // 4 AS vol_id, {_methods}[k % 4 + 1] AS method, b0_low, b0_high, chi, coalesce(ref_chi, 0) AS ref_chi, tsi, is_binary FROM counted JOIN tsis USING (k) JOIN twos USING (k) LEFT JOIN ref ON ref.vol_id = k // 4 WHERE thr = 0.5)
+SELECT *, {_cross} FROM every""")
 def topology_rows(spark, sf_dir):
     """One row for each image and method, with every topology metric."""
     masks = emb(spark, sf_dir, 2).withColumn("v", (F.col("v") > 127).cast("int"))
-    return experiments.topology_rows(masks, ["nearest", "linear", "field_border", "field_zero"], NINE)
+    return experiments.topology_rows(masks, _methods, NINE).withColumn("tsi", F.round("tsi", 9))
 
 
 # --- labels, tiles, slabs
@@ -437,9 +480,9 @@ def _slabs_sql(k: int, delta: int) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-def rounds_sql(k: int, delta: int, eps: int, rounds: int) -> str:
+def rounds_sql(k: int, delta: int, eps: int, rounds: int, shift: int = 0, one_plane: bool = False) -> str:
     """SQL of CTEs ``f0`` (slabs by themselves), ``f<r>`` (round r) and ``f`` with ``took``: injection rounds over the volumes."""
-    values = ", ".join(str((i, z0, z1, z0e, z1e, 2 * (z1e - z0e) - 1, 2 * z0 if i else 0, 2 * z1 if i < k - 1 else 7)) for i, z0, z1, z0e, z1e in _slabs_sql(k, delta))
+    values = ", ".join(str((i, z0, z1, z0e, z1e, 2 * (z1e - z0e) - 1, 2 * z0 + shift if i else 0, 2 * z1 + shift if i < k - 1 else 7)) for i, z0, z1, z0e, z1e in _slabs_sql(k, delta))
     parts = [f"""slab AS (SELECT * FROM (VALUES {values}) t(part, z0, z1, z0e, z1e, d, own_from, own_to)),
 local AS (SELECT vol_id, part, z0, z1, z0e, z1e, d, own_from, own_to, ex, ey, ez - 2 * z0e AS ez, lo, hi FROM cells JOIN slab ON ez BETWEEN 2 * z0e AND 2 * z0e + d - 1)"""]
 
@@ -448,7 +491,7 @@ local AS (SELECT vol_id, part, z0, z1, z0e, z1e, d, own_from, own_to, ex, ey, ez
 
     parts += [closure("g0", dense_start("local", "vol_id, part", "0", "d")), owned(0)]
     for r in range(1, rounds + 1):
-        pinned = f"((part > 0 AND x.ez + 2 * z0e < 2 * z0 + 1) OR (part < {k - 1} AND x.ez + 2 * z0e >= 2 * z1 AND x.ez + 2 * z0e < 2 * z1e))"
+        pinned = f"((part > 0 AND x.ez + 2 * z0e >= {'2 * z0' if one_plane else '0'} AND x.ez + 2 * z0e < 2 * z0 + 1) OR (part < {k - 1} AND x.ez + 2 * z0e >= 2 * z1 AND x.ez + 2 * z0e < 2 * z1e))"
         parts.append(f"p{r} AS (SELECT x.vol_id, part, d, x.ex, x.ey, x.ez, CASE WHEN {pinned} THEN y.u END AS pin, coalesce(CASE WHEN {pinned} THEN y.u END, lo) AS lo, coalesce(CASE WHEN {pinned} THEN y.u END, hi) AS hi FROM local x JOIN f{r - 1} y ON x.vol_id = y.vol_id AND x.ex = y.ex AND x.ey = y.ey AND x.ez + 2 * z0e = y.ez)")
         parts += [closure(f"g{r}", dense_start(f"p{r}", "vol_id, part", "0", "d", "pin")), owned(r)]
         parts.append(f"c{r} AS (SELECT vol_id, {r} AS r, max(abs(f{r}.u - f{r - 1}.u)) AS change FROM f{r} JOIN f{r - 1} USING (vol_id, ex, ey, ez) GROUP BY vol_id)")
@@ -544,10 +587,17 @@ def wilcoxon_w(spark, sf_dir):
     return stats.signed_rank(pairs, ["label"]).select("n", "n_eff", "w")
 
 
-@query()
+@query(f"""WITH {_rows_sql}, d AS (SELECT 'bad' AS label, a.bad - b.bad AS d FROM rows a JOIN rows b ON a.vol_id = b.vol_id AND a.method = 'field' AND b.method = 'mean'
+  UNION ALL SELECT 'bad_reversed', a.bad - b.bad FROM rows a JOIN rows b ON a.vol_id = b.vol_id AND a.method = 'mean' AND b.method = 'field'
+  UNION ALL SELECT 'level', a.level - b.level FROM rows a JOIN rows b ON a.vol_id = b.vol_id AND a.method = 'field' AND b.method = 'mean'),
+r AS (SELECT label, d, rank() OVER w + (count(*) OVER (PARTITION BY label, abs(d)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY label, abs(d)) AS t FROM d WHERE d <> 0 WINDOW w AS (PARTITION BY label ORDER BY abs(d))),
+s AS (SELECT label, count(*) AS n FROM d GROUP BY label), e AS (SELECT label, count(*) AS n_eff, coalesce(sum(r) FILTER (WHERE d > 0), 0)::DOUBLE AS w, sum(t * t - 1)::DOUBLE AS ties FROM r GROUP BY label)
+SELECT label, n, coalesce(n_eff, 0) AS n_eff, coalesce(w, 0) AS w, coalesce((w - n_eff * (n_eff + 1) / 4.0) / sqrt(n_eff * (n_eff + 1) * (2 * n_eff + 1) / 24.0 - ties / 48) < -3.090232306167813::DOUBLE, false) AS significant FROM s LEFT JOIN e USING (label)""")
 def wilcoxon_battery(spark, sf_dir):
+    """Significant at one in a thousand, which is 3.09 standard deviations for these numbers of samples."""
     rows = _rows(spark, sf_dir).withColumnRenamed("vol_id", "sample")
-    return stats.battery(rows, [("bad", "bad", "field", "mean"), ("bad_reversed", "bad", "mean", "field"), ("level", "level", "field", "mean")])
+    out = stats.battery(rows, [("bad", "bad", "field", "mean"), ("bad_reversed", "bad", "mean", "field"), ("level", "level", "field", "mean")])
+    return out.select("label", "n", "n_eff", "w", "significant")
 
 
 @query(f"""WITH {_rows_sql}, r AS (SELECT method, rank() OVER (ORDER BY bad) + (count(*) OVER (PARTITION BY bad) - 1) / 2.0 AS r FROM rows),
@@ -558,18 +608,25 @@ def kruskal_h(spark, sf_dir):
     return stats.kruskal(_rows(spark, sf_dir), "method", "bad").select("n_groups", "n", F.round("h", 6).alias("h"))
 
 
-@query("SELECT event_type, round(avg(v), 6) AS mean, min(v) AS min, max(v) AS max, bool_and(v = 0) AS all_zero FROM (SELECT event_type, user_id % 7 AS v FROM events) GROUP BY event_type")
+@query("SELECT event_type, round(avg(v), 6) AS mean, min(v) AS min, max(v) AS max, bool_and(v = 0) AS all_zero, round(stddev_pop(v), 6) AS std FROM (SELECT event_type, user_id % 7 AS v FROM events) GROUP BY event_type")
 def trial_stats(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", (F.col("user_id") % 7).alias("v"))
-    return stats.trials(e, ["event_type"], "v").drop("std").withColumn("mean", F.round("mean", 6))
+    return stats.trials(e, ["event_type"], "v").withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
-@query("SELECT event_type AS method, sum(CASE WHEN value > 0 THEN round((15 * 15 * 1)::DOUBLE / value, 6) ELSE 0 END) > 0 AS any_tips, count(*) AS n, round(avg(CASE WHEN value > 0 THEN 225::DOUBLE / value ELSE 0 END), 3) AS tips_mean FROM events GROUP BY event_type")
+@query("SELECT event_type AS method, count(*) AS n, round(avg(t), 3) AS mean, round(stddev_samp(t), 3) AS std, round(min(t), 6) AS min, round(max(t), 3) AS max FROM (SELECT event_type, CASE WHEN value > 0 AND user_id % 9 > 0 THEN 225::DOUBLE / value ELSE 0 END AS t FROM events) GROUP BY event_type")
 def tips(spark, sf_dir):
-    """Cells a second as if each event's value were the seconds of one 8x8 image."""
+    """Cells a second as if each event's value were the seconds of one 8x8 image, guaranteed for eight users in nine."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    rows = e.select(F.col("event_type").alias("method"), scalar.tips(F.lit(8), F.lit(8), F.lit(1), F.col("value"), F.lit(True)).alias("tips"))
-    return rows.groupBy("method").agg((F.sum("tips") > 0).alias("any_tips"), F.count("*").alias("n"), F.round(F.avg("tips"), 3).alias("tips_mean"))
+    rows = e.select(F.col("event_type").alias("method"), scalar.tips(F.lit(8), F.lit(8), F.lit(1), F.col("value"), F.col("user_id") % 9 > 0).alias("tips"))
+    out = stats.spread_of(rows, ["method"], "tips")
+    return out.withColumns({"mean": F.round("mean", 3), "std": F.round("std", 3), "min": F.round("min", 6), "max": F.round("max", 3)})
+
+
+@query("SELECT l_orderkey AS k, CASE WHEN v > 0 THEN format('{:.2f}×10^{}', v / pow(10, e), e) ELSE '0' END AS s FROM (SELECT l_orderkey, v, floor(log10(v))::INT AS e FROM (SELECT l_orderkey, sum(l_quantity)::DOUBLE * 37.137::DOUBLE AS v FROM lineitem GROUP BY l_orderkey))")
+def tips_format(spark, sf_dir):
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("k")).agg((F.sum("l_quantity").cast("double") * 37.137).alias("v"))
+    return t.select("k", scalar.scientific(F.col("v")).alias("s"))
 
 
 @query("SELECT o_orderkey, round_even(a / nullif(b, 0), 2) AS speedup FROM (SELECT l_orderkey AS o_orderkey, max(l_extendedprice) AS a, min(l_extendedprice) AS b FROM lineitem GROUP BY l_orderkey)")
@@ -625,7 +682,7 @@ def paired_methods(spark, sf_dir):
 @query(f"WITH {volumes(2)} SELECT vol_id, arg_min(v, abs(v - 100) * 1000 - v) AS level FROM (SELECT DISTINCT vol_id, v FROM vox) GROUP BY vol_id")
 def nearest_level(spark, sf_dir):
     """The level that waits nearest to 100, the upper of two."""
-    return emb(spark, sf_dir, 2).groupBy("vol_id").agg(F.min_by("v", F.struct(F.abs(F.col("v") - 100), -F.col("v"))).alias("level"))
+    return propagate.nearest_level(emb(spark, sf_dir, 2), 100)
 
 
 @query("SELECT c_custkey AS id, c_name AS name, NULL::VARCHAR AS comment FROM customer UNION ALL SELECT s_suppkey, s_name, 's' FROM supplier")
@@ -635,12 +692,12 @@ def union_missing_cols(spark, sf_dir):
     return a.unionByName(b, allowMissingColumns=True)
 
 
-@query("SELECT doc_id, text, lang FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 ELSE 2 END, doc_id) AS r FROM documents) WHERE r = 1".replace("text, ", "source, "))
+@query("SELECT source AS subject, lang || '/' || lpad(doc_id::VARCHAR, 9, '0') AS path FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 ELSE 2 END, lang, doc_id) AS r FROM documents WHERE lang <> 'es') WHERE r = 1")
 def first_pattern(spark, sf_dir):
-    """One row for each source by the rank of the pattern that it matches, then by id."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang")
-    rank = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "fr", 1).otherwise(2)
-    return d.groupBy("source").agg(F.min_by(F.struct("doc_id", "lang"), F.struct(rank, "doc_id")).alias("b")).select("b.doc_id", "source", "b.lang")
+    """One file of each subject by the first pattern that it matches, then by path; no pattern matches ``es``."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    files = d.select(F.col("source").alias("subject"), F.concat("lang", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"))
+    return volume_files.resolved(files, ["^en/", "^fr/", "^de/"]).select("subject", "path")
 
 
 @query("SELECT event_type, x, y, count(*)::INT AS v FROM (SELECT event_type, user_id AS x, hour(ts) AS y FROM events) GROUP BY ALL")
@@ -652,3 +709,162 @@ def event_raster(spark, sf_dir):
 @query("SELECT (l_quantity - 1)::INT AS x, round(l_discount * 100)::INT AS y, round(l_tax * 100)::INT AS z, count(*)::INT AS v FROM lineitem GROUP BY ALL")
 def line_item_cube(spark, sf_dir):
     return raster.line_items(spark, sf_dir).filter("v > 0").select("x", "y", "z", "v")
+
+
+# --- further operators
+
+
+@query("SELECT c_custkey AS key FROM customer ORDER BY md5('42:' || c_custkey), c_custkey LIMIT 40")
+def sampled_subjects(spark, sf_dir):
+    """Forty subjects without replacement: the limit is the operator."""
+    return labels.sampled(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("key")), "key", 40)
+
+
+@query(f"""WITH {volumes(2)}, r AS (SELECT vol_id, x, y, CASE WHEN v % 50 = 0 THEN NULL ELSE v END AS v FROM vox WHERE v % 40 > 0 UNION ALL SELECT vol_id, x + 5, y, v FROM vox WHERE v % 30 = 0),
+p AS (SELECT vol_id, x, y, count(*) AS n, count(*) FILTER (WHERE v IS NULL) AS nulls FROM r GROUP BY ALL)
+SELECT vol_id, sum(n)::BIGINT AS n_rows, 64::BIGINT AS n_wanted, coalesce(sum(n) FILTER (WHERE x > 7), 0)::BIGINT AS n_outside, count(*) FILTER (WHERE n > 1) AS n_twice, sum(nulls)::BIGINT AS n_null,
+  sum(n) = 64 AND coalesce(sum(n) FILTER (WHERE x > 7), 0) = 0 AND count(*) FILTER (WHERE n > 1) = 0 AND sum(nulls) = 0 AS ok FROM p GROUP BY vol_id""")
+def shape_checks(spark, sf_dir):
+    """Images with voxels left out, put beside their place, or without a level."""
+    voxels = emb(spark, sf_dir, 2)
+    some = voxels.filter("v % 40 > 0").withColumn("v", F.when(F.col("v") % 50 == 0, None).otherwise(F.col("v")))
+    return verify.shape_checks(some.unionByName(voxels.filter("v % 30 = 0").withColumn("x", F.col("x") + 5)))
+
+
+_open = "SELECT vol_id, ex, ey, lo, hi, CASE WHEN (ex + ey) % 3 = 0 THEN hi END AS u FROM cells"
+
+
+@query(f"""WITH {volumes(2)}, f AS ({_open}), n AS (SELECT a.vol_id, a.ex, a.ey, greatest(a.lo, least(b.u, a.hi)) AS s, b.u FROM f a JOIN f b ON a.vol_id = b.vol_id AND abs(a.ex - b.ex) + abs(a.ey - b.ey) = 1 AND b.u IS NOT NULL),
+best AS (SELECT vol_id, ex, ey, arg_min(s, abs(s - u) * 1000 + s) AS s FROM n GROUP BY ALL) SELECT vol_id, ex, ey, coalesce(u, s, lo)::INT AS u FROM f LEFT JOIN best USING (vol_id, ex, ey)""")
+def gap_fill(spark, sf_dir):
+    """Fields with two cells of three open, filled from their neighbours in one round, then from below."""
+    cells = interpolate.interval_span(emb(spark, sf_dir, 2)).withColumn("u", F.when((F.col("ex") + F.col("ey")) % 3 == 0, F.col("hi")))
+    return propagate.gap_filled(cells).select("vol_id", "ex", "ey", "u")
+
+
+def sweep_sql(start: str) -> str:
+    """SQL of CTEs ``sweep_front`` and ``swept``: a step of the rising sweep in each round; u null where it does not come."""
+    near = " OR ".join(f"({there} AND s[{j}] >= 0)" for there, j in (("(i - 1) // 49 > 0", "i - 49"), ("(i - 1) // 49 < 6", "i + 49"), ("(i - 1) // 7 % 7 > 0", "i - 7"), ("(i - 1) // 7 % 7 < 6", "i + 7"), ("(i - 1) % 7 > 0", "i - 1"), ("(i - 1) % 7 < 6", "i + 1")))
+    return f"""sweep_front AS (SELECT k, l, lo, hi, rim, list_transform(lo, lambda v: -1) AS s, 0 AS step FROM ({start})
+  UNION ALL SELECT k, CASE WHEN n = s THEN l + 1 ELSE l END, lo, hi, rim, n, step + 1 FROM (SELECT k, l, lo, hi, rim, s, step, list_transform(s, lambda v, i: CASE WHEN v < 0 AND greatest(lo[i], least(l, hi[i])) = l AND (rim[i] OR {near}) THEN l ELSE v END) AS n FROM sweep_front WHERE l <= 255)),
+swept AS (SELECT k AS vol_id, i // 49 AS ex, i // 7 % 7 AS ey, i % 7 AS ez, nullif(s[i + 1], -1) AS u FROM (SELECT k, arg_max(s, step) AS s FROM sweep_front GROUP BY k), range(343) t(i))"""
+
+
+_rim_lists = "SELECT vol_id AS k, 0 AS l, list(lo ORDER BY ex, ey, ez) AS lo, list(hi ORDER BY ex, ey, ez) AS hi, list(least(ex, ey, ez) = 0 OR greatest(ex, ey, ez) = 6 ORDER BY ex, ey, ez) AS rim FROM cells GROUP BY vol_id"
+
+
+@query(f"WITH RECURSIVE {volumes(3)}, {sweep_sql(_rim_lists)} SELECT vol_id, count(u) AS n_reached, coalesce(sum(u), 0)::BIGINT AS total, coalesce(sum(u * (ex + 7 * ey + 49 * ez + 1)), 0)::BIGINT AS placed FROM swept GROUP BY vol_id")
+def ascending_sweep(spark, sf_dir):
+    """One sweep over rising levels: the cells that it reaches and their levels by place."""
+    field = propagate.propagated(emb(spark, sf_dir, 3), "zero", ascending=True)
+    place = F.col("ex") + 7 * F.col("ey") + 49 * F.col("ez") + 1
+    return field.groupBy("vol_id").agg(F.count("u").alias("n_reached"), F.coalesce(F.sum("u"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.col("u") * place), F.lit(0)).alias("placed"))
+
+
+@query(f"WITH {volumes(3)}, lab AS (SELECT vol_id, x, y, z, v // 64 AS v FROM vox) SELECT a.vol_id, a.x, a.y, a.z, bool_or(a.v <> b.v) AS m FROM lab a JOIN lab b ON a.vol_id = b.vol_id AND abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1 GROUP BY ALL")
+def membrane3d(spark, sf_dir):
+    return labels.membrane(emb(spark, sf_dir, 3).withColumn("v", F.floor(F.col("v") / 64).cast("int"))).select("vol_id", "x", "y", "z", "m")
+
+
+@query(f"WITH {volumes(2)} SELECT vol_id, 1 AS w, 8 AS h, 8 AS d, 0 AS x, x AS y, y AS z, v FROM vox")
+def transposed_axes(spark, sf_dir):
+    return labels.transposed(emb(spark, sf_dir, 2), ("z", "x", "y")).select("vol_id", "w", "h", "d", "x", "y", "z", "v")
+
+
+@query(f"WITH {volumes(2)} SELECT vol_id, count(*) FILTER (WHERE v > 190) AS n_on FROM vox GROUP BY vol_id HAVING count(*) FILTER (WHERE v > 190) > 0")
+def empty_gate(spark, sf_dir):
+    return labels.not_empty(interpolate.thresholded(emb(spark, sf_dir, 2), 190))
+
+
+@query(f"""WITH {volumes(2)}, c AS (SELECT vec_id AS vol_id, a.range AS attempt, ((vec_id + a.range) % 5)::INT AS x0, ((vec_id * 3 + a.range) % 5)::INT AS y0 FROM embeddings, range(6) a),
+r AS (SELECT vol_id, attempt, x0, y0, avg((v > 150)::INT) AS fg_rate FROM vox JOIN c USING (vol_id) WHERE x BETWEEN x0 AND x0 + 3 AND y BETWEEN y0 AND y0 + 3 GROUP BY ALL) SELECT * FROM r WHERE fg_rate BETWEEN 0.01 AND 0.30 ORDER BY vol_id, attempt LIMIT 200""")
+def accepted_patches(spark, sf_dir):
+    """The first two hundred patches with a fitting share of mask voxels: the limit is the operator."""
+    masks = interpolate.thresholded(emb(spark, sf_dir, 2), 150)
+    ids = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("vol_id"))
+    tries = ids.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(5)))).select("vol_id", F.col("attempt").cast("long").alias("attempt"), ((F.col("vol_id") + F.col("attempt")) % 5).cast("int").alias("x0"), ((F.col("vol_id") * 3 + F.col("attempt")) % 5).cast("int").alias("y0"), F.lit(0).alias("z0"))
+    return labels.patches(masks, tries, (4, 4, 1), 200).select("vol_id", "attempt", "x0", "y0", "fg_rate")
+
+
+@query(f"WITH {volumes(2)} SELECT 'field_zero' AS method, vol_id, sum(greatest(lo, least(0, hi)))::DOUBLE AS total FROM cells GROUP BY vol_id UNION ALL SELECT 'linear', vol_id, sum(mean)::DOUBLE FROM cells GROUP BY vol_id UNION ALL SELECT 'zoomed', vol_id, sum(greatest(90.0, least(mean, 140.0)))::DOUBLE FROM cells GROUP BY vol_id")
+def methods_by_name(spark, sf_dir):
+    """Methods from the registry, one of them of one's own."""
+    interpolate.register("zoomed", lambda v: interpolate.zoomed(v, 1, 90, 140))
+    voxels, parts = emb(spark, sf_dir, 2), None
+    for name in ("field_zero", "linear", "zoomed"):
+        one = interpolate.method(name)(voxels).groupBy("vol_id").agg(F.sum(F.col("u").cast("double")).alias("total")).select(F.lit(name).alias("method"), "vol_id", "total")
+        parts = one if parts is None else parts.unionByName(one)
+    return parts
+
+
+@query(f"WITH RECURSIVE {volumes(2)}, {_mean}, {counts_sql('f')} SELECT k AS vol_id, thr, b0_low AS b0, greatest(0, b0_low - chi) AS b1 FROM counted")
+def betti2d(spark, sf_dir):
+    return topology.betti(_mean_counts(spark, sf_dir), flat=True).select("vol_id", "thr", "b0", "b1")
+
+
+_cube6 = [(d if a == 0 else 0, d if a == 1 else 0, d if a == 2 else 0) for a in range(3) for d in (-1, 1)]
+_cube26 = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) != (0, 0, 0)]
+
+
+def labelled3(name: str, masks: str, steps: list[tuple[int, int, int]]) -> str:
+    """``labelled`` for masks of 7 x 7 x 7."""
+    near = []
+    for step in steps:
+        inside = []
+        for d, v in zip(step, ("(i - 1) // 49", "(i - 1) // 7 % 7", "(i - 1) % 7"), strict=True):
+            inside += [f"{v} > 0"] if d < 0 else [f"{v} < 6"] if d > 0 else []
+        near.append(f"CASE WHEN {' AND '.join(inside)} THEN l[i + {49 * step[0] + 7 * step[1] + step[2]}] END")
+    return labelled(name, masks, []).replace("[v, l[v], ]", f"[v, l[v], {', '.join(near)}]")
+
+
+@query(f"""WITH RECURSIVE {volumes(3)}, f AS (SELECT vol_id AS k, ex, ey, ez, mean / 255 AS u FROM cells), thrs AS (SELECT t + 1 AS i, (t + 4) / 10.0::DOUBLE AS thr FROM range(3) r(t)),
+over AS (SELECT k * 16 + i AS vol_id, ex, ey, ez FROM f JOIN thrs ON u >= thr), marked AS (SELECT k * 16 + i AS k, list(u >= thr ORDER BY ex, ey, ez) AS m FROM f, thrs GROUP BY ALL),
+{labelled3('low', 'marked', _cube6)}, {labelled3('high', 'marked', _cube26)}, parts AS ({_chi(3, ('ex', 'ey', 'ez'), 'over')}), chis AS (SELECT vol_id AS k, sum(s)::BIGINT AS chi FROM parts GROUP BY vol_id),
+counted AS (SELECT low.k // 16 AS k, thr, low.b0 AS b0_low, high.b0 AS b0_high, coalesce(chi, 0) AS chi FROM low JOIN high USING (k) LEFT JOIN chis USING (k) JOIN thrs ON low.k % 16 = i),
+on_voxels AS (SELECT * FROM vox WHERE v > 127), ref_parts AS ({_chi(3, ('x', 'y', 'z'), 'on_voxels')}), ref AS (SELECT vol_id, sum(s)::BIGINT AS ref_chi FROM ref_parts GROUP BY vol_id),
+tsis AS (SELECT k, round(stddev_pop(b0_low), 9) AS tsi FROM counted GROUP BY k), twos AS (SELECT k, bool_and(u IN (0, 1))::INT AS is_binary FROM f GROUP BY k),
+every AS (SELECT k AS vol_id, 'linear' AS method, b0_low, b0_high, chi, coalesce(ref_chi, 0) AS ref_chi, tsi, is_binary FROM counted JOIN tsis USING (k) JOIN twos USING (k) LEFT JOIN ref ON ref.vol_id = k WHERE thr = 0.5)
+SELECT *, {_cross}, b0_low AS b0, -1::BIGINT AS b1 FROM every""")
+def topology3d(spark, sf_dir):
+    """Every topology metric of volumes' mean fields under 6- and 26-adjacency."""
+    voxels = emb(spark, sf_dir, 3)
+    field = interpolate.linear(voxels).withColumn("u", F.col("u") / 255).withColumn("method", F.lit("linear"))
+    ref = topology.euler(voxels.filter("v > 127"), ["vol_id"], ("x", "y", "z")).withColumnRenamed("chi", "ref_chi")
+    ref = voxels.select("vol_id").distinct().join(ref, "vol_id", "left").na.fill(0, ["ref_chi"])
+    return topology.betti(topology.bundle(field, ref, 0.5, [0.4, 0.5, 0.6])).withColumn("tsi", F.round("tsi", 9))
+
+
+def _slab_rows_sql(delta: int) -> str:
+    return f"""SELECT vol_id, 2 AS "K", {delta} AS delta, rounds, bdry_violations, bdry_violations = 0 AS dwc_ok, 2 AS "D_sub", 1 AS sigma_cover, width::DOUBLE AS plane_width_med, width::DOUBLE AS plane_width_max, {50.0 * delta}::DOUBLE AS rho_pct
+FROM ({_ibi_sql(2, delta)}) JOIN (WITH {volumes(3)} SELECT vol_id, max(hi - lo) AS width FROM cells WHERE ez = 4 GROUP BY vol_id) USING (vol_id)"""
+
+
+@query(_slab_rows_sql(1))
+def slab_rows(spark, sf_dir):
+    """Rounds, violations, widths and shares of each volume in two slabs."""
+    return experiments.slab_rows(checkpointed(emb(spark, sf_dir, 3), "volumes"), 2, 1, 3)
+
+
+@query(f"""WITH r AS ({_slab_rows_sql(1)} UNION ALL {_slab_rows_sql(2)}), s AS (SELECT "K", delta, count(*) AS n, count(*) FILTER (WHERE dwc_ok) AS n_pass, median("D_sub") AS "D_sub_median", median(sigma_cover) AS sigma_cover_median,
+  median(rho_pct) AS rho_pct_median, median(plane_width_med) AS plane_width_med_median FROM r GROUP BY ALL), t AS (SELECT *, n_pass / n::DOUBLE AS p, 1.96::DOUBLE AS z FROM s)
+SELECT * EXCLUDE (p, z), round(100 * greatest((p + z * z / (2 * n)) / (1 + z * z / n) - z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n)) / (1 + z * z / n), 0), 9) AS ci_low_pct,
+  round(100 * least((p + z * z / (2 * n)) / (1 + z * z / n) + z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n)) / (1 + z * z / n), 1), 9) AS ci_high_pct, "D_sub_median" < 30 AS thin, delta / "D_sub_median" < 0.10 AS narrow FROM t""")
+def slab_table(spark, sf_dir):
+    voxels = checkpointed(emb(spark, sf_dir, 3), "volumes")
+    rows = experiments.slab_rows(voxels, 2, 1, 3).unionByName(experiments.slab_rows(voxels, 2, 2, 3))
+    return stats.slab_table(rows).withColumns({c: F.round(c, 9) for c in ("ci_low_pct", "ci_high_pct")})
+
+
+@query(f"WITH RECURSIVE {volumes(3)}, {rounds_sql(2, 1, 1, 3, 1, True)} SELECT vol_id, sum(u)::BIGINT AS total, sum(u * (ex + 7 * ey + 49 * ez + 1))::BIGINT AS placed, any_value(rounds) AS rounds FROM f JOIN took USING (vol_id) GROUP BY vol_id")
+def ibi_one_plane(spark, sf_dir):
+    """Rounds in which a bound's plane belongs to the slab before it and is the only pin from below."""
+    field, took = decompose.inject_each(emb(spark, sf_dir, 3), 2, 1, max_rounds=3, shift=1, one_plane=True)
+    place = F.col("ex") + 7 * F.col("ey") + 49 * F.col("ez") + 1
+    return field.groupBy("vol_id").agg(F.sum("u").alias("total"), F.sum(F.col("u") * place).alias("placed")).join(took, "vol_id")
+
+
+@query(f"WITH RECURSIVE {volumes(3)}, {rounds_sql(2, 2, 1, 1, 2)} SELECT vol_id, ex, ey, ez, u FROM f0")
+def ibi_three_planes(spark, sf_dir):
+    """Slabs by themselves, three planes about a bound from one slab."""
+    voxels = emb(spark, sf_dir, 3)
+    return decompose.round_zero(voxels, decompose.slabs(voxels, 2, 2), shift=2).select("vol_id", "ex", "ey", "ez", "u")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -56,6 +57,21 @@ def png(gray: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
 
 
+def write_files(rows: DataFrame, uri: str) -> DataFrame:
+    """Write rows (name, content) as files under ``uri``; a row (name, n_bytes) for each."""
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = pafs.FileSystem.from_uri(uri)
+        store.create_dir(root, recursive=True)
+        for frame in frames:
+            for name, content in zip(frame["name"], frame["content"], strict=True):
+                with store.open_output_stream(f"{root}/{name}") as out:
+                    out.write(bytes(content))
+            yield pd.DataFrame({"name": frame["name"], "n_bytes": frame["content"].map(len)})
+
+    return rows.select("name", "content").mapInPandas(write, "name string, n_bytes long")
+
+
 def tile_files(tiles: DataFrame, size: int) -> DataFrame:
     """(name, content) of each tile as PNG, from rows (vol_id, tx, ty, px, py, v); names count up with zeros in front."""
 

@@ -74,26 +74,34 @@ def shapes() -> dict[str, tuple[tuple[int, int, int], Column]]:
     """Binary images of known topology by name: size (x, y, z) and expression."""
     x, y = F.col("x"), F.col("y")
     r2 = (x - 32) * (x - 32) + (y - 32) * (y - 32)
-    two = lambda cx: (x - cx) * (x - cx) + (y - 32) * (y - 32) < 196
+    two = lambda cx: (x - cx) * (x - cx) + (y - 32) * (y - 32) < 225
+    # sizes and places are fixed values
     return {
         "disk": ((64, 64, 1), r2 < 400),
         "ring": ((64, 64, 1), (r2 > 144) & (r2 < 625)),
-        "two_disks": ((96, 64, 1), two(24) | two(72)),
-        "line": ((64, 32, 1), (y == 16) & x.between(4, 59)),
-        "cross_gap": ((32, 32, 1), ((x == 16) | (y == 16)) & ~((x == 16) & (y == 16))),
-        "diagonal": ((32, 24, 1), (x == y) & x.between(2, 21)),
+        "two_disks": ((96, 64, 1), two(22) | two(70)),
+        "line": ((64, 32, 1), (y == 16) & x.between(5, 58)),
+        "cross_gap": ((32, 32, 1), (((y == 16) & x.between(4, 27)) | ((x == 16) & y.between(4, 27))) & ~((x == 16) & (y == 16))),
+        "diagonal": ((32, 24, 1), x == y),
     }
 
 
 def membranes(size: tuple[int, int, int] = (64, 64, 32)) -> dict[str, tuple[tuple[int, int, int], Column]]:
-    """Thin walls by name: a grid, a grid that drifts with depth, a cylinder's shell."""
+    """Thin walls by name: a grid, a grid that drifts with depth, a cylinder's shell, and rows and columns at random."""
+    import numpy as np
+
     x, y, z = F.col("x"), F.col("y"), F.col("z")
-    drift = F.floor(z / 4)
+    rng, walls = np.random.default_rng(42), F.lit(False)  # 24 planes of six rows and six columns
+    for plane in range(24):
+        rows, columns = (rng.integers(4, 44, 6).tolist() for _ in range(2))
+        walls = walls | ((z == plane) & (y.isin(rows) | x.isin(columns)))
+    # sizes, periods and radii are fixed values
     r2 = (x - 24) * (x - 24) + (y - 24) * (y - 24)
     return {
-        "grid": (size, (x % 16 == 0) | (y % 16 == 0)),
-        "drifting": (size, ((x + drift) % 16 == 0) | ((y + drift) % 16 == 0)),
+        "grid": (size, (x % 8 == 0) | (y % 8 == 0)),
+        "drifting": (size, (x % 8 == z % 8) | (y % 8 == z % 8)),
         "cylinder": ((48, 48, 32), r2.between(100, 144)),
+        "random": ((48, 48, 24), walls),
     }
 
 
@@ -102,6 +110,20 @@ def ramp(side: int = 48) -> Column:
     return F.floor(F.col("z") / side * 200)
 
 
+def bell(side: int = 48, top: int = 220) -> Column:
+    """Levels that fall off from the middle like a Gaussian a sixth of the side wide, mirrored at the faces and cut off at
+    four times its width; the highest is ``top``."""
+    middle, width = side // 2, side // 6
+    total = F.lit(1.0)
+    for c in ("x", "y", "z"):
+        part = F.lit(0.0)
+        for centre in (middle, -1 - middle, 2 * side - 1 - middle):
+            far = F.col(c) - centre
+            part = part + F.when(F.abs(far) <= 4 * width, F.exp(-far * far / (2.0 * width * width))).otherwise(0.0)
+        total = total * part
+    return F.floor(total * top)
+
+
 def blobs(spark: SparkSession, size: tuple[int, int, int], n: int = 5, seed: int = 0, vol_id: int = 0, noise: float = 0.05) -> DataFrame:
     """Gaussian blobs with noise, 0-255: centres and widths from a seeded generator on the driver (n rows), the voxels
     from expressions."""

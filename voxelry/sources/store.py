@@ -5,17 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under spark.checkpoint.dir (where unset, a temporary folder) and read it back."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path under spark.checkpoint.dir; where unset, under a temporary folder, which only a local session may use."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="voxelry-checkpoint-")
         sc.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/voxelry/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{base.rstrip('/')}/voxelry/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def checkpointed(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` under ``shared_path`` and read it back."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -46,6 +46,29 @@ def write_nifti(v: np.ndarray) -> bytes:
     return bytes(head) + v.tobytes(order="F")
 
 
+def nifti_files(voxels: DataFrame) -> DataFrame:
+    """(name, content) of each volume (v 0-255) as a NIfTI-1 file; a file is one task's group."""
+
+    def encode(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.zeros(tuple(int(pdf[c].iloc[0]) for c in ("w", "h", "d")), np.uint8)
+        v[pdf["x"], pdf["y"], pdf["z"]] = pdf["v"]
+        return pd.DataFrame({"name": [f"{pdf['vol_id'].iloc[0]}.nii"], "content": [write_nifti(v)]})
+
+    return voxels.groupBy("vol_id").applyInPandas(encode, "name string, content binary")
+
+
+def read_raw(spark: SparkSession, uri: str) -> DataFrame:
+    """(vol_id string, n, values array<int>) of the files of ``write_raw``, in row-major order."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(uri).select("path", "content")
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            values = [np.frombuffer(c, "<i4") for c in frame["content"]]
+            yield pd.DataFrame({"vol_id": [p.rsplit("/", 1)[-1][:-4] for p in frame["path"]], "n": [len(v) for v in values], "values": values})
+
+    return files.mapInPandas(read, "vol_id string, n long, values array<int>")
+
+
 def rows_of(v: np.ndarray, vol_id: str, planes: int = 16) -> Iterator[pd.DataFrame]:
     """A volume's voxels, some planes at a time."""
     w, h, d = v.shape
@@ -86,6 +109,18 @@ def resolved(files: DataFrame, patterns: list[str]) -> DataFrame:
     return ranked.withColumn("_n", first).filter("_n = 1").drop("_n")
 
 
+def label_file(spark: SparkSession, folder: str, names: tuple[str, ...]) -> str | None:
+    """The first of the file names that is in the folder."""
+    there = {r.path.rsplit("/", 1)[-1]: r.path for r in spark.read.format("binaryFile").load(folder).select("path").collect()}  # a folder's listing
+    return next((there[n] for n in names if n in there), None)
+
+
+def hdf5_pair(spark: SparkSession, path: str, raw: str = "/volumes/raw", labels: str = "/volumes/labels/neuron_ids") -> DataFrame:
+    """(..., v, label) of a gray volume and its labels in one file, by place. Needs h5py."""
+    gray, marks = hdf5_labels(spark, path, raw), hdf5_labels(spark, path, labels).withColumnRenamed("v", "label")
+    return gray.join(marks, ["vol_id", "w", "h", "d", "x", "y", "z"])
+
+
 def hdf5_labels(spark: SparkSession, path: str, dataset: str = "/volumes/labels/neuron_ids", planes: int = 8) -> DataFrame:
     """(vol_id, w, h, d, x, y, z, v long) of a (z, y, x) label volume, a partition for each run of planes. Needs h5py."""
     try:
