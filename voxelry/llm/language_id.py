@@ -29,11 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelry.llm.shared import least_frequent, materialize
-from voxelry.llm.text import cut_long, slices, spread, texts_of
+from voxelry.llm.text import cut_long, released, slices, spread, texts_of
 
 BUCKETS, TRAIN_ROWS, EVIDENCE, K, CONFIDENCE = 1 << 16, 2000, 200, 20.0, 0.5
 #: Bytes of text whose trigrams are in memory at once.
-SLICE = 1 << 19
+SLICE = 1 << 18
 _letter = np.full(256, 32, np.uint8)
 _letter[97:123], _letter[128:] = np.arange(97, 123), np.arange(128, 256)
 
@@ -86,7 +86,7 @@ def fit(rows: DataFrame, languages: int) -> Model:
                 keys, n = np.unique(bucket * languages + codes[a:b][row], return_counts=True)
                 yield pa.record_batch({"key": pa.array(keys.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
 
-    found = rows.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.mapInArrow(released(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     key, n = found["key"].to_numpy(), found["n"].to_numpy()
     order = np.argsort(key)
     key, n = key[order], n[order]
@@ -131,10 +131,14 @@ def judged(docs: DataFrame, text: str, declared: str | None, host: Column | str
     sample = rows.select("draw", "text", "said").join(F.broadcast(number), "said").filter(F.pmod("draw", F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("text", "k")
     shared = spark.sparkContext.broadcast(fit(sample, width - 1))
     kind = rows.schema["of"].dataType.simpleString()
+    # where what is kept holds the text, it is sent to Python once
+    sent = rows.select("of", "said", "host") if whole else rows.drop("draw")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
+            if whole:
+                batch = batch.append_column("text", pc.struct_field(batch.column("of"), text))
             texts, of = cut_long(texts_of(batch), SLICE)
             n, sums = np.zeros(len(batch), np.int64), np.zeros((len(batch), width))
             for a, b in slices(texts, SLICE):
@@ -148,7 +152,7 @@ def judged(docs: DataFrame, text: str, declared: str | None, host: Column | str
             scores = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * width, pa.int32()), pa.array(sums.ravel()))
             yield pa.record_batch([*(batch.column(c) for c in ("of", "said", "host")), pa.array(n), pa.array(best), scores], names=["of", "said", "host", "n", "best", "scores"])
 
-    scored = rows.drop("draw").mapInArrow(score, f"of {kind}, said string, host string, n long, best long, scores array<double>")
+    scored = sent.mapInArrow(released(score), f"of {kind}, said string, host string, n long, best long, scores array<double>")
     parts = F.split("host", r"\.")
     domain = F.when(F.size(parts) > 2, F.array_join(F.slice(parts, -2, 2), ".")).otherwise(F.col("host"))
     scored = scored.withColumn("domain", domain).withColumn("suffix", F.when(F.size(parts) > 1, F.element_at(parts, -1)))

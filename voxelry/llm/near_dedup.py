@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from voxelry.llm.components import components
 from voxelry.llm.shared import looked_up, materialize
-from voxelry.llm.text import Words, slices, split_words, texts_of, word_hashes
+from voxelry.llm.text import Words, released, slices, split_words, texts_of, word_hashes
 
 SHINGLE, ROWS, BANDS, BITS, PLACES, THRESHOLD = 5, 6, 64, 1024, 2048, 0.75
 SAMPLES = ROWS * BANDS
@@ -131,7 +131,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             texts = texts_of(batch)
-            for a, b in slices(texts):
+            for a, b in slices(texts, 4 << 20):
                 n, prints, bands, odd, bits = [], [], [], [], []
                 last: dict[bytes, tuple] = {}
                 for s in shingle_sets(split_words(texts.slice(a, b - a), lower=True)):
@@ -154,7 +154,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     "bits": pa.array(bits, pa.list_(pa.int64())),
                 })
 
-    return keyed(docs).mapInArrow(sketch, SKETCHES)
+    return keyed(docs).mapInArrow(released(sketch), SKETCHES)
 
 
 def sieved(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one, two = texts_of(batch, "text_a"), texts_of(batch, "text_b")
-            for a, b in slices(one):
+            for a, b in slices(one, 4 << 20):
                 keep = []
                 left, right = (shingle_sets(split_words(x.slice(a, b - a), lower=True)) for x in (one, two))
                 for s, t in zip(left, right, strict=True):
@@ -180,7 +180,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     keep.append(100 * common >= int(100 * THRESHOLD) * (len(s) + len(t) - common))
                 yield batch.slice(a, b - a).select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(check, "a long, b long")
+    return both.mapInArrow(released(check), "a long, b long")
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -268,7 +268,7 @@ def rare_pairs(split: DataFrame, texts: DataFrame) -> DataFrame:
                 part = batch.slice(a, b - a)
                 yield pa.record_batch({"id": part.column("id").take(row), "c": part.column("c").take(row), "n": pa.array(np.repeat(n, n).astype(np.int64)), "shingle": pa.array(np.concatenate(sets).view(np.int64))})
 
-    every = materialize(texts.join(split, "id").select("id", "c", "text").mapInArrow(shingles, "id long, c long, n long, shingle long"), "shingles")
+    every = materialize(texts.join(split, "id").select("id", "c", "text").mapInArrow(released(shingles), "id long, c long, n long, shingle long"), "shingles")
     common = every.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
     own = Window.partitionBy("id")  # one document's shingles
     place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "shingle")) - 1

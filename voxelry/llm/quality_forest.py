@@ -25,13 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelry.llm.shared import materialize
-from voxelry.llm.text import Words, encode, slices, split_words, texts_of
+from voxelry.llm.text import Words, encode, released, slices, split_words, texts_of
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RATIOS = ("word_length", "symbols", "dup_lines", "repeats", "upper", "digits", "punctuation", "doubled")
 TRAIN_ROWS, TREES, TREE_ROWS, LOSS, BINS = 4000, 200, 256, 0.002, 1 << 16
 #: Bytes of text that are measured at once.
-MEASURE_BYTES = 4 << 20
+MEASURE_BYTES = 2 << 20
 
 
 def repeats(words: Words) -> np.ndarray:
@@ -97,7 +97,7 @@ def measured(docs: DataFrame) -> DataFrame:
                 columns = {"doc_id": batch.column("doc_id").slice(a, b - a)} | {c: pa.array(base[:, i], pa.int64()) for i, c in enumerate(BASE)}
                 yield pa.record_batch(columns | {"ratios": pa.array(list(ratios), pa.list_(pa.float64()))})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, MEASURED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), MEASURED)
 
 
 class Forest:
@@ -238,4 +238,4 @@ def kept_rows(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS)
                 good = (n >= 50) & (100 * repeat <= 50 * n) & (verdict.scores(ratios) <= verdict.limit)
                 yield batch.slice(a, b - a).filter(pa.array(good))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(released(keep), docs.schema)
