@@ -4,7 +4,8 @@ Every document is cut into full windows and one rest. The rests' lengths make a
 the only thing that reaches the driver. Combinations of two and three lengths that fill a window are enumerated from
 it, non-negative least squares finds how often to use each, the counts are rounded down, and what is left of the
 histogram is packed greedily, length class by length class. Rests then take their places by rank within their length:
-a rank is counted in buckets of the document id, so that no length, however common, meets in one task.
+a rank is counted in buckets of the document id, so that no length, however common, meets in one task. At most ``most``
+combinations enter the least squares, those with the most pieces first; that may cost padding, never a piece.
 
 Cases: a null or empty text is its end id alone; rows with equal ids are packed each for itself; an empty table gives
 no rows; other columns are left out; a rest of a power of two needs no padding and may stand alone.
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelry.llm.shared import materialize
-from voxelry.llm.text import TOKEN_BYTES, slices, texts_of, word_encoder
+from voxelry.llm.text import TOKEN_BYTES, released, slices, texts_of, word_encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -45,7 +46,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> DataFrame:
                 crcs = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
                 yield pa.record_batch([batch.column("doc_id").slice(a, b - a).take(pa.array(row)), *(pa.array(x, pa.int64()) for x in (at, length, crcs, sizes[row]))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(pieces), PIECES)
 
 
 def combinations(counts: np.ndarray, window: int, most: int = 6000) -> list[tuple[int, ...]]:

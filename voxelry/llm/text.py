@@ -19,7 +19,7 @@ import xxhash
 #: Bytes of text that are worked on at once within an Arrow batch; longer single texts are taken whole.
 SLICE_BYTES = 16 << 20
 #: The same where every token has a place in memory.
-TOKEN_BYTES = 8 << 20
+TOKEN_BYTES = 4 << 20
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
@@ -129,7 +129,7 @@ class WordEncoder:
     encoder. Words seen before are kept, somewhat above ``keep`` of them; then the store starts afresh.
     """
 
-    def __init__(self, path: str, keep: int = 700_000):
+    def __init__(self, path: str, keep: int = 550_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
