@@ -67,3 +67,19 @@ def test_battery_pairs_by_sample(spark):
     out = {r.label: r for r in stats.battery(df, [("less", "v", "a", "b"), ("more", "v", "b", "a")]).collect()}
     assert out["less"].significant and not out["more"].significant
     assert stats.paired(df, "sample", "method", "a", "b", ["v"]).first().v_max_diff == 1
+
+
+def test_average_ranks_over_bins(spark):
+    rng = np.random.default_rng(5)
+    few, wide = rng.integers(-3, 4, 200).astype(float), np.exp(rng.normal(0, 40, 200)) * rng.choice([-1, 1], 200)
+    values = [*few, *wide, *(100 + rng.random(200)), -0.0, math.inf, -math.inf, math.inf, math.nan, 5e-324, -5e-324]
+    rows = [(k, float(v)) for k in (0, 1) for v in values[k * 150 :]]
+    got = stats.average_ranks(spark.createDataFrame(rows, "k int, v double"), ["k"], F.col("v")).collect()
+    assert len(got) == len(rows)
+    order = lambda v: (math.isnan(v), 0.0 if math.isnan(v) else v)
+    own = {k: [order(v) for j, v in rows if j == k] for k in (0, 1)}
+    for r in got:
+        below, ties = (sum(f(v) for v in own[r.k]) for f in (lambda v, x=order(r.v): v < x, lambda v, x=order(r.v): v == x))
+        assert r.ties == ties and r["rank"] == below + (ties + 1) / 2
+    every = stats.average_ranks(spark.createDataFrame([(2.0,), (1.0,), (2.0,)], "v double"), [], F.col("v")).collect()
+    assert sorted((r.v, r["rank"]) for r in every) == [(1.0, 1.0), (2.0, 2.5), (2.0, 2.5)]

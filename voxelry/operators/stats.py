@@ -74,17 +74,26 @@ def mode(rows: DataFrame, column: str) -> DataFrame:
     return rows.agg(F.mode(column, True).alias("mode"))
 
 
+def octave_bin(value: Column, parts: int = 4096) -> Column:
+    """A number that never falls as the value rises: ``parts`` bins for each doubling of its size, 0 for 0."""
+    x = value.cast("double")
+    size = F.floor((F.least(F.log2(F.abs(x)), F.lit(1025.0)) + 1076) * parts) + 1
+    return F.coalesce(F.signum(x) * size, F.lit(0.0))
+
+
 def average_ranks(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
     """Add ``rank``, the mean rank of ties within the keys, and ``ties``, how many share it.
 
-    Ranks come from counts by value, so a window holds a row for each distinct value and not for each row; the counts
-    go back to the rows by a join.
+    Ranks come from counts by value: those of a bin of neighbouring values are summed in a window of their own, and one
+    window for each key, with a row for each bin, adds what lies below. So the distinct values of a key, however many,
+    are spread over tasks unless they all lie in few bins. The counts go back to the rows by a join.
     """
     rows = rows.withColumn("_value", value)
-    by = rows.groupBy(*keys, "_value").agg(F.count("*").alias("ties"))
-    below = F.coalesce(F.sum("ties").over(Window.partitionBy(*keys).orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    by = by.withColumn("rank", below + (F.col("ties") + 1) / 2)
-    return rows.join(by, [*keys, "_value"]).drop("_value")
+    by = rows.groupBy(*keys, "_value").agg(F.count("*").alias("ties")).withColumn("_bin", octave_bin(F.col("_value")))
+    before = lambda n, within, at: F.coalesce(F.sum(n).over(Window.partitionBy(*within).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = by.groupBy(*keys, "_bin").agg(F.sum("ties").alias("_n")).withColumn("_below", before("_n", keys, "_bin")).drop("_n")
+    by = by.join(bins, [*keys, "_bin"]).withColumn("rank", F.col("_below") + before("ties", [*keys, "_bin"], "_value") + (F.col("ties") + 1) / 2)
+    return rows.join(by.drop("_bin", "_below"), [*keys, "_value"]).drop("_value")
 
 
 def normal_tail(z: float) -> float:
