@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline as queries over the given tables, and SQL for those that SQL can express."""
+"""The thirteen operators and the pipeline as queries over the given tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelry.llm import chat_format, html_extract, language_id, lm_scoring, media_gif, mixing, near_dedup, packing, quality_forest, token_output
+from voxelry.llm import chat_format, collocations, html_extract, language_id, lm_scoring, media_gif, mixing, near_dedup, packing, quality_forest, role_repair, substring_dedup, token_output
 from voxelry.llm.shared import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -55,6 +55,19 @@ def op10_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_forest.rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return role_repair.report(table(spark, sf_dir, "conversations"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 3 on pages: markup language, address suffix and host beside the text."""
     pages = table(spark, sf_dir, "pages")
@@ -70,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_lm_scoring, op3_language_id, op4_near_dedup, op5_mixing, op6_chat_format, op7_media_gif, op8_html_extract, op9_packing, op10_quality_forest, page_language, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_lm_scoring, op3_language_id, op4_near_dedup, op5_mixing, op6_chat_format, op7_media_gif, op8_html_extract, op9_packing, op10_quality_forest, op11_role_repair, op12_collocations, op13_substring_dedup, page_language, pipeline)}
 
 SQL = {
     "op4_near_dedup": r"""
@@ -118,5 +131,38 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   sum(13 + length(regexp_replace(role || text, '([\\<\[|])', '\1\\', 'g')))::BIGINT AS formatted_chars
 FROM rows GROUP BY conv_id
+""",
+    "op12_collocations": r"""
+WITH pieces AS (
+  SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda w: w <> '') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)
+), sums AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+grams AS (
+  SELECT lang, k, g, count(*) AS f FROM (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g FROM pieces, range(1, 5) t(k))
+  GROUP BY lang, k, g HAVING count(*) >= 30
+), phrases AS (SELECT *, string_split(g, ' ') AS w FROM grams WHERE k > 1),
+held AS (
+  SELECT lang, g, max(f) AS longer FROM (SELECT lang, f, unnest(list_transform(range(1, k - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS g FROM phrases, range(2, 4) t(m) WHERE m < k)
+  GROUP BY lang, g
+), cuts AS (
+  SELECT p.lang, p.g, p.f AS a, x.f AS l, y.f AS r, m, (2000000::HUGEINT * p.f) // (x.f + y.f) AS score
+  FROM (SELECT *, array_to_string(w[1:m], ' ') AS front, array_to_string(w[m + 1:], ' ') AS rest FROM phrases, range(1, 4) t(m) WHERE m < k) p
+  JOIN grams x ON x.lang = p.lang AND x.g = p.front JOIN grams y ON y.lang = p.lang AND y.g = p.rest
+  LEFT JOIN held h ON h.lang = p.lang AND h.g = p.g WHERE h.longer IS NULL OR 100::HUGEINT * h.longer < 80::HUGEINT * p.f
+), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, m) = 1)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, s.n, score::BIGINT AS score
+FROM best b JOIN sums s ON s.lang = b.lang QUALIFY row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, g) <= 2000
+""",
+    "op13_substring_dedup": r"""
+WITH texts AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+spans AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM texts)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM spans) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM again),
+kept AS (
+  SELECT t.doc_id, count(*) AS n, string_agg(t.word, ' ' ORDER BY t.j) AS text
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM texts) t ANTI JOIN gone g ON g.doc_id = t.doc_id AND g.j = t.j GROUP BY t.doc_id
+)
+SELECT x.doc_id, len(x.w)::BIGINT AS n_words, (len(x.w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM texts x LEFT JOIN kept k ON k.doc_id = x.doc_id
 """,
 }

@@ -27,6 +27,13 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
 
 
+def trimmed() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other systems than GNU have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``work`` that gives freed memory back to the system after each batch: a Python worker that waits for its next stage
     keeps all that it holds beside the executor's heap."""
@@ -34,9 +41,7 @@ def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in work(batches):
             yield out
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(AttributeError, OSError):  # other systems than GNU have no such call
-                ctypes.CDLL(None).malloc_trim(0)
+            trimmed()
 
     return run
 
