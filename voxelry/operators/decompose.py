@@ -14,23 +14,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelry.operators.lattice import VOLUME
+from voxelry.operators.lattice import CELL, VOLUME
 from voxelry.operators.propagate import FIELD, close_levels, dense_span, to_dense
+from voxelry.operators.verify import boundary_violations, well_composed
 from voxelry.sources.store import checkpointed
 
 
-def slabs(voxels: DataFrame, k: int, delta: int = 1) -> DataFrame:
+def slabs(voxels: DataFrame, k: int, delta: int = 1, ahead: int = 0) -> DataFrame:
     """(vol_id, k, z0, z1, z0e, z1e): at most ``k`` runs of planes, the first ones a plane longer where d does not
-    divide, each with ``delta`` planes of halo."""
-    if k < 1 or delta < 0:
-        raise ValueError("k must be 1 at least and delta must not be negative")
+    divide, each with ``delta`` planes of halo, and ``ahead`` more above."""
+    if k < 1 or delta < 0 or ahead < 0:
+        raise ValueError("k must be 1 at least, and delta and ahead must not be negative")
     sizes = voxels.select("vol_id", "d").distinct()
     many = F.least(F.lit(k), F.col("d"))
     out = sizes.withColumn("n", many).withColumn("k", F.explode(F.sequence(F.lit(0), many - 1)))
     base, more = F.floor(F.col("d") / F.col("n")).cast("int"), F.col("d") % F.col("n")
     z0 = F.col("k") * base + F.least("k", more)
     out = out.withColumn("z0", z0).withColumn("z1", z0 + base + (F.col("k") < more).cast("int"))
-    return out.select("vol_id", "k", "n", "z0", "z1", F.greatest(F.col("z0") - delta, F.lit(0)).alias("z0e"), F.least(F.col("z1") + delta, F.col("d")).alias("z1e"))
+    return out.select("vol_id", "k", "n", "z0", "z1", F.greatest(F.col("z0") - delta, F.lit(0)).alias("z0e"), F.least(F.col("z1") + delta + ahead, F.col("d")).alias("z1e"))
 
 
 def with_halo(voxels: DataFrame, parts: DataFrame) -> DataFrame:
@@ -59,14 +60,17 @@ def slab_field(pdf: pd.DataFrame, pins: pd.DataFrame | None, l_inf: int, shift:
         low[at] = high[at] = seeds[at] = pins["u"].to_numpy()
     field = close_levels(low, high, l_inf, seeds)
     begin = 2 * z0 + shift if k else 0
-    end = 2 * z1 + shift if k < n - 1 else 2 * d - 1
+    end = min(2 * z1 + shift, 2 * d - 1) if k < n - 1 else 2 * d - 1
+    if end > 2 * z1e - 1:
+        raise ValueError("the halo above must hold the planes that a slab owns beyond its own")
     part = field[:, :, begin - 2 * z0e : end - 2 * z0e]
     ex, ey, ez = (a.ravel() for a in np.indices(part.shape, dtype=np.int32))
     return pd.DataFrame({"vol_id": int(first["vol_id"]), "w": w, "h": h, "d": d, "ex": ex, "ey": ey, "ez": ez + np.int32(begin), "u": part.ravel().astype(np.int32)})
 
 
 def round_zero(voxels: DataFrame, parts: DataFrame, l_inf: int = 0, shift: int = 0) -> DataFrame:
-    """Every slab by itself."""
+    """Every slab by itself. Its halo above must hold the planes that it owns: one plane, or two where ``shift`` is 2, which
+    ``slabs`` gives by ``delta`` or ``ahead``; else it is an error."""
     return with_halo(voxels, parts).groupBy("vol_id", "k").applyInPandas(lambda pdf: slab_field(pdf, None, l_inf, shift), FIELD)
 
 
@@ -79,8 +83,33 @@ def pins_of(field: DataFrame, parts: DataFrame, one_plane: bool = False) -> Data
     return joined.filter(left | right).select("vol_id", "k", "ex", "ey", "ez", "u")
 
 
+def pinned_spans(cells: DataFrame, planes: DataFrame) -> DataFrame:
+    """Cells (CELL, lo, hi) with planes (vol_id, ex, ey, ez, u) of an assembled field joined in: where u is there the
+    interval is u alone and seed is u; other cells, and those whose u is null, keep their interval and have no seed.
+
+    ``fronts.propagated_in_blocks`` starts from the seeds."""
+    pins = planes.filter("u is not null").select("vol_id", "ex", "ey", "ez", F.col("u").cast("int").alias("seed"))
+    both = cells.join(pins, ["vol_id", "ex", "ey", "ez"], "left")
+    return both.withColumns({"lo": F.coalesce("seed", "lo"), "hi": F.coalesce("seed", "hi")}).select(*CELL, "lo", "hi", "seed")
+
+
+def step_by_delta(voxels: DataFrame, k: int, deltas: list[int], l_inf: int = 0) -> DataFrame:
+    """(vol_id, delta, n_cells, n_violations, bdry_violations) of slabs by themselves, by halo: the bound's plane comes from the slab
+    below it, which reads one plane more than its halo."""
+    voxels = checkpointed(voxels, "voxels")
+    rows = []
+    for delta in deltas:
+        parts = checkpointed(slabs(voxels, k, delta, 1), "slabs")
+        field = checkpointed(round_zero(voxels, parts, l_inf, 1), "round-0")
+        checked = field.groupBy("vol_id").agg(F.count("*").alias("n_cells")).join(well_composed(field).select("vol_id", "n_violations"), "vol_id")
+        bad = boundary_violations(field, bounds_of(parts))
+        rows.append(checked.join(bad, "vol_id", "left").na.fill(0, ["bdry_violations"]).withColumn("delta", F.lit(delta)))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def inject_each(voxels: DataFrame, k: int, delta: int = 1, l_inf: int = 0, max_rounds: int = 8, eps: float = 0.5, shift: int = 0, one_plane: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Boundary-injection rounds from ``round_zero``; returns the field and how many rounds each volume took (vol_id, rounds).
+    """Boundary-injection rounds from ``round_zero``; returns the field and how many rounds each volume took
+    (vol_id, rounds, converged).
 
     A round recomputes each slab with its pinned planes. It is a volume's last if none of the volume's cells changed by
     ``eps`` or more; the others go on without it. ``shift`` and ``one_plane`` are those of ``slab_field`` and ``pins_of``.
@@ -105,9 +134,9 @@ def inject_each(voxels: DataFrame, k: int, delta: int = 1, l_inf: int = 0, max_r
             break
         ended, on = moved.filter("not goes_on"), moved.filter("goes_on")
         done.append(new.join(ended, "vol_id", "left_semi"))
-        took.append(ended.select("vol_id", F.lit(rounds).alias("rounds")))
+        took.append(ended.select("vol_id", F.lit(rounds).alias("rounds"), F.lit(True).alias("converged")))
         parts = checkpointed(parts.join(on, "vol_id", "left_semi"), f"slabs-{rounds}")
-    took.append(moved.select("vol_id", F.lit(rounds).alias("rounds")))
+    took.append(moved.select("vol_id", F.lit(rounds).alias("rounds"), (~F.col("goes_on")).alias("converged")))
     if done:
         field = checkpointed(reduce(DataFrame.unionByName, [*done, field]), "field")
     return field, reduce(DataFrame.unionByName, took)
@@ -122,5 +151,5 @@ def inject(voxels: DataFrame, k: int, delta: int = 1, l_inf: int = 0, max_rounds
 def plane_width(spans: DataFrame, parts: DataFrame) -> DataFrame:
     """Per volume the median and maximum over slab bounds of the widest interval on the bound's plane."""
     at = bounds_of(parts).select("vol_id", (2 * F.col("zb")).alias("ez"))
-    widest = spans.join(F.broadcast(at), ["vol_id", "ez"]).groupBy("vol_id", "ez").agg(F.max(F.col("hi") - F.col("lo")).alias("width"))
+    widest = spans.join(at, ["vol_id", "ez"]).groupBy("vol_id", "ez").agg(F.max(F.col("hi") - F.col("lo")).alias("width"))
     return widest.groupBy("vol_id").agg(F.median("width").alias("plane_width_med"), F.max("width").cast("double").alias("plane_width_max"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from voxelry.functions.scalar import snap
 from voxelry.operators.interpolate import border_level
 from voxelry.operators.lattice import CELL, VOLUME, neighbours
+from voxelry.sources.store import checkpointed
 
 FIELD = "vol_id long, w int, h int, d int, ex int, ey int, ez int, u int"
 
@@ -163,17 +164,26 @@ def beside(there: np.ndarray) -> np.ndarray:
     return out
 
 
-def gap_filled(field: DataFrame, rounds: int = 1) -> DataFrame:
+def gap_filled(field: DataFrame, rounds: int | None = 1) -> DataFrame:
     """(CELL, lo, hi, u) with open cells (u null) filled from their neighbours: in each round, all at once, an open cell
-    takes the neighbour's value snapped to its interval that moves least, the lesser of two; what stays open after the
-    last round takes its interval's lower end."""
-    for _ in range(rounds):
-        own = F.col("_self")
-        around = neighbours(field.select(*CELL, "lo", "hi", "u")).groupBy(*CELL).agg(
-            *[F.max(F.when(own, F.col(c))).alias(c) for c in ("lo", "hi", "u")], F.collect_list(F.when(~own, F.col("u"))).alias("_near"))  # six at most
-        moved = F.transform("_near", lambda n: F.struct(F.abs(snap(n, F.col("lo"), F.col("hi")) - n), snap(n, F.col("lo"), F.col("hi")).alias("to")))
-        field = around.select(*CELL, "lo", "hi", F.coalesce("u", F.array_min(moved)["to"]).alias("u"))
-    return field.withColumn("u", F.coalesce("u", "lo"))
+    takes the neighbour's value snapped to its interval that moves least, the lesser of two. With ``rounds`` None it goes on
+    until none changes. What stays open takes its interval's lower end.
+
+    After the first round only cells filled in the last one have news, so a round scatters these alone to the open cells.
+    """
+    key = ["vol_id", "ex", "ey", "ez"]
+    filled = field.filter("u is not null").select(*CELL, "lo", "hi", "u")
+    open_, fresh, done = field.filter("u is null").select(*CELL, "lo", "hi"), filled, 0
+    while rounds is None or done < rounds:
+        moved = snap(F.col("near"), F.col("lo"), F.col("hi"))
+        near = neighbours(fresh.select(*CELL, "u")).filter("not _self").select(*key, F.col("u").alias("near"))
+        best = open_.join(near, key).groupBy(*CELL, "lo", "hi").agg(F.min(F.struct(F.abs(moved - F.col("near")).alias("by"), moved.alias("u"))).alias("best"))
+        fresh = checkpointed(best.select(*CELL, "lo", "hi", "best.u"), "filled")
+        done += 1
+        if fresh.isEmpty():
+            break
+        filled, open_ = filled.unionByName(fresh), checkpointed(open_.join(fresh.select(*key), key, "left_anti"), "open")
+    return filled.unionByName(open_.withColumn("u", F.col("lo")))
 
 
 def nearest_level(levels: DataFrame, at: int, keys: tuple[str, ...] = ("vol_id",)) -> DataFrame:
@@ -212,8 +222,17 @@ def propagated(voxels: DataFrame, l_inf: str | int = "border_median", ascending:
 
 
 def ordered(field: DataFrame) -> DataFrame:
-    """A total order of a volume's cells: by value, then row-major place; from 0."""
+    """A total order of a volume's cells: by value, then row-major place; from 0.
+
+    Cells are dealt out by ranges of (volume, value, place) and numbered within a range; what a range starts from is the sum
+    over a volume's ranges before it, a row for each range and volume.
+    """
     from pyspark.sql import Window
 
     flat = (F.col("ex").cast("long") * (2 * F.col("h") - 1) + F.col("ey")) * (2 * F.col("d") - 1) + F.col("ez")
-    return field.withColumn("f_ord", F.row_number().over(Window.partitionBy("vol_id").orderBy("u", flat)) - 1)
+    rows = field.withColumn("_flat", flat).repartitionByRange("vol_id", "u", "_flat").sortWithinPartitions("vol_id", "u", "_flat")
+    rows = checkpointed(rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)), "ranges")
+    starts = rows.groupBy("vol_id", "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("vol_id").orderBy("_part")) - F.col("_n")
+    placed = rows.join(starts.select("vol_id", "_part", (before - F.col("_first")).alias("_base")), ["vol_id", "_part"])
+    return placed.withColumn("f_ord", (F.col("_at") + F.col("_base")).cast("int")).select(*field.columns, "f_ord")

@@ -62,11 +62,12 @@ def slab_table(rows: DataFrame, least_depth: int = 30, least_share: float = 0.10
 
 
 def per_epsilon(records: DataFrame, keys: list[str] = ("eps",)) -> DataFrame:
-    """Violations and rounds by tolerance, with the share of runs without violations."""
+    """Violations and rounds by tolerance, with sample stds (0 for one row) and the share of runs without violations."""
     v, r = F.col("violations"), F.col("rounds")
+    std = lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0))
     return records.groupBy(*keys).agg(
-        F.count_distinct("subject").alias("n_subjects"), F.avg(v).alias("viol_mean"), F.stddev_pop(v).alias("viol_std"), F.min(v).alias("viol_min"), F.max(v).alias("viol_max"),
-        F.avg((v == 0).cast("int")).alias("pass_rate"), F.avg(r).alias("rounds_mean"), F.stddev_pop(r).alias("rounds_std"), F.min(r).alias("rounds_min"), F.max(r).alias("rounds_max"))
+        F.count_distinct("subject").alias("n_subjects"), F.avg(v).alias("viol_mean"), std(v).alias("viol_std"), F.min(v).alias("viol_min"), F.max(v).alias("viol_max"),
+        F.avg((v == 0).cast("int")).alias("pass_rate"), F.avg(r).alias("rounds_mean"), std(r).alias("rounds_std"), F.min(r).alias("rounds_min"), F.max(r).alias("rounds_max"))
 
 
 def mode(rows: DataFrame, column: str) -> DataFrame:

@@ -4,16 +4,11 @@ from __future__ import annotations
 
 from itertools import combinations, product
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-def half_steps(connectivity: int) -> list[tuple[int, int, int]]:
-    """Half of an adjacency's steps, one of each two opposite ones, by its number of neighbours."""
-    flat, most = {4: (True, 1), 8: (True, 2), 6: (False, 1), 18: (False, 2), 26: (False, 3)}[connectivity]
-    steps = [s for s in product((-1, 0, 1), repeat=3) if any(s) and sum(map(abs, s)) <= most and not (flat and s[2])]
-    return [s for s in steps if s > (0, 0, 0)]
+from voxelry.operators.blocks import components_by_level, half_steps, stars
+from voxelry.sources.store import checkpointed
 
 
 def thresholded(field: DataFrame, thresholds: list[float]) -> DataFrame:
@@ -22,8 +17,8 @@ def thresholded(field: DataFrame, thresholds: list[float]) -> DataFrame:
     return field.withColumn("thr", F.explode(passed))
 
 
-def euler(mask: DataFrame, keys: list[str], names: tuple[str, str, str] = ("ex", "ey", "ez"), flat: bool = False) -> DataFrame:
-    """Per key chi = vertices - edges + faces - cubes of the points of ``mask``, its rows being the points.
+def parts_of(points: DataFrame, keys: list[str], names: tuple[str, str, str], flat: bool, *sums: Column) -> DataFrame:
+    """Vertices, edges, faces and cubes (n: their dimension) all of whose corners are points, with ``sums`` over the corners.
 
     A point is scattered to every cube part that it can be a corner of; a part counts if all its corners are there.
     """
@@ -37,87 +32,49 @@ def euler(mask: DataFrame, keys: list[str], names: tuple[str, str, str] = ("ex",
                     step[a] = b
                 targets.append((sum(1 << a for a in span), n, step))
     to = F.explode(F.array(*[F.struct(F.lit(kind).alias("part"), F.lit(n).alias("n"), *[(F.col(c) - s).alias(f"p{i}") for i, (c, s) in enumerate(zip(names, step, strict=True))]) for kind, n, step in targets]))
-    parts = mask.select(*keys, to.alias("_t")).select(*keys, "_t.*").groupBy(*keys, "part", "n", "p0", "p1", "p2").agg(F.count("*").alias("corners"))
-    whole = parts.filter(F.col("corners") == F.pow(F.lit(2), F.col("n")))
+    rows = points.withColumn("_t", to).select(*[c for c in points.columns if c not in ("n", "part", "p0", "p1", "p2")], "_t.*")
+    parts = rows.groupBy(*keys, "part", "n", "p0", "p1", "p2").agg(F.count("*").alias("corners"), *sums)
+    return parts.filter(F.col("corners") == F.pow(F.lit(2), F.col("n")))
+
+
+def euler(mask: DataFrame, keys: list[str], names: tuple[str, str, str] = ("ex", "ey", "ez"), flat: bool = False) -> DataFrame:
+    """Per key chi = vertices - edges + faces - cubes of the points of ``mask``, its rows being the points."""
+    whole = parts_of(mask.select(*keys, *names), keys, names, flat)
     return whole.groupBy(*keys).agg(F.sum(F.when(F.col("n") % 2 == 0, 1).otherwise(-1)).alias("chi"))
 
 
-def label(points: np.ndarray, steps: list[tuple[int, int, int]]) -> np.ndarray:
-    """A root for each of distinct lattice points (n x 3): the smallest row of its component."""
-    n = len(points)
-    root = np.arange(n)
-    if not n:
-        return root
-    points = points.astype(np.int64) - points.min(axis=0) + 1
-    size = points.max(axis=0) + 2
-    flat = (points[:, 0] * size[1] + points[:, 1]) * size[2] + points[:, 2]
-    order = np.argsort(flat)
-    pairs = []
-    for s in steps:
-        sought = flat + (s[0] * size[1] + s[1]) * size[2] + s[2]
-        at = np.minimum(np.searchsorted(flat[order], sought), n - 1)
-        hit = flat[order][at] == sought
-        pairs.append(np.stack([np.flatnonzero(hit), order[at[hit]]]))
-    a, b = np.concatenate(pairs, axis=1)
-    while len(a):
-        ra, rb = root[a], root[b]
-        open_ = ra != rb
-        a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
-        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-        while True:  # pointers to their ends
-            up = root[root]
-            if (up == root).all():
-                break
-            root = up
-    return root
-
-
-def components(mask: DataFrame, keys: list[str], connectivity: int | dict[str, int], names: tuple[str, str, str] = ("ex", "ey", "ez")) -> DataFrame:
+def levelled(field: DataFrame, thresholds: list[float]) -> DataFrame:
+    """Adds level: how many of the thresholds, in rising order, u reaches."""
+    return field.withColumn("level", F.size(F.filter(F.array(*[F.lit(float(t)) for t in sorted(thresholds)]), lambda t: F.col("u") >= t)))
+
+
+def euler_by_level(rows: DataFrame, keys: list[str], levels: int, names: tuple[str, str, str] = ("ex", "ey", "ez"), flat: bool = False) -> DataFrame:
+    """(keys, level, chi) of the points at or above each level: one scatter, a part counting up to its lowest corner's."""
+    whole = parts_of(rows.filter("level > 0"), keys, names, flat, F.min("level").alias("low")).withColumn("sign", F.when(F.col("n") % 2 == 0, 1).otherwise(-1))
+    sums = whole.groupBy(*keys).agg(*[F.sum(F.when(F.col("low") >= k, F.col("sign"))).alias(f"chi{k}") for k in range(1, levels + 1)])
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.col(f"chi{k}").alias("chi")) for k in range(1, levels + 1)]))
+    return sums.select(*keys, at.alias("_t")).select(*keys, "_t.*").filter("chi is not null")
+
+
+def components(mask: DataFrame, keys: list[str], connectivity: int | dict[str, int], names: tuple[str, str, str] = ("ex", "ey", "ez"), edge: int | None = None) -> DataFrame:
     """Per key the number of components of the points of ``mask``: b0, or a column for each named connectivity.
 
-    The first key's points are one task's group, and all its other keys are labelled at once, side by side.
+    Blocks (``edge`` points wide) are labelled by themselves, and only labels that touch across their faces are joined.
     """
     wanted = {"b0": connectivity} if isinstance(connectivity, int) else connectivity
-    schema = ", ".join(f"{k} {mask.schema[k].dataType.simpleString()}" for k in keys) + "".join(f", {c} long" for c in wanted)
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        code, groups = pd.factorize(pd.MultiIndex.from_frame(pdf[keys]))
-        points = pdf[list(names)].to_numpy().astype(np.int64)
-        points[:, 0] += code * (np.ptp(points[:, 0]) + 2)
-        out = pd.DataFrame(list(groups), columns=keys)
-        for name, c in wanted.items():
-            root = label(points, half_steps(c))
-            out[name] = np.bincount(code[root == np.arange(len(root))], minlength=len(groups))
-        return out
-
-    return mask.select(*keys, *names).groupBy(keys[0]).applyInPandas(count, schema)
+    return components_by_level(mask.withColumn("level", F.lit(1)), keys, 1, wanted, names, edge).drop("level")
 
 
-def large_components(mask: DataFrame, connectivity: int, names: tuple[str, str, str] = ("ex", "ey", "ez"), sizes: tuple[Column, Column, Column] | None = None, rounds: int = 60) -> DataFrame:
+def large_components(mask: DataFrame, connectivity: int, names: tuple[str, str, str] = ("ex", "ey", "ez"), sizes: tuple[Column, Column, Column] | None = None) -> DataFrame:
     """(vol_id, point, root) for volumes too large for a task: star contraction over the edges, by (vol_id, point).
 
     Neighbours come from scattering each point to itself and to its steps, not from a self-join over all pairs.
     """
-    from voxelry.sources.store import checkpointed
-
     w, h, d = sizes or tuple(2 * F.col(c) - 1 for c in ("w", "h", "d"))
     code = lambda s: ((F.col(names[0]).cast("long") + s[0] + 1) * (h + 2) + F.col(names[1]) + s[1] + 1) * (d + 2) + F.col(names[2]) + s[2] + 1
     own = checkpointed(mask.select("vol_id", code((0, 0, 0)).alias("point"), F.array(*[code(s) for s in half_steps(connectivity)]).alias("near")), "points")
     edges = own.select("vol_id", F.col("point").alias("v"), F.explode("near").alias("u")).join(own.select("vol_id", F.col("point").alias("u")), ["vol_id", "u"], "left_semi")
-    edges = checkpointed(edges.select("vol_id", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
-    for _ in range(rounds):
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("vol_id", "u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
-        both = edges.unionByName(edges.select("vol_id", F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("vol_id", "u").agg(F.min("v").alias("m")).select("vol_id", "u", F.least("u", "m").alias("m"))
-        big = both.join(least, ["vol_id", "u"]).filter("v > u").select("vol_id", F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = big.groupBy("vol_id", "u").agg(F.min("v").alias("m"))
-        small = big.join(low, ["vol_id", "u"]).select("vol_id", F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        edges = checkpointed(small.unionByName(low.select("vol_id", "u", F.col("m").alias("v"))).select("vol_id", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    found = own.join(edges.select("vol_id", F.col("u").alias("point"), F.col("v").alias("root")), ["vol_id", "point"], "left")
+    found = own.join(stars(edges, ["vol_id"]).select("vol_id", F.col("u").alias("point"), F.col("v").alias("root")), ["vol_id", "point"], "left")
     return found.select("vol_id", "point", F.coalesce("root", "point").alias("root"))
 
 
@@ -132,19 +89,24 @@ def cross_metrics(b0_low: Column, b0_high: Column, chi: Column, ref_chi: Column)
     }
 
 
-def counts(field: DataFrame, thresholds: list[float], flat: bool = False, keys: tuple[str, ...] = ("vol_id",)) -> DataFrame:
-    """Per key and threshold b0 under both adjacencies and chi; keys whose mask is empty have zeros."""
+def counts(field: DataFrame, thresholds: list[float], flat: bool = False, keys: tuple[str, ...] = ("vol_id",), edge: int | None = None) -> DataFrame:
+    """Per key and threshold b0 under both adjacencies and chi; keys whose mask is empty have zeros.
+
+    All thresholds are read from one merge tree and one scatter.
+    """
     low, high = (4, 8) if flat else (6, 26)
-    mask = thresholded(field, thresholds)
-    by = [*keys, "thr"]
-    every = field.select(*keys).distinct().withColumn("thr", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
-    out = every.join(components(mask, by, {"b0_low": low, "b0_high": high}), by, "left").join(euler(mask, by, flat=flat), by, "left")
-    return out.na.fill(0, ["b0_low", "b0_high", "chi"])
+    steps, by = sorted({float(t) for t in thresholds}), [*keys, "level"]
+    rows = levelled(field, steps)
+    level = F.explode(F.array(*[F.struct(F.lit(k + 1).alias("level"), F.lit(t).alias("thr")) for k, t in enumerate(steps)]))
+    every = field.select(*keys).distinct().withColumn("_t", level).select(*keys, "_t.*")
+    found = components_by_level(rows, list(keys), len(steps), {"b0_low": low, "b0_high": high}, edge=edge)
+    out = every.join(found, by, "left").join(euler_by_level(rows, list(keys), len(steps), flat=flat), by, "left")
+    return out.na.fill(0, ["b0_low", "b0_high", "chi"]).select(*keys, "thr", "b0_low", "b0_high", "chi")
 
 
 def stability(counted: DataFrame, keys: tuple[str, ...] = ("vol_id",)) -> DataFrame:
-    """Threshold stability index: population standard deviation of b0 over the thresholds."""
-    return counted.groupBy(*keys).agg(F.stddev_pop("b0_low").alias("tsi"))
+    """Threshold stability index: population standard deviation, over the thresholds, of b0 under the wider adjacency."""
+    return counted.groupBy(*keys).agg(F.stddev_pop("b0_high").alias("tsi"))
 
 
 def betti(counted: DataFrame, flat: bool = False) -> DataFrame:

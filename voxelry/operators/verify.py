@@ -93,7 +93,7 @@ def violating_cells(field: DataFrame, flat: bool = False, most: int | None = Non
 def boundary_violations(field: DataFrame, bounds: DataFrame) -> DataFrame:
     """Violating xz and yz blocks at planes 2z-1 and 2z of the slab bounds (vol_id, zb), per volume."""
     planes = bounds.select("vol_id", F.explode(F.array(2 * F.col("zb") - 1, 2 * F.col("zb"))).alias("aez"))
-    found = block_corners(field, ("xz", "yz")).join(F.broadcast(planes), ["vol_id", "aez"], "left_semi")
+    found = block_corners(field, ("xz", "yz")).join(planes, ["vol_id", "aez"], "left_semi")
     counted = found.groupBy("vol_id").agg(F.count_if(face_gap() > 0).alias("bdry_violations"))
     return bounds.select("vol_id").distinct().join(counted, "vol_id", "left").select("vol_id", F.coalesce("bdry_violations", F.lit(0)).alias("bdry_violations"))
 

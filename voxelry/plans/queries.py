@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelry.functions import scalar
-from voxelry.operators import decompose, interpolate, labels, propagate, stats, topology, verify
-from voxelry.operators.lattice import CELL
+from voxelry.operators import decompose, fronts, interpolate, labels, propagate, stats, topology, verify
+from voxelry.operators.lattice import CELL, VOLUME
 from voxelry.plans import experiments
 from voxelry.sources import raster
 from voxelry.sources import volumes as volume_files
@@ -18,7 +18,8 @@ from voxelry.sources.store import checkpointed
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-NINE = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
+#: The thresholds of the stability index.
+NINE = [0.30, 0.35, 0.40, 0.45, 0.50, 0.55, 0.60, 0.65, 0.70]
 
 
 def query(sql: str | None = None):
@@ -316,7 +317,7 @@ _eight = [*_four, (1, 1), (1, -1), (-1, 1), (-1, -1)]
 
 def counts_sql(field: str) -> str:
     """SQL of CTE ``counted`` (k, thr, b0_low, b0_high, chi) of a field (k: an integer, ex, ey, u) over nine thresholds."""
-    return f"""thrs AS (SELECT t + 1 AS i, (t + 1) / 10.0::DOUBLE AS thr FROM range(9) r(t)),
+    return f"""thrs AS (SELECT t + 1 AS i, (30 + 5 * t) / 100.0::DOUBLE AS thr FROM range(9) r(t)),
 over AS (SELECT k * 16 + i AS vol_id, ex, ey, 0 AS ez FROM {field} JOIN thrs ON u >= thr), marked AS (SELECT k * 16 + i AS k, list(u >= thr ORDER BY ex, ey) AS m FROM {field}, thrs GROUP BY ALL),
 {labelled('low', 'marked', _four)}, {labelled('high', 'marked', _eight)}, parts AS ({_chi(2, ('ex', 'ey', 'ez'), 'over')}), chis AS (SELECT vol_id AS k, sum(s)::BIGINT AS chi FROM parts GROUP BY vol_id),
 counted AS (SELECT low.k // 16 AS k, thr, low.b0 AS b0_low, high.b0 AS b0_high, coalesce(chi, 0) AS chi FROM low JOIN high USING (k) LEFT JOIN chis USING (k) JOIN thrs ON low.k % 16 = i)"""
@@ -336,7 +337,7 @@ def cross_connectivity(spark, sf_dir):
     return both.withColumns(topology.cross_metrics(F.col("b0_low"), F.col("b0_high"), F.col("chi"), F.col("ref_chi")))
 
 
-@query(f"WITH RECURSIVE {volumes(2)}, {_mean}, {counts_sql('f')} SELECT k AS vol_id, round(stddev_pop(b0_low), 9) AS tsi FROM counted GROUP BY k")
+@query(f"WITH RECURSIVE {volumes(2)}, {_mean}, {counts_sql('f')} SELECT k AS vol_id, round(stddev_pop(b0_high), 9) AS tsi FROM counted GROUP BY k")
 def tsi9(spark, sf_dir):
     return topology.stability(_mean_counts(spark, sf_dir)).withColumn("tsi", F.round("tsi", 9))
 
@@ -355,7 +356,7 @@ f AS (SELECT c.vol_id * 4 AS k, ex, ey, v::DOUBLE AS u FROM cells c JOIN vox USI
 
 
 @query(f"""WITH RECURSIVE {_masks}, {_fields}, {counts_sql('f')}, on_voxels AS (SELECT * FROM vox WHERE v = 1), {_ref},
-tsis AS (SELECT k, round(stddev_pop(b0_low), 9) AS tsi FROM counted GROUP BY k), twos AS (SELECT k, bool_and(u IN (0, 1))::INT AS is_binary FROM f GROUP BY k),
+tsis AS (SELECT k, round(stddev_pop(b0_high), 9) AS tsi FROM counted GROUP BY k), twos AS (SELECT k, bool_and(u IN (0, 1))::INT AS is_binary FROM f GROUP BY k),
 every AS (SELECT k // 4 AS vol_id, {_methods}[k % 4 + 1] AS method, b0_low, b0_high, chi, coalesce(ref_chi, 0) AS ref_chi, tsi, is_binary FROM counted JOIN tsis USING (k) JOIN twos USING (k) LEFT JOIN ref ON ref.vol_id = k // 4 WHERE thr = 0.5)
 SELECT *, {_cross} FROM every""")
 def topology_rows(spark, sf_dir):
@@ -441,6 +442,33 @@ def immersion3d(spark, sf_dir):
     return propagate.propagated(emb(spark, sf_dir, 3), "zero").select("vol_id", "ex", "ey", "ez", "u")
 
 
+@query(f"WITH RECURSIVE {volumes(3)}, {_whole} SELECT k[1] AS vol_id, ex, ey, ez, u FROM whole")
+def immersion_blocks(spark, sf_dir):
+    """Every cell of the gray field, by blocks of 4 x 4 x 4 cells that close in step."""
+    return fronts.propagated_in_blocks(emb(spark, sf_dir, 3), "zero", 4).select("vol_id", "ex", "ey", "ez", "u")
+
+
+_seeded = "pinned AS (SELECT c.vol_id, c.ex, c.ey, c.ez, coalesce(p.v, lo) AS lo, coalesce(p.v, hi) AS hi, p.v AS seed FROM cells c LEFT JOIN vox p ON p.vol_id = c.vol_id AND c.ez = 3 AND p.x * 2 = c.ex AND p.y * 2 = c.ey AND p.z = 2 AND p.v % 5 > 0)"
+
+
+def _planes(spark, sf_dir):
+    """A plane between two of the voxels', with the upper voxels' levels at the voxels' places, some of them null."""
+    plane = emb(spark, sf_dir, 3).filter("z = 2")
+    return plane.select(*VOLUME, (2 * F.col("x")).alias("ex"), (2 * F.col("y")).alias("ey"), F.lit(3).alias("ez"), F.when(F.col("v") % 5 > 0, F.col("v")).alias("u"))
+
+
+@query(f"WITH {volumes(3)}, {_seeded} SELECT * FROM pinned")
+def pinned_spans(spark, sf_dir):
+    cells = interpolate.interval_span(emb(spark, sf_dir, 3))
+    return decompose.pinned_spans(cells, _planes(spark, sf_dir)).select("vol_id", "ex", "ey", "ez", "lo", "hi", "seed")
+
+
+@query(f"WITH RECURSIVE {volumes(3)}, {_seeded}, {closure('whole', dense_start('pinned', 'vol_id', '0', '7', 'seed'))} SELECT k[1] AS vol_id, ex, ey, ez, u FROM whole")
+def seeded_blocks(spark, sf_dir):
+    """The field by blocks, from the border and a pinned plane's seeds."""
+    return fronts.propagated_in_blocks(emb(spark, sf_dir, 3), "zero", 4, _planes(spark, sf_dir)).select("vol_id", "ex", "ey", "ez", "u")
+
+
 @query(f"""WITH RECURSIVE {volumes(3)}, b AS (SELECT vol_id, ex, ey, ez, (lo > 127)::INT AS lo, (hi > 127)::INT AS hi FROM cells),
 edge AS (SELECT vol_id, ex, ey, ez FROM b WHERE lo = 0 AND (least(ex, ey, ez) = 0 OR greatest(ex, ey, ez) = 6)),
 flood AS (SELECT vol_id, ex, ey, ez FROM edge UNION SELECT b.vol_id, b.ex, b.ey, b.ez FROM flood f, (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) s(dx, dy, dz), b
@@ -531,6 +559,24 @@ def ibi_round0(spark, sf_dir):
     return verify.well_composed(field).select("vol_id", "n_blocks", "n_violations")
 
 
+def _deltas_sql() -> str:
+    """Slabs by themselves at halos of 0 to 3, in SQL; a slab's number holds its halo."""
+    rows = [(10 * delta + i, z0, z1, z0e, min(4, z1e + 1 - i), 2 * (min(4, z1e + 1 - i) - z0e) - 1, 2 * z0 + i, 2 * z1 + 1 if i == 0 else 7) for delta in range(4) for i, z0, z1, z0e, z1e in _slabs_sql(2, delta)]
+    return f"""WITH RECURSIVE {volumes(3)}, slab AS (SELECT * FROM (VALUES {", ".join(map(str, rows))}) t(part, z0, z1, z0e, z1e, d, own_from, own_to)),
+local AS (SELECT vol_id, part, z0, z1, z0e, z1e, d, own_from, own_to, ex, ey, ez - 2 * z0e AS ez, lo, hi FROM cells JOIN slab ON ez BETWEEN 2 * z0e AND 2 * z0e + d - 1),
+{closure("g", dense_start("local", "vol_id, part", "0", "d"))},
+f AS (SELECT k[1] * 10 + k[2] // 10 AS vol_id, ex, ey, ez + 2 * z0e AS ez, u FROM g JOIN slab ON part = k[2] WHERE ez + 2 * z0e >= own_from AND ez + 2 * z0e < own_to),
+blocks AS ({face_blocks("f", ("xy", "xz", "yz"))} UNION ALL {_body()}), n AS (SELECT vol_id, count(*) AS n_cells FROM f GROUP BY vol_id),
+bad AS (SELECT vol_id, count(*) FILTER (WHERE gap > 0) AS n_violations, count(*) FILTER (WHERE gap > 0 AND plane IN ('xz', 'yz') AND ez IN (3, 4)) AS bdry_violations FROM blocks GROUP BY vol_id)
+SELECT vol_id // 10 AS vol_id, (vol_id % 10)::INT AS delta, n_cells, n_violations, bdry_violations FROM bad JOIN n USING (vol_id)"""
+
+
+@query(_deltas_sql())
+def round0_deltas(spark, sf_dir):
+    """The step by halo: slabs by themselves, whose bounds violate at a halo of 0."""
+    return decompose.step_by_delta(emb(spark, sf_dir, 3), 2, [0, 1, 2, 3]).select("vol_id", "delta", "n_cells", "n_violations", "bdry_violations")
+
+
 @query()
 def li_cube_ibi(spark, sf_dir):
     """One larger volume, line items by quantity, discount and tax, in three slabs."""
@@ -635,11 +681,11 @@ def speedup(spark, sf_dir):
     return t.select("o_orderkey", scalar.speedup(F.col("a"), F.col("b")).alias("speedup"))
 
 
-@query("SELECT l_linenumber AS eps, count(DISTINCT l_suppkey) AS n_subjects, round(avg(l_quantity), 9) AS viol_mean, min(l_quantity) AS viol_min, max(l_quantity) AS viol_max, avg((l_quantity = 0)::INT) AS pass_rate, round(avg(l_orderkey % 5), 9) AS rounds_mean FROM lineitem GROUP BY l_linenumber")
+@query("""SELECT l_linenumber AS eps, count(DISTINCT l_suppkey) AS n_subjects, round(avg(l_quantity), 9) AS viol_mean, round(sqrt(sum((l_quantity - m) ** 2) / (count(*) - 1)), 6) AS viol_std, min(l_quantity) AS viol_min, max(l_quantity) AS viol_max, avg((l_quantity = 0)::INT) AS pass_rate,
+round(avg(r), 9) AS rounds_mean, round(sqrt(sum((r - n) ** 2) / (count(*) - 1)), 6) AS rounds_std, min(r) AS rounds_min, max(r) AS rounds_max FROM (SELECT *, l_orderkey % 5 AS r, avg(l_quantity) OVER w AS m, avg(l_orderkey % 5) OVER w AS n FROM lineitem WINDOW w AS (PARTITION BY l_linenumber)) GROUP BY l_linenumber""")
 def eps_summary(spark, sf_dir):
     t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_linenumber").alias("eps"), F.col("l_suppkey").alias("subject"), F.col("l_quantity").alias("violations"), (F.col("l_orderkey") % 5).alias("rounds"))
-    out = stats.per_epsilon(t).withColumns({"viol_mean": F.round("viol_mean", 9), "rounds_mean": F.round("rounds_mean", 9)})
-    return out.select("eps", "n_subjects", "viol_mean", "viol_min", "viol_max", "pass_rate", "rounds_mean")
+    return stats.per_epsilon(t).withColumns({c: F.round(c, 9 if "mean" in c else 6) for c in ("viol_mean", "rounds_mean", "viol_std", "rounds_std")})
 
 
 @query("SELECT l_linenumber AS mode FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1")
@@ -742,6 +788,21 @@ def gap_fill(spark, sf_dir):
     return propagate.gap_filled(cells).select("vol_id", "ex", "ey", "u")
 
 
+_deep = "SELECT vol_id, ex, ey, lo, hi, CASE WHEN (ex + ey) % 9 = 0 AND vol_id % 7 > 0 THEN hi END AS u FROM cells"
+_clip = "greatest(lo[i], least(n, hi[i]))"
+_around = ", ".join(f"CASE WHEN {there} THEN s[{j}] END" for there, j in (("i > 15", "i - 15"), ("i <= 210", "i + 15"), ("(i - 1) % 15 > 0", "i - 1"), ("(i - 1) % 15 < 14", "i + 1")))
+
+
+@query(f"""WITH RECURSIVE {volumes(2)}, f AS ({_deep}), start AS (SELECT vol_id, list(lo ORDER BY ex, ey) AS lo, list(hi ORDER BY ex, ey) AS hi, list(u ORDER BY ex, ey) AS s FROM f GROUP BY vol_id),
+fill AS (SELECT vol_id, lo, hi, s, 0 AS step FROM start UNION ALL SELECT vol_id, lo, hi, t, step + 1 FROM (
+  SELECT vol_id, lo, hi, s, step, list_transform(s, lambda v, i: coalesce(v, list_min(list_transform(list_filter([{_around}], lambda n: n IS NOT NULL), lambda n: abs({_clip} - n) * 1000 + {_clip})) % 1000)) AS t FROM fill) WHERE t IS DISTINCT FROM s)
+SELECT vol_id, (i // 15)::INT AS ex, (i % 15)::INT AS ey, coalesce(s[i + 1], lo[i + 1])::INT AS u FROM (SELECT vol_id, any_value(lo) AS lo, arg_max(s, step) AS s FROM fill GROUP BY vol_id), range(225) t(i)""")
+def gap_fill_deep(spark, sf_dir):
+    """Fields with holes several cells deep, filled until nothing changes; a volume of seven has nothing to fill from."""
+    cells = interpolate.interval_span(emb(spark, sf_dir, 2)).withColumn("u", F.when(((F.col("ex") + F.col("ey")) % 9 == 0) & (F.col("vol_id") % 7 > 0), F.col("hi")))
+    return propagate.gap_filled(cells, None).select("vol_id", "ex", "ey", "u")
+
+
 def sweep_sql(start: str) -> str:
     """SQL of CTEs ``sweep_front`` and ``swept``: a step of the rising sweep in each round; u null where it does not come."""
     near = " OR ".join(f"({there} AND s[{j}] >= 0)" for there, j in (("(i - 1) // 49 > 0", "i - 49"), ("(i - 1) // 49 < 6", "i + 49"), ("(i - 1) // 7 % 7 > 0", "i - 7"), ("(i - 1) // 7 % 7 < 6", "i + 7"), ("(i - 1) % 7 > 0", "i - 1"), ("(i - 1) % 7 < 6", "i + 1")))
@@ -817,12 +878,12 @@ def labelled3(name: str, masks: str, steps: list[tuple[int, int, int]]) -> str:
     return labelled(name, masks, []).replace("[v, l[v], ]", f"[v, l[v], {', '.join(near)}]")
 
 
-@query(f"""WITH RECURSIVE {volumes(3)}, f AS (SELECT vol_id AS k, ex, ey, ez, mean / 255 AS u FROM cells), thrs AS (SELECT t + 1 AS i, (t + 4) / 10.0::DOUBLE AS thr FROM range(3) r(t)),
+@query(f"""WITH RECURSIVE {volumes(3)}, f AS (SELECT vol_id AS k, ex, ey, ez, mean / 255 AS u FROM cells), thrs AS (SELECT t + 1 AS i, (30 + 5 * t) / 100.0::DOUBLE AS thr FROM range(9) r(t)),
 over AS (SELECT k * 16 + i AS vol_id, ex, ey, ez FROM f JOIN thrs ON u >= thr), marked AS (SELECT k * 16 + i AS k, list(u >= thr ORDER BY ex, ey, ez) AS m FROM f, thrs GROUP BY ALL),
 {labelled3('low', 'marked', _cube6)}, {labelled3('high', 'marked', _cube26)}, parts AS ({_chi(3, ('ex', 'ey', 'ez'), 'over')}), chis AS (SELECT vol_id AS k, sum(s)::BIGINT AS chi FROM parts GROUP BY vol_id),
 counted AS (SELECT low.k // 16 AS k, thr, low.b0 AS b0_low, high.b0 AS b0_high, coalesce(chi, 0) AS chi FROM low JOIN high USING (k) LEFT JOIN chis USING (k) JOIN thrs ON low.k % 16 = i),
 on_voxels AS (SELECT * FROM vox WHERE v > 127), ref_parts AS ({_chi(3, ('x', 'y', 'z'), 'on_voxels')}), ref AS (SELECT vol_id, sum(s)::BIGINT AS ref_chi FROM ref_parts GROUP BY vol_id),
-tsis AS (SELECT k, round(stddev_pop(b0_low), 9) AS tsi FROM counted GROUP BY k), twos AS (SELECT k, bool_and(u IN (0, 1))::INT AS is_binary FROM f GROUP BY k),
+tsis AS (SELECT k, round(stddev_pop(b0_high), 9) AS tsi FROM counted GROUP BY k), twos AS (SELECT k, bool_and(u IN (0, 1))::INT AS is_binary FROM f GROUP BY k),
 every AS (SELECT k AS vol_id, 'linear' AS method, b0_low, b0_high, chi, coalesce(ref_chi, 0) AS ref_chi, tsi, is_binary FROM counted JOIN tsis USING (k) JOIN twos USING (k) LEFT JOIN ref ON ref.vol_id = k WHERE thr = 0.5)
 SELECT *, {_cross}, b0_low AS b0, -1::BIGINT AS b1 FROM every""")
 def topology3d(spark, sf_dir):
@@ -831,7 +892,7 @@ def topology3d(spark, sf_dir):
     field = interpolate.linear(voxels).withColumn("u", F.col("u") / 255).withColumn("method", F.lit("linear"))
     ref = topology.euler(voxels.filter("v > 127"), ["vol_id"], ("x", "y", "z")).withColumnRenamed("chi", "ref_chi")
     ref = voxels.select("vol_id").distinct().join(ref, "vol_id", "left").na.fill(0, ["ref_chi"])
-    return topology.betti(topology.bundle(field, ref, 0.5, [0.4, 0.5, 0.6])).withColumn("tsi", F.round("tsi", 9))
+    return topology.betti(topology.bundle(field, ref, 0.5, NINE)).withColumn("tsi", F.round("tsi", 9))
 
 
 def _slab_rows_sql(delta: int) -> str:
