@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from voxelry.llm.chunks import by_group, chunked, packed, unpacked, with_answers
 from voxelry.llm.shared import materialize
-from voxelry.llm.text import Words, split_words, texts_of, word_hashes
+from voxelry.llm.text import Words, byte_hashes, split_words, texts_of
 
 SPAN = 20
 #: Rows of the sketch, cells in each row for each window of the corpus (about), and cells of a row in a shard.
@@ -64,7 +64,7 @@ def windows(words: Words, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.
     n = len(words.codes)
     if n < span:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    h = word_hashes(words.unique)
+    h = byte_hashes(words.unique)
     rows = words.rows()
     at = np.flatnonzero(rows[: n - span + 1] == rows[span - 1 :])
     a = spread_bits(rolled(h[words.codes], span, P1)[at])
@@ -121,12 +121,14 @@ def suspected(a: np.ndarray, b: np.ndarray, shards: int, answers: pa.Table) -> n
     out = np.ones(len(a), bool)
     found = {(r["row"], r["shard"]): r["bits"] for r in answers.select(["row", "shard", "bits"]).to_pylist() if r["bits"] is not None}
     for row, cells in enumerate(cells_of(a, b, shards)):
-        known = np.unique(cells)
-        ends = np.searchsorted(known, np.arange(1, shards + 1, dtype=np.uint64) * np.uint64(SHARD_CELLS))
-        sizes = np.diff(ends, prepend=0)
+        order = np.argsort(cells)
+        ordered = cells[order]
+        new = np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)]
+        known = ordered[new]
+        sizes = np.diff(np.searchsorted(known, np.arange(1, shards + 1, dtype=np.uint64) * np.uint64(SHARD_CELLS)), prepend=0)
         twice = [np.unpackbits(np.frombuffer(found[row, s], np.uint8), count=int(sizes[s])) for s in np.flatnonzero(sizes).tolist()]
         if twice:
-            out &= np.concatenate(twice).astype(bool)[np.searchsorted(known, cells)]
+            out[order] &= np.concatenate(twice).astype(bool)[np.cumsum(new) - 1]
     return out
 
 
