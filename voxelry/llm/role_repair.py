@@ -120,7 +120,8 @@ def joined(parts: list[list[dict]]) -> list[dict]:
                 if p["end"] not in on or new < on[p["end"]][:2]:
                     on[p["end"]] = (*new, [*chosen, p])
         best = on
-    return min(best[t] for t in ACCEPT if t in best)[2]
+    # an insertion between two parts may stand in either: equal cost and audit, either will do
+    return min((best[t] for t in ACCEPT if t in best), key=lambda b: b[:2])[2]
 
 
 def edits(audit: str, start: int, initials: Iterator[str]) -> Iterator[tuple[str, str | None]]:
