@@ -246,3 +246,11 @@ def test_odd_pages(spark):
 def test_long_page_in_time():
     text = html_extract.extract("<article>" + "<p>word, word.</p>" * 20_000 + '<p a="' + "x" * 100_000)
     assert text.count("word, word.") == 20_000
+
+
+def test_parts_of_any_shape():
+    parts = [3, True, ["x", 1], {"type": None}, {"type": "text", "text": {"a": 1}}, {"type": "text"}, {"type": "image", "width": "100%", "height": -4}, {"type": "image", "width": 57.0, "height": "28"}, {"type": "audio", "seconds": float("inf")}, {"type": "audio", "seconds": "no"}, {"type": "document", "pages": "two"}, {"type": "document", "pages": 2.5}, {"type": "visit", "x": float("nan")}]
+    visitor = chat_format.Visitor()
+    text = visitor.flatten(parts)
+    assert [(a.kind, a.tokens) for a in visitor.attachments] == [("image", 1), ("image", 3), ("audio", 1), ("audio", 1), ("document", 512), ("document", 1536)]
+    assert chat_format.unescape(text).startswith('3true["x", 1]{"type": null}{"a": 1}')

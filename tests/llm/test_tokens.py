@@ -128,3 +128,13 @@ def test_padding_is_small(spark):
     pdf = op9_packing(spark, SF).toPandas()
     fill = pdf.groupby("sequence_id").length.sum()
     assert fill.max() <= 2048 and (2048 - fill)[fill.isin([1 << k for k in range(12)]) == False].sum() < 0.02 * fill.sum()  # noqa: E712
+
+
+def test_ids_of_a_wide_tokenizer(spark, tmp_path):
+    from tokenizers import models, pre_tokenizers
+
+    wide = Tokenizer(models.WordLevel({"[UNK]": 0, "near": 65_535, "far": 70_000}, unk_token="[UNK]"))
+    wide.pre_tokenizer = pre_tokenizers.Whitespace()
+    path = str(tmp_path / "wide.json")
+    wide.save(path)
+    assert token_output.id_width(path, 2) == "<u4" and token_output.id_width(PATH, 2) == "<u2" and token_output.id_width(PATH, 1 << 16) == "<u4"

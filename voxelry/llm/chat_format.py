@@ -6,7 +6,8 @@ Turns are written ``<|role|>\\ntext<|end|>\\n``. Within roles and texts a backsl
 ``[`` and ``|``, so that neither this template's marks nor those of others (``</s>``, ``[INST]``) can arise; taking away
 the backslash behind each of the four gives the text back. The mask lists the spans of the assistants' texts.
 
-Cases: a null or empty text is an empty turn; a null role is the empty role; turns with equal numbers follow in the
+Cases: parts that are no dict, and texts that are no string, are kept as their JSON text; sizes that are no finite number
+above 0 count as missing: one patch, one token, one page; a null or empty text is an empty turn; a null role is the empty role; turns with equal numbers follow in the
 order of role and text; null turn numbers come first; rows with a null conversation id form one conversation; an empty
 table gives no rows; other columns are left out. Rows are dealt out by conversation and streamed in order, so only one
 conversation's output is in memory, not a table of its turns.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -36,6 +38,15 @@ def unescape(text: str) -> str:
     return _unescaped.sub(r"\1", text)
 
 
+def amount(value: object, default: float) -> float:
+    """A size as a number; ``default`` for what is none, is not finite or not above 0."""
+    try:
+        number = float(value)
+    except (TypeError, ValueError, OverflowError):
+        return default
+    return number if 0 < number < float("inf") else default
+
+
 @dataclass
 class Attachment:
     kind: str
@@ -54,28 +65,30 @@ class Visitor:
     attachments: list[Attachment] = field(default_factory=list)
     pieces: list[str] = field(default_factory=list)
 
-    def visit(self, part: dict | str | None) -> None:
+    def visit(self, part: object) -> None:
         if part is None:
             return
         if isinstance(part, str):
             part = {"type": "text", "text": part}
-        getattr(self, f"visit_{part.get('type')}", self.visit_other)(part)
+        kind = part.get("type") if isinstance(part, dict) else None
+        {"text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}.get(str(kind), self.visit_other)(part)
 
     def visit_text(self, part: dict) -> None:
-        self.pieces.append(escape(part.get("text") or ""))
+        text = part.get("text")
+        self.pieces.append(escape(text if isinstance(text, str) else "" if text is None else json.dumps(text, sort_keys=True, ensure_ascii=False)))
 
     def visit_image(self, part: dict) -> None:
-        side = lambda k: -(-int(part.get(k) or self.image_patch) // self.image_patch)
+        side = lambda k: math.ceil(amount(part.get(k), self.image_patch) / self.image_patch)
         self.attach(part, "image", side("width") * side("height"))
 
     def visit_audio(self, part: dict) -> None:
-        self.attach(part, "audio", max(1, round(float(part.get("seconds") or 0) * self.audio_tokens_per_second)))
+        self.attach(part, "audio", max(1, round(amount(part.get("seconds"), 0) * self.audio_tokens_per_second)))
 
     def visit_document(self, part: dict) -> None:
-        self.attach(part, "document", max(1, int(part.get("pages") or 1)) * self.tokens_per_page)
+        self.attach(part, "document", math.ceil(amount(part.get("pages"), 1)) * self.tokens_per_page)
 
-    def visit_other(self, part: dict) -> None:
-        self.pieces.append(escape(json.dumps(part, sort_keys=True, ensure_ascii=False)))
+    def visit_other(self, part: object) -> None:
+        self.pieces.append(escape(json.dumps(part, sort_keys=True, ensure_ascii=False, default=str)))
 
     def attach(self, part: dict, kind: str, tokens: int) -> None:
         self.attachments.append(Attachment(kind, str(part.get("reference") or part.get("url") or ""), len(self.attachments), tokens))

@@ -37,9 +37,19 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:05d}"
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocab_size: int) -> list[dict]:
-    """Write ``docs`` (doc_id, text) in ascending document order; returns the manifest, a row for each shard."""
-    kind = "<u2" if vocab_size <= 1 << 16 else "<u4"
+def id_width(tokenizer: str, end_id: int) -> str:
+    """The narrower of two types that holds the end id and all ids of a tokenizer."""
+    from tokenizers import Tokenizer
+
+    most = max([end_id, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()])
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
+def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, kind: str | None = None) -> list[dict]:
+    """Write ``docs`` (doc_id, text) in ascending document order; returns the manifest, a row for each shard. Ids are of type
+    ``kind``, by default as wide as the tokenizer wants; an id beyond it is an error."""
+    kind = kind or id_width(tokenizer, end_id)
+    limit = int(np.iinfo(np.dtype(kind)).max)
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").drop("_tie")
@@ -55,6 +65,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocab_
             texts = texts_of(batch)
             for a, b in slices(texts, TOKEN_BYTES):
                 tokens, starts = encoder.ids(texts.slice(a, b - a), end_id)
+                if tokens.max(initial=0) > limit:
+                    raise ValueError(f"token id {tokens.max()} does not fit {kind}")
                 if stream is None:
                     store.create_dir(root, recursive=True)
                     stream = store.open_output_stream(f"{tmp}.ids")
@@ -143,7 +155,7 @@ def read_shards(spark: SparkSession, path: str, manifest: list[dict]) -> DataFra
     return spark.range(0, len(parts), 1, len(parts)).mapInArrow(read, READ)
 
 
-def token_output(docs: DataFrame, tokenizer: str, end_id: int = 2, vocab_size: int = 49_408, path: str | None = None) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None) -> DataFrame:
     """Write the shards of ``docs`` to ``path`` (new under the shared folder by default), then read them back."""
     path = path or shared_dir(docs.sparkSession, "tokens")
-    return read_shards(docs.sparkSession, path, write_shards(docs, path, tokenizer, end_id, vocab_size))
+    return read_shards(docs.sparkSession, path, write_shards(docs, path, tokenizer, end_id))
