@@ -5,7 +5,7 @@
 2. A chunk packs each run of 2 to 4 numbered words into one integer and counts it in a filter: an invertible permutation
    (a Feistel network, or one multiplication and shifts) spreads the integers, the upper bits are the quotient, all others
    the remainder. A filter keeps its entries sorted, a bit for each quotient that occurs, a bit for each run's end, the
-   remainders in as few bytes as they need, and counts in a byte each with longer ones aside.
+   remainders in as few bits as they need, and counts in a byte each with longer ones aside.
 3. The filters of a shard of the quotients are merged in order and their equal entries added up; what counts ``LEAST`` at
    least is permuted back into word numbers. The filters lose nothing, so counts are exact.
 4. Cuts, containment and ranks are joins, groupings and a window over these phrases; products are decimals.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from voxelry.llm.chunks import by_group, chunked, packed, unpacked, with_answers
 from voxelry.llm.shared import materialize
-from voxelry.llm.text import split_words, texts_of, word_hashes
+from voxelry.llm.text import byte_hashes, split_words, texts_of
 
 LEAST, LONGEST, TOP = 30, 4, 2000
 #: Words, and n-grams, that a shard gets at most if all differ (about).
@@ -114,15 +114,17 @@ def stirred(x: np.ndarray, key: np.uint64) -> np.ndarray:
     return (x ^ (x >> u64(29))) * KEYS[2]
 
 
-def in_bytes(x: np.ndarray, bits: int) -> np.ndarray:
-    """The values' lower bytes, as few as hold ``bits``."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : -(-bits // 8)])
+def in_bits(x: np.ndarray, bits: int) -> np.ndarray:
+    """The values' lower ``bits``, one value after the other."""
+    raw = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : -(-bits // 8)])
+    return np.packbits(np.unpackbits(raw, axis=1, bitorder="little")[:, :bits].ravel(), bitorder="little")
 
 
-def from_bytes(raw: bytes, n: int, bits: int) -> np.ndarray:
+def from_bits(raw: bytes, n: int, bits: int) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
-    if k := -(-bits // 8):
-        out[:, :k] = np.frombuffer(raw, np.uint8).reshape(n, k)
+    if n and bits:
+        each = np.unpackbits(np.frombuffer(raw, np.uint8), count=n * bits, bitorder="little").reshape(n, bits)
+        out[:, : -(-bits // 8)] = np.packbits(each, axis=1, bitorder="little")
     return out.view("<u8").ravel().astype(np.uint64)
 
 
@@ -166,7 +168,7 @@ class QuotientFilter:
         there[q - base] = True
         long = np.flatnonzero(self.counts >= 255)
         column = lambda *arrays: [np.ascontiguousarray(a).tobytes() for a in arrays]
-        parts = column(np.packbits(there), np.packbits(ends), in_bytes(self.high & mask(rest), rest), in_bytes(self.low, self.shape.low), np.minimum(self.counts, 255).astype(np.uint8), long.astype("<i8"), self.counts[long].astype("<i8"))
+        parts = column(np.packbits(there), np.packbits(ends), in_bits(self.high & mask(rest), rest), in_bits(self.low, self.shape.low), np.minimum(self.counts, 255).astype(np.uint8), long.astype("<i8"), self.counts[long].astype("<i8"))
         return packed(pa.table({"numbers": pa.array([[n, quotient, base, len(there)]]), "parts": pa.array([parts], pa.list_(pa.binary()))}))
 
     @staticmethod
@@ -180,7 +182,7 @@ class QuotientFilter:
         q = occupied[run].astype(np.uint64) if n else np.zeros(0, np.uint64)
         sums = np.frombuffer(counts, np.uint8).astype(np.int64)
         sums[np.frombuffer(long, "<i8")] = np.frombuffer(more, "<i8")
-        return QuotientFilter(shape, (q << u64(rest)) | from_bytes(high, n, rest), from_bytes(low, n, shape.low), sums)
+        return QuotientFilter(shape, (q << u64(rest)) | from_bits(high, n, rest), from_bits(low, n, shape.low), sums)
 
     @staticmethod
     def merge(filters: list[QuotientFilter]) -> QuotientFilter:
@@ -239,7 +241,7 @@ def order_in(t: Tokens, keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.n
     """An order of the pairs by shard, language and word; where each shard ends; and the pairs in that order."""
     m = max(1, len(t.words))
     word, lang = t.words.take(pa.array(keys % m)), t.names.take(pa.array(keys // m))
-    shard = (word_hashes(t.words)[keys % m] >> u64(11)) % u64(shards)
+    shard = (byte_hashes(t.words)[keys % m] >> u64(11)) % u64(shards)
     table = pa.table({"shard": shard.astype(np.int64), "lang": lang, "word": word.cast(pa.string())})
     order = pc.sort_indices(table, [("shard", "ascending"), ("lang", "ascending"), ("word", "ascending")]).to_numpy()
     return order, np.searchsorted(shard[order].astype(np.int64), np.arange(1, shards + 1)), table.take(pa.array(order)).drop_columns("shard")
