@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelry.functions.scalar import snap
@@ -96,9 +96,40 @@ def immerse(voxels: DataFrame, rounds: int = 1) -> DataFrame:
     return self_dual_correction(corner_median(voxels), rounds)
 
 
+def exact_percentiles(rows: DataFrame, key: str, column: str, shares: list[float], bins: int = 4096) -> DataFrame:
+    """(key, p array<double>): percentiles by linear interpolation between ranks, from two passes of bins.
+
+    The first pass counts equal steps between a key's extremes; the second counts the values within the steps that hold a
+    wanted rank. No buffer holds a key's values, and a window holds its steps, or the distinct values of one step.
+    """
+    v = F.col(column).cast("double")
+    rows = rows.filter(F.col(column).isNotNull()).select(key, v.alias("_v"))
+    ends = rows.groupBy(key).agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    step = F.when(F.col("_high") > F.col("_low"), F.least(F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * bins), F.lit(bins - 1))).otherwise(F.lit(0))
+    placed = rows.join(ends, key).select(key, "_n", "_v", step.cast("int").alias("_bin"))
+    counted = placed.groupBy(key, "_n", "_bin").agg(F.count("*").alias("_k"))
+    before = F.sum("_k").over(Window.partitionBy(key).orderBy("_bin")) - F.col("_k")
+    place = [F.lit(float(s)) * (F.col("_n") - 1) for s in shares]
+    ranks = F.array_distinct(F.array(*[f(p).cast("long") for p in place for f in (F.floor, F.ceil)]))
+    held = F.filter(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_k")))
+    wanted = counted.withColumn("_before", before).withColumn("_ranks", held).filter("size(_ranks) > 0").select(key, "_bin", "_before", "_ranks")
+    values = placed.join(wanted, [key, "_bin"]).groupBy(key, "_n", "_bin", "_before", "_ranks", "_v").agg(F.count("*").alias("_k"))
+    upto = F.sum("_k").over(Window.partitionBy(key, "_bin").orderBy("_v")) + F.col("_before")
+    values = values.withColumn("_upto", upto)
+    mine = F.filter("_ranks", lambda r: (r >= F.col("_upto") - F.col("_k")) & (r < F.col("_upto")))
+    found = values.select(key, "_n", "_v", F.explode(mine).alias("_rank")).groupBy(key, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
+
+    def between(p: Column) -> Column:
+        low, high = F.floor(p).cast("long"), F.ceil(p).cast("long")
+        a, b = F.element_at("_at", low), F.element_at("_at", high)
+        return F.when((low == high) | (a == b), a).otherwise((high - p) * a + (p - low) * b)
+
+    return found.select(key, F.array(*[between(p) for p in place]).alias("p"))
+
+
 def percentile_normalised(voxels: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """0-255 between two percentiles of the positive voxels, floored; voxels at 0 and volumes of zeros stay 0."""
-    cut = voxels.filter("v > 0").groupBy("vol_id").agg(F.percentile("v", [low, high]).alias("_p"))
+    cut = exact_percentiles(voxels.filter("v > 0"), "vol_id", "v", [low, high]).withColumnRenamed("p", "_p")
     out = voxels.join(cut, "vol_id", "left")
     share = (F.col("v") - F.col("_p")[0]) / (F.col("_p")[1] - F.col("_p")[0] + 1e-9)
     level = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) * 255)

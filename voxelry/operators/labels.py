@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import product
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelry.operators.lattice import VOXEL, neighbours
@@ -63,14 +65,38 @@ def sampled(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return rows.orderBy(order, key).limit(n)
 
 
+def integral(masks: DataFrame) -> DataFrame:
+    """(VOXEL, total): how many mask voxels lie at or before each voxel along all three axes: sums along one line after the
+    other, so that a window holds one line. ``masks`` has all voxels."""
+    out = masks.select(*VOXEL, F.col("m").cast("long").alias("total"))
+    for axis in ("z", "y", "x"):
+        line = Window.partitionBy("vol_id", *[a for a in ("x", "y", "z") if a != axis]).orderBy(axis).rowsBetween(Window.unboundedPreceding, 0)
+        out = out.withColumn("total", F.sum("total").over(line))
+    return out
+
+
+def box_sums(masks: DataFrame, corners: DataFrame, size: tuple[int, int, int]) -> DataFrame:
+    """Corners (vol_id, attempt, x0, y0, z0) with n_on and n: mask voxels and voxels of the box there, as far as it lies in the
+    volume. Eight values of the integral volume give a box's sum, so a voxel is read once, whatever the number of boxes."""
+    sizes = masks.select("vol_id", "w", "h", "d").distinct()
+    at = corners.join(sizes, "vol_id")
+    ends, n = [], F.lit(1)
+    for c, e, s in zip(("x", "y", "z"), ("w", "h", "d"), size, strict=True):
+        low, high = F.greatest(F.col(f"{c}0"), F.lit(0)), F.least(F.col(f"{c}0") + s, F.col(e))
+        ends.append((low - 1, high - 1))
+        n = n * F.greatest(high - low, F.lit(0))
+    at = at.withColumn("n", n.cast("long")).filter("n > 0")
+    looks = [F.struct(*[ends[i][b].cast("int").alias(c) for i, (c, b) in enumerate(zip(("x", "y", "z"), bits, strict=True))], F.lit(1 if sum(bits) % 2 else -1).alias("sign")) for bits in product((0, 1), repeat=3)]
+    key = ["vol_id", "attempt", "x0", "y0", "z0", "n"]
+    wanted = at.select(*key, F.explode(F.array(*looks)).alias("_l")).select(*key, "_l.*")
+    found = wanted.join(integral(masks).select("vol_id", "x", "y", "z", "total"), ["vol_id", "x", "y", "z"], "left")
+    return found.groupBy(*key).agg(F.coalesce(F.sum(F.col("sign") * F.col("total")), F.lit(0)).alias("n_on"))
+
+
 def patches(masks: DataFrame, corners: DataFrame, size: tuple[int, int, int], wanted: int, low: float = 0.01, high: float = 0.30) -> DataFrame:
     """The first ``wanted`` of the corners (vol_id, attempt, x0, y0, z0) whose patch has a fitting share of mask voxels.
 
-    Corners come from a seeded generator, a bounded number of attempts; they are held against voxels by volume.
+    Corners come from a seeded generator, a bounded number of attempts.
     """
-    at = masks.join(F.broadcast(corners), "vol_id")
-    inside = F.lit(True)
-    for c, s in zip(("x", "y", "z"), size, strict=True):
-        inside = inside & (F.col(c) >= F.col(f"{c}0")) & (F.col(c) < F.col(f"{c}0") + s)
-    rate = at.filter(inside).groupBy("vol_id", "attempt", "x0", "y0", "z0").agg(F.avg(F.col("m").cast("int")).alias("fg_rate"))
+    rate = box_sums(masks, corners, size).select("vol_id", "attempt", "x0", "y0", "z0", (F.col("n_on") / F.col("n")).alias("fg_rate"))
     return rate.filter(F.col("fg_rate").between(low, high)).orderBy("vol_id", "attempt").limit(wanted)

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from voxelry.operators import interpolate, labels
 from voxelry.plans import experiments
 from voxelry.plans.queries import QUERIES, SQL, _rows, _rows_sql, emb, query, volumes
-from voxelry.sources import images, results, volumes as volume_files
+from voxelry.sources import formats, images, results, volumes as volume_files
 from voxelry.sources.store import shared_path
+from voxelry.streaming import records
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -51,6 +52,36 @@ def nifti_leading_axis(spark, sf_dir):
     return interpolate.min_max_normalised(volume_files.nifti(spark, folder)).select("vol_id", "x", "y", "z", "v")
 
 
+@query(f"WITH {volumes(3)} SELECT vol_id::VARCHAR AS vol_id, x, y, z, v::DOUBLE AS v FROM vox WHERE z BETWEEN 1 AND 2")
+def nifti_planes(spark, sf_dir):
+    """Two planes of each volume through the data source, which reads no others."""
+    folder = shared_path(spark, "nifti")
+    images.write_files(volume_files.nifti_files(emb(spark, sf_dir, 3)), folder).write.format("noop").mode("overwrite").save()
+    formats.register(spark)
+    return spark.read.format("nifti_planes").load(folder).filter("z >= 1 and z < 3").select("vol_id", "x", "y", "z", "v")
+
+
+@query(f"WITH {volumes(3)} SELECT vol_id::VARCHAR AS vol_id, ((ex * 7 + ey) * 7 + ez)::BIGINT AS place, lo::INT AS u FROM cells")
+def raw_ranges(spark, sf_dir):
+    """Lower ends of the cells' intervals through the raw sink, by ranges of places, and back."""
+    folder = shared_path(spark, "raw")
+    formats.write_raw_ranges(interpolate.interval_span(emb(spark, sf_dir, 3)).withColumn("u", F.col("lo")), folder)
+    return formats.read_raw_ranges(spark, folder)
+
+
+_records = "SELECT l_orderkey || '-' || l_partkey AS subject, l_linenumber::INT AS K, (l_suppkey % 2)::INT AS delta, l_tax::DOUBLE AS eps, (l_quantity::INT % 9)::BIGINT AS violations, (l_orderkey % 5)::BIGINT AS rounds FROM lineitem"
+
+
+@query(f"""WITH r AS ({_records}), one AS (SELECT K, delta, eps, subject, any_value(violations) AS v, any_value(rounds) AS r FROM r GROUP BY ALL)
+SELECT K, delta, eps, count(*) AS n_subjects, round(avg(v), 9) AS viol_mean, round(coalesce(stddev_samp(v), 0), 6) AS viol_std, min(v) AS viol_min, max(v) AS viol_max, round(avg((v = 0)::INT), 9) AS pass_rate,
+round(avg(r), 9) AS rounds_mean, round(coalesce(stddev_samp(r), 0), 6) AS rounds_std, min(r) AS rounds_min, max(r) AS rounds_max FROM one GROUP BY K, delta, eps""")
+def streamed_records(spark, sf_dir):
+    """Records as a stream that is stopped halfway and started again with all of them: the running summaries' last state."""
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    rows = t.select(F.concat_ws("-", "l_orderkey", "l_partkey").alias("subject"), F.col("l_linenumber").cast("int").alias("K"), (F.col("l_suppkey") % 2).cast("int").alias("delta"), F.col("l_tax").cast("double").alias("eps"), (F.col("l_quantity").cast("int") % 9).cast("long").alias("violations"), (F.col("l_orderkey") % 5).cast("long").alias("rounds"))
+    return records.replayed(rows, "rounds < 2").withColumns({c: F.round(c, 6 if "std" in c else 9) for c in ("viol_mean", "viol_std", "pass_rate", "rounds_mean", "rounds_std")})
+
+
 @query(f"WITH {volumes(2)} SELECT vol_id::VARCHAR AS vol_id, count(*) AS n, sum(greatest(lo, least(0, hi)) * (ex * 15 + ey + 1))::BIGINT AS placed FROM cells GROUP BY vol_id")
 def raw_files(spark, sf_dir):
     """Fields as flat integers in row-major order, read back and summed by place."""
