@@ -254,3 +254,17 @@ def test_parts_of_any_shape():
     text = visitor.flatten(parts)
     assert [(a.kind, a.tokens) for a in visitor.attachments] == [("image", 1), ("image", 3), ("audio", 1), ("audio", 1), ("document", 512), ("document", 1536)]
     assert chat_format.unescape(text).startswith('3true["x", 1]{"type": null}{"a": 1}')
+
+
+def test_seen_is_rendered_from_the_stored_frames(spark):
+    texts = [(1, "ab\0\0c"), (2, "x" * 70_000), (3, "y" * 140_000 + "\0" * 300 + "z"), (4, None)]
+    media = media_gif.media_column(spark.createDataFrame(texts, "doc_id long, text string"))
+    files = {r.doc_id: bytes(r.media) for r in media.collect()}
+    for r in media_gif.digests(media).collect():
+        gif = media_gif.decode(files[r.doc_id])
+        assert {f.transparent for f in gif.frames} == {0} and [f.disposal for f in gif.frames] == [1 + i % 3 for i in range(len(gif.frames))]
+        want = sum(media_gif.histogram(canvas) for _, canvas in media_gif.rendered(gif))[: media_gif.BINS]
+        assert r.seen == ",".join(map(str, want.tolist()))
+    seen = {r.doc_id: sum(map(int, r.seen.split(","))) for r in media_gif.digests(media).collect()}
+    # kept: the first frame stays below the second, short one; cleared, then an almost empty third frame
+    assert seen == {1: 3, 2: 65_536 + 65_536, 3: 65_536 * 2 + 8_929, 4: 0}
