@@ -1,6 +1,7 @@
 """Chat formatting, GIF columns and main text of pages."""
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -268,3 +269,41 @@ def test_seen_is_rendered_from_the_stored_frames(spark):
     seen = {r.doc_id: sum(map(int, r.seen.split(","))) for r in media_gif.digests(media).collect()}
     # kept: the first frame stays below the second, short one; cleared, then an almost empty third frame
     assert seen == {1: 3, 2: 65_536 + 65_536, 3: 65_536 * 2 + 8_929, 4: 0}
+
+
+def blocks_right(pages, extract):
+    """Precision and recall of blocks against the pages' article elements read by themselves."""
+    from collections import Counter
+
+    hit = found = wanted = 0
+    for html in pages:
+        article = re.search(r"<article\b.*?</article>", html, re.S | re.I)
+        want, got = (Counter(x.split("\n\n")) for x in (html_extract.extract(f"<html><body>{article[0]}</body></html>"), extract(html)))
+        hit, found, wanted = hit + (want & got).total(), found + got.total(), wanted + want.total()
+    return hit / found, hit / wanted
+
+
+def test_ratios_decide_where_nothing_is_declared(monkeypatch):
+    import pyarrow.parquet as pq
+
+    pages = [h for h in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist() if h and "<article" in h]
+    as_it_is = html_extract.extract
+
+    def bare(html):
+        html = re.sub(r"\s(class|id|role)=(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", html)
+        return as_it_is(re.sub(r"</?(article|main|nav|footer|aside|header|section)\b", lambda m: m[0].replace(m[1], "div"), html))
+
+    assert min(blocks_right(pages, bare)) >= 0.99  # no class, role or sectioning element is left
+    with monkeypatch.context() as m:
+        m.setattr(html_extract, "left_out", lambda *a: False)
+        assert min(blocks_right(pages, as_it_is)) >= 0.99  # declarations are there, but not looked at
+    with monkeypatch.context() as m:  # every path alike: what is short, linked or loose comes in too
+        m.setattr(html_extract, "content", lambda page: page.nodes)
+        assert blocks_right(pages, bare)[0] < 0.8
+
+
+def test_ratio_by_hand():
+    """Two paths: three nodes of 60 letters with three marks in all, and one of 30 letters, two thirds of them linked."""
+    assert html_extract.ratio([180.0, 3.0, 0.0, 3.0]) == 60 * 2
+    assert html_extract.ratio([30.0, 0.0, 20.0, 1.0]) == pytest.approx(10)
+    assert html_extract.ratio([0.0, 0.0, 0.0, 0.0]) == 0

@@ -4,9 +4,10 @@ A page is read once into text nodes, each with its block and that block's path o
 count as their block. For every path the length of its text, its punctuation, its links and its nodes are summed; a
 path's ratio is text per node, weighed by punctuation per node and by the share outside links. The ratio is smoothed
 with that of the element that holds the block (``CONTAINERS``), in which headings and short paragraphs stand beside long
-ones, and fused with what the elements around declare by tag, role, class or id: what says that it is no part of an
-article counts a thousandth (``OUT``), and within an ``article`` or ``main`` the ratio is that element's alone, so that its
-parts stay together. Paths whose fused ratio reaches a share (``SHARE``) of the page's best are content.
+ones, and weighed by how much of the page's text outside links that element holds, and in how many nodes. It is fused with
+what the elements around declare by tag, role, class or id: what says that it is no part of an article counts a thousandth
+(``OUT``), and within an ``article`` or ``main`` the ratio is that element's alone, so that its parts stay together. Paths whose
+fused ratio reaches a share (``SHARE``) of the page's best are content.
 
 A path that falls short counts by the best ratio of the elements that hold it, all their text summed, up to the content
 root: the outermost ``article`` or ``main``, else the container with the most text outside links, below ``body`` (cells
@@ -212,7 +213,11 @@ def content(page: Page) -> list[tuple[int, int, str]]:
         outside = 1.0 if tag in HEADINGS else 1 - links / size
         return declares * outside * (ratio(sums) + ratio(own[path])) / 2
 
-    score = {k: fused(k, held[k[1]], page.root[k[1]] >= 0) for k in seen}
+    # how much of the page's text outside links stands in what holds a path, and in how many nodes: a line by itself is little
+    clear = {c: max(s[0] - s[2], 0.0) for c, s in held.items()}
+    top = max(clear.values(), default=0.0) or 1.0
+    weight = {c: clear[c] / top * s[3] / (s[3] + 1) for c, s in held.items()}
+    score = {k: weight[k[1]] * fused(k, held[k[1]], page.root[k[1]] >= 0) for k in seen}
     best = max((v for k, v in score.items() if not page.out[seen[k]]), default=0.0)
     free = [c for c in held if not page.out[c]]
     root = max(free, key=lambda c: held[c][0] - held[c][2], default=0)
