@@ -286,7 +286,7 @@ def rare_pairs(split: DataFrame, texts: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with all columns, one row of each group of near-duplicates: one with the smallest document id.
 
-    Rows with a null id or without words stay.
+    Rows with a null id or without words stay. Of rows equal in id and text the one whose columns have the least hash stays.
     """
     rows = grouped(docs).filter("doc_id is not null")
     first = rows.filter("doc_id = component").groupBy("root").agg(F.min("row").alias("row"))
@@ -298,6 +298,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     left = docs.select(F.struct("*").alias("_of")).select("_of", *keys).join(ruled.filter("not keep").select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_anti")
     equal = ruled.filter("keep and rows > 1").select("doc_id", "text_hash")
     if not equal.isEmpty():  # of equal rows one stays
-        one = left.join(equal, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
-        left = left.join(equal, ["doc_id", "text_hash"], "left_anti").unionByName(one)
+        one = left.join(equal, ["doc_id", "text_hash"]).groupBy("doc_id", "text_hash").agg(F.min_by("_of", F.xxhash64("_of")).alias("_of"))
+        left = left.join(equal, ["doc_id", "text_hash"], "left_anti").unionByName(one.select(left.columns))
     return left.select("_of.*")
