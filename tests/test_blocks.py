@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voxelry.functions import timing
 from voxelry.operators import blocks, decompose, fronts, interpolate, labels, propagate, stats, topology
+from voxelry.plans import experiments
 from voxelry.sources import formats, volumes
 from voxelry.streaming import records
 
@@ -187,3 +189,27 @@ def test_runs_of_groups(spark):
     work = lambda t, code: pa.table({"n": pa.array(np.bincount(np.unique(code, return_inverse=True)[1]), pa.int64())})
     for least in (1, 50, 10_000):
         assert sorted(r.n for r in blocks.by_runs(df, ["k", "s"], work, "n long", least).collect()) == sorted(r["count"] for r in df.groupBy("k", "s").count().collect())
+
+
+def test_timed():
+    ran = []
+    out = timing.timed(lambda: ran.append(1), 3, 2)
+    assert len(ran) == 5 and len(out["all_times"]) == 3 and out["std_s"] >= 0 and timing.timed(lambda: None, 1, 0)["std_s"] == 0
+    with pytest.raises(ValueError):
+        timing.timed(lambda: None, 0)
+
+
+def test_stored_for_another_size(voxels, tmp_path):
+    path = f"file://{tmp_path}/store"
+    experiments.cached(voxels(v1=np.zeros((2, 2), int)), interpolate.linear, path)
+    assert experiments.cached(voxels(v1=np.zeros((2, 2), int)), interpolate.linear, path).count() == 9
+    with pytest.raises(ValueError, match="another size"):
+        experiments.cached(voxels(v1=np.zeros((2, 3), int)), interpolate.linear, path)
+
+
+def test_rule_of_thin_slabs(spark):
+    columns = "K int, delta int, dwc_ok boolean, D_sub int, sigma_cover int, rho_pct double, plane_width_med double"
+    rows = [(2, 1, True, 40, 20, 2.5, 1.0), (2, 1, True, 40, 20, 2.5, 1.0), (4, 1, False, 20, 10, 5.0, 1.0), (8, 1, True, 10, 5, 10.0, 1.0)]
+    table = stats.slab_table(spark.createDataFrame(rows, columns))
+    assert {r.K: r.thin_right for r in table.collect()} == {2: True, 4: True, 8: False}
+    assert tuple(stats.rule_accuracy(table).first()) == (2, 3)

@@ -10,7 +10,7 @@ from voxelry.plans.files import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
 #: Queries that take long; their SQL is compared in the driver's run.
-SLOW = {"topology_rows", "eps_sweep", "ibi_k4", "ibi_wide", "ibi_eps", "ibi_one_plane", "slab_table", "li_cube_ibi"}
+SLOW = {"topology_rows", "eps_sweep", "ibi_k4", "ibi_wide", "ibi_eps", "ibi_one_plane", "slab_table", "li_cube_ibi", "immersion_blocks", "seeded_blocks", "round0_deltas"}
 
 
 @pytest.fixture(scope="module")

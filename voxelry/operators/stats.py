@@ -53,12 +53,18 @@ def spread_of(rows: DataFrame, keys: list[str], metric: str) -> DataFrame:
 
 def slab_table(rows: DataFrame, least_depth: int = 30, least_share: float = 0.10) -> DataFrame:
     """By K and delta, over rows of ``experiments.slab_rows``: passes with their interval, medians, and two rules: slabs
-    thinner than ``least_depth`` planes, and a halo below ``least_share`` of a slab."""
+    thinner than ``least_depth`` planes, and a halo below ``least_share`` of a slab; ``thin_right``: whether the first rule
+    warns just where not all pass."""
     medians = [F.median(c).alias(f"{c}_median") for c in ("D_sub", "sigma_cover", "rho_pct", "plane_width_med")]
     out = rows.groupBy("K", "delta").agg(F.count("*").alias("n"), F.count_if("dwc_ok").alias("n_pass"), *medians)
     low, high = wilson(F.col("n_pass"), F.col("n"))
     thin, narrow = F.col("D_sub_median") < least_depth, F.col("delta") / F.greatest(F.col("D_sub_median"), F.lit(1.0)) < least_share
-    return out.withColumns({"ci_low_pct": 100 * low, "ci_high_pct": 100 * high, "thin": thin, "narrow": narrow})
+    return out.withColumns({"ci_low_pct": 100 * low, "ci_high_pct": 100 * high, "thin": thin, "narrow": narrow, "thin_right": thin != (F.col("n_pass") == F.col("n"))})
+
+
+def rule_accuracy(table: DataFrame) -> DataFrame:
+    """Of rows of ``slab_table``: n_right and n, how often the rule of thin slabs told whether all pass."""
+    return table.agg(F.count_if("thin_right").alias("n_right"), F.count("*").alias("n"))
 
 
 def per_epsilon(records: DataFrame, keys: list[str] = ("eps",)) -> DataFrame:

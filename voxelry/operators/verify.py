@@ -143,8 +143,14 @@ def validated(voxels: DataFrame, integers: bool = True) -> DataFrame:
     return voxels
 
 
-def differing(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Per volume how many cells of two fields differ, and by how much at most."""
+def differing(a: DataFrame, b: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
+    """Per volume how many cells of two fields differ, and by how much at most; with slab bounds (vol_id, zb) also by how much at
+    most on the planes up to two away from one (max_diff_bounds, of all planes where a volume has no bounds)."""
     both = a.select("vol_id", "ex", "ey", "ez", F.col("u").alias("ua")).join(b.select("vol_id", "ex", "ey", "ez", F.col("u").alias("ub")), ["vol_id", "ex", "ey", "ez"])
     gap = F.abs(F.col("ua") - F.col("ub"))
-    return both.groupBy("vol_id").agg(F.count_if(gap > 0).alias("cells_differ"), F.max(gap).alias("max_diff"))
+    sums = [F.count_if(gap > 0).alias("cells_differ"), F.max(gap).alias("max_diff")]
+    if bounds is None:
+        return both.groupBy("vol_id").agg(*sums)
+    planes = bounds.select("vol_id", F.explode(F.array(*[2 * F.col("zb") + i for i in range(-2, 3)])).alias("ez")).distinct().withColumn("_near", F.lit(True))
+    near = both.join(planes, ["vol_id", "ez"], "left")
+    return near.groupBy("vol_id").agg(*sums, F.coalesce(F.max(F.when(F.col("_near"), gap)), F.max(gap)).alias("max_diff_bounds"))

@@ -77,7 +77,7 @@ def slab_rows(voxels: DataFrame, k: int, delta: int = 1, max_rounds: int = 8) ->
 
 def cached(df: DataFrame, compute, path: str, key: str = "vol_id") -> DataFrame:
     """Rows of ``compute(df)`` for the keys of ``df``: those stored under ``path`` are read, the others are computed
-    and added to the store."""
+    and added to the store. Rows stored for a volume of another size are an error."""
     spark = df.sparkSession
     try:
         stored = spark.read.parquet(path)
@@ -85,6 +85,12 @@ def cached(df: DataFrame, compute, path: str, key: str = "vol_id") -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         stored = None
+    sizes = [c for c in ("w", "h", "d") if stored is not None and c in stored.columns and c in df.columns]
+    if sizes:
+        was = stored.select(key, *[F.col(c).alias(f"_{c}") for c in sizes]).distinct()
+        other = reduce(lambda a, b: a | b, [F.col(c) != F.col(f"_{c}") for c in sizes])
+        if bad := df.select(key, *sizes).distinct().join(was, key).filter(other).limit(1).collect():
+            raise ValueError(f"stored for another size: {bad[0].asDict()}")
     missing = df if stored is None else df.join(stored.select(key).distinct(), key, "left_anti")
     compute(missing).write.mode("append").parquet(path)
     return spark.read.parquet(path).join(df.select(key).distinct(), key, "left_semi")

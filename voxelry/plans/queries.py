@@ -531,10 +531,11 @@ local AS (SELECT vol_id, part, z0, z1, z0e, z1e, d, own_from, own_to, ex, ey, ez
 
 def _ibi_sql(k: int, delta: int = 1, eps: int = 1, rounds: int = 3) -> str:
     bounds = ", ".join(f"({2 * z1 - 1}), ({2 * z1})" for i, _, z1, _, _ in _slabs_sql(k, delta) if i < k - 1) or "(-1)"
+    near = ", ".join(str(2 * z1 + j) for i, _, z1, _, _ in _slabs_sql(k, delta) if i < k - 1 for j in range(-2, 3)) or ", ".join(map(str, range(7)))
     return f"""WITH RECURSIVE {volumes(3)}, {_whole}, {rounds_sql(k, delta, eps, rounds)}, blocks AS ({face_blocks('f', ('xy', 'xz', 'yz'))} UNION ALL {_body()}),
 bad AS (SELECT vol_id, count(*) FILTER (WHERE gap > 0) AS n_violations, count(*) FILTER (WHERE gap > 0 AND plane IN ('xz', 'yz') AND ez IN (SELECT z FROM (VALUES {bounds}) b(z))) AS bdry_violations FROM blocks GROUP BY vol_id),
-apart AS (SELECT f.vol_id, count(*) FILTER (WHERE f.u <> w.u) AS cells_differ, max(abs(f.u - w.u)) AS max_diff FROM f JOIN whole w ON w.k[1] = f.vol_id AND w.ex = f.ex AND w.ey = f.ey AND w.ez = f.ez GROUP BY f.vol_id)
-SELECT vol_id, n_violations, cells_differ, max_diff, bdry_violations, rounds FROM bad JOIN apart USING (vol_id) JOIN took USING (vol_id)"""
+apart AS (SELECT f.vol_id, count(*) FILTER (WHERE f.u <> w.u) AS cells_differ, max(abs(f.u - w.u)) AS max_diff, max(abs(f.u - w.u)) FILTER (WHERE f.ez IN ({near})) AS max_diff_bounds FROM f JOIN whole w ON w.k[1] = f.vol_id AND w.ex = f.ex AND w.ey = f.ey AND w.ez = f.ez GROUP BY f.vol_id)
+SELECT vol_id, n_violations, cells_differ, max_diff, max_diff_bounds, bdry_violations, rounds, true AS converged FROM bad JOIN apart USING (vol_id) JOIN took USING (vol_id)"""
 
 
 #: Slabs, halo, tolerance and most rounds of the injection queries.
@@ -545,8 +546,8 @@ for _name, (_k, _delta, _eps, _most) in IBI.items():
         voxels = checkpointed(emb(spark, sf_dir, 3), "volumes")
         field, took = decompose.inject_each(voxels, k, delta, max_rounds=most, eps=eps)
         whole = propagate.propagated(voxels, "zero")
-        checked = verify.well_composed(field).select("vol_id", "n_violations").join(verify.differing(field, whole), "vol_id")
         bounds = decompose.bounds_of(decompose.slabs(voxels, k, delta))
+        checked = verify.well_composed(field).select("vol_id", "n_violations").join(verify.differing(field, whole, bounds), "vol_id")
         return checked.join(verify.boundary_violations(field, bounds), "vol_id", "left").join(took, "vol_id").na.fill(0, ["bdry_violations"])
 
     QUERIES[_name], SQL[_name] = _ibi, _ibi_sql(_k, _delta, -(-int(2 * _eps) // 2), _most)
@@ -909,7 +910,7 @@ def slab_rows(spark, sf_dir):
 @query(f"""WITH r AS ({_slab_rows_sql(1)} UNION ALL {_slab_rows_sql(2)}), s AS (SELECT "K", delta, count(*) AS n, count(*) FILTER (WHERE dwc_ok) AS n_pass, median("D_sub") AS "D_sub_median", median(sigma_cover) AS sigma_cover_median,
   median(rho_pct) AS rho_pct_median, median(plane_width_med) AS plane_width_med_median FROM r GROUP BY ALL), t AS (SELECT *, n_pass / n::DOUBLE AS p, 1.96::DOUBLE AS z FROM s)
 SELECT * EXCLUDE (p, z), round(100 * greatest((p + z * z / (2 * n)) / (1 + z * z / n) - z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n)) / (1 + z * z / n), 0), 9) AS ci_low_pct,
-  round(100 * least((p + z * z / (2 * n)) / (1 + z * z / n) + z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n)) / (1 + z * z / n), 1), 9) AS ci_high_pct, "D_sub_median" < 30 AS thin, delta / "D_sub_median" < 0.10 AS narrow FROM t""")
+  round(100 * least((p + z * z / (2 * n)) / (1 + z * z / n) + z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n)) / (1 + z * z / n), 1), 9) AS ci_high_pct, "D_sub_median" < 30 AS thin, delta / "D_sub_median" < 0.10 AS narrow, ("D_sub_median" < 30) <> (n_pass = n) AS thin_right FROM t""")
 def slab_table(spark, sf_dir):
     voxels = checkpointed(emb(spark, sf_dir, 3), "volumes")
     rows = experiments.slab_rows(voxels, 2, 1, 3).unionByName(experiments.slab_rows(voxels, 2, 2, 3))
