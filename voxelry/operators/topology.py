@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from itertools import combinations, product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelry.operators.blocks import components_by_level, half_steps, stars
+from voxelry.operators.blocks import components_by_level, half_steps, near_pairs, stars, united
 from voxelry.sources.store import checkpointed
 
 
@@ -56,6 +57,13 @@ def euler_by_level(rows: DataFrame, keys: list[str], levels: int, names: tuple[s
     return sums.select(*keys, at.alias("_t")).select(*keys, "_t.*").filter("chi is not null")
 
 
+def label(points: np.ndarray, steps: list[tuple[int, int, int]]) -> np.ndarray:
+    """A root for each of distinct lattice points (n x 3): the smallest row of its component."""
+    if not len(points):
+        return np.arange(0)
+    return united(np.arange(len(points)), *near_pairs(points.astype(np.int64), np.zeros(len(points), np.int64), steps))
+
+
 def components(mask: DataFrame, keys: list[str], connectivity: int | dict[str, int], names: tuple[str, str, str] = ("ex", "ey", "ez"), edge: int | None = None) -> DataFrame:
     """Per key the number of components of the points of ``mask``: b0, or a column for each named connectivity.
 
