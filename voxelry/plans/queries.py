@@ -524,7 +524,7 @@ local AS (SELECT vol_id, part, z0, z1, z0e, z1e, d, own_from, own_to, ex, ey, ez
         parts += [closure(f"g{r}", dense_start(f"p{r}", "vol_id, part", "0", "d", "pin")), owned(r)]
         parts.append(f"c{r} AS (SELECT vol_id, {r} AS r, max(abs(f{r}.u - f{r - 1}.u)) AS change FROM f{r} JOIN f{r - 1} USING (vol_id, ex, ey, ez) GROUP BY vol_id)")
     every = " UNION ALL ".join(f"SELECT * FROM c{r}" for r in range(1, rounds + 1))
-    parts.append(f"took AS (SELECT vol_id, least(coalesce(min(r) FILTER (WHERE change < {eps}), {rounds}), {rounds})::INT AS rounds FROM ({every}) GROUP BY vol_id)")
+    parts.append(f"took AS (SELECT vol_id, least(coalesce(min(r) FILTER (WHERE change < {eps}), {rounds}), {rounds})::INT AS rounds, count(*) FILTER (WHERE change < {eps}) > 0 AS converged FROM ({every}) GROUP BY vol_id)")
     parts.append("f AS (" + " UNION ALL ".join(f"SELECT vol_id, ex, ey, ez, u FROM f{r} JOIN took USING (vol_id) WHERE rounds = {r}" for r in range(1, rounds + 1)) + ")")
     return ",\n".join(parts)
 
@@ -535,7 +535,7 @@ def _ibi_sql(k: int, delta: int = 1, eps: int = 1, rounds: int = 3) -> str:
     return f"""WITH RECURSIVE {volumes(3)}, {_whole}, {rounds_sql(k, delta, eps, rounds)}, blocks AS ({face_blocks('f', ('xy', 'xz', 'yz'))} UNION ALL {_body()}),
 bad AS (SELECT vol_id, count(*) FILTER (WHERE gap > 0) AS n_violations, count(*) FILTER (WHERE gap > 0 AND plane IN ('xz', 'yz') AND ez IN (SELECT z FROM (VALUES {bounds}) b(z))) AS bdry_violations FROM blocks GROUP BY vol_id),
 apart AS (SELECT f.vol_id, count(*) FILTER (WHERE f.u <> w.u) AS cells_differ, max(abs(f.u - w.u)) AS max_diff, max(abs(f.u - w.u)) FILTER (WHERE f.ez IN ({near})) AS max_diff_bounds FROM f JOIN whole w ON w.k[1] = f.vol_id AND w.ex = f.ex AND w.ey = f.ey AND w.ez = f.ez GROUP BY f.vol_id)
-SELECT vol_id, n_violations, cells_differ, max_diff, max_diff_bounds, bdry_violations, rounds, true AS converged FROM bad JOIN apart USING (vol_id) JOIN took USING (vol_id)"""
+SELECT vol_id, n_violations, cells_differ, max_diff, max_diff_bounds, bdry_violations, rounds, converged FROM bad JOIN apart USING (vol_id) JOIN took USING (vol_id)"""
 
 
 #: Slabs, halo, tolerance and most rounds of the injection queries.
@@ -922,7 +922,7 @@ def ibi_one_plane(spark, sf_dir):
     """Rounds in which a bound's plane belongs to the slab before it and is the only pin from below."""
     field, took = decompose.inject_each(emb(spark, sf_dir, 3), 2, 1, max_rounds=3, shift=1, one_plane=True)
     place = F.col("ex") + 7 * F.col("ey") + 49 * F.col("ez") + 1
-    return field.groupBy("vol_id").agg(F.sum("u").alias("total"), F.sum(F.col("u") * place).alias("placed")).join(took, "vol_id")
+    return field.groupBy("vol_id").agg(F.sum("u").alias("total"), F.sum(F.col("u") * place).alias("placed")).join(took.drop("converged"), "vol_id")
 
 
 @query(f"WITH RECURSIVE {volumes(3)}, {rounds_sql(2, 2, 1, 1, 2)} SELECT vol_id, ex, ey, ez, u FROM f0")
