@@ -2,11 +2,12 @@ import json
 
 import numpy as np
 import pytest
+from pyarrow import fs as pafs
 from pyspark.sql import functions as F
 
 from voxelry.operators import interpolate, labels, verify
 from voxelry.plans import experiments
-from voxelry.sources import images, raster, results, volumes
+from voxelry.sources import hdf5, images, raster, results, volumes
 from voxelry.streaming import fields
 
 
@@ -97,3 +98,61 @@ def test_blobs(spark):
     v = raster.blobs(spark, (16, 16, 1), seed=3)
     assert tuple(v.agg(F.min("v"), F.max("v"), F.count("*")).first()) == (0, 255, 256)
     assert all(raster.formula(spark, 0, size, value).filter("v = 1").count() for size, value in raster.membranes().values())
+
+
+def test_hdf5_read_by_planes(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    gray, marks = rng.integers(0, 255, (23, 11, 9)).astype(np.float32), rng.integers(0, 2**62, (23, 11, 9)).astype(np.uint64)
+    raw = hdf5.write_hdf5({"/volumes/raw": gray, "/volumes/labels/neuron_ids": marks, "other": marks[:2]}, (2, 3, 4))  # 144 chunks, a tree of two levels
+    (tmp_path / "one.hdf").write_bytes(raw)
+    (tmp_path / "flat.h5").write_bytes(hdf5.write_hdf5({"/volumes/raw": gray.astype(np.int16), "/volumes/labels/neuron_ids": marks}))
+    (tmp_path / "note.txt").write_text("no volume")
+    got = hdf5.hdf5_pair(spark, f"file://{tmp_path}").toPandas().sort_values(["vol_id", "z", "y", "x"])
+    for _, own in got.groupby("vol_id"):
+        assert (own.v.to_numpy() == gray.ravel()).all() and (own.label.to_numpy() == marks.ravel().astype(np.int64)).all()
+    hdf5.register(spark)
+    planes = spark.read.format("hdf5_planes").option("part_bytes", 2000).load(f"file://{tmp_path}/one.hdf").filter("z > 6 and z <= 9").toPandas()
+    assert set(planes.z) == {7, 8, 9} and planes.v.sum() == gray[7:10].sum()
+    reader = hdf5.Hdf5Reader(f"file://{tmp_path}/one.hdf", 2000, "/volumes/raw", None, "double")
+    assert [p.pieces[0][1] % 2 for p in reader.partitions()] == [0] * len(reader.partitions()) and len(reader.partitions()) > 3
+
+
+def test_hdf5_reads_no_other_chunks(spark, tmp_path):
+    gray = np.random.default_rng(6).integers(0, 255, (40, 8, 8)).astype(np.uint8)
+    raw = bytearray(hdf5.write_hdf5({"raw": gray}, (2, 8, 8)))
+    (tmp_path / "whole.h5").write_bytes(bytes(raw))
+    with pafs.LocalFileSystem().open_input_file(str(tmp_path / "whole.h5")) as f:
+        file = hdf5.Hdf5(f)
+        data = file.dataset("raw")
+        for offsets, size, _, address in list(file.chunks(data, data.address, 0, 40)):
+            if offsets[0] != 12:
+                raw[address : address + size] = bytes(size)
+    (tmp_path / "holes.h5").write_bytes(bytes(raw))
+    read = spark.read.format("hdf5_planes").option("dataset", "raw")
+    hdf5.register(spark)
+    assert read.load(f"file://{tmp_path}/holes.h5").filter("z >= 12 and z < 14").agg(F.sum("v")).first()[0] == gray[12:14].sum()
+    with pytest.raises(Exception, match="Error -3|incorrect header"):
+        read.load(f"file://{tmp_path}/holes.h5").agg(F.sum("v")).collect()
+
+
+def test_hdf5_refuses(tmp_path):
+    good = hdf5.write_hdf5({"a/b": np.zeros((2, 2, 2), np.uint8)})
+    cases = {"no dataset c": (good, "a/c", "no c"), "text": (b"no HDF5 " * 20, "a/b", "not an HDF5"), "newer": (good[:8] + b"\x02" + good[9:], "a/b", "superblock 2"), "group": (good, "a", "no dataset"), "empty": (b"", "a/b", "not an HDF5")}
+    for name, (raw, path, said) in cases.items():
+        (tmp_path / name).write_bytes(raw)
+        with pafs.LocalFileSystem().open_input_file(str(tmp_path / name)) as f, pytest.raises(ValueError, match=said):
+            hdf5.Hdf5(f).dataset(path)
+    with pytest.raises(ValueError, match="eight names"):
+        hdf5.write_hdf5({f"g{i}": np.zeros((1, 1, 1)) for i in range(9)})
+    with pytest.raises(ValueError, match="filter 32000"):
+        hdf5.unfiltered(b"", hdf5.Stored((1, 1, 1), np.dtype("u1"), (1, 1, 1), 0, [(32000, ())], b""), 0)
+    assert hdf5.parse_filters(b"\x02\x02\x02\0\0\0\x01\0\x04\0\0\0\x01\0\0\0\x01\0\x06\0\0\0") == [(2, (4,)), (1, (6,))]
+
+
+def test_hdf5_places_never_written(tmp_path):
+    (tmp_path / "f").write_bytes(hdf5.write_hdf5({"a": np.ones((4, 2, 2), np.int16)}, (2, 2, 2)))
+    with pafs.LocalFileSystem().open_input_file(str(tmp_path / "f")) as f:
+        file = hdf5.Hdf5(f)
+        data = file.dataset("a")
+        data.address, data.fill = hdf5.NOWHERE, b"\x07\0"
+        assert (file.window(data, (1, 3), (0, 1)) == np.full((2, 1, 2), 7)).all()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voxelry.operators import interpolate, labels
 from voxelry.plans import experiments
 from voxelry.plans.queries import QUERIES, SQL, _rows, _rows_sql, emb, query, volumes
-from voxelry.sources import formats, images, results, volumes as volume_files
+from voxelry.sources import formats, hdf5, images, results, volumes as volume_files
 from voxelry.sources.store import shared_path
 from voxelry.streaming import records
 
@@ -61,6 +61,23 @@ def nifti_planes(spark, sf_dir):
     return spark.read.format("nifti_planes").load(folder).filter("z >= 1 and z < 3").select("vol_id", "x", "y", "z", "v")
 
 
+@query(f"WITH {volumes(3)} SELECT vol_id::VARCHAR AS vol_id, 4 AS w, 4 AS h, 4 AS d, x, y, z, v::DOUBLE AS v, (v // 16 + 4294967296 * z)::BIGINT AS label FROM vox WHERE z >= 2")
+def hdf5_pairs(spark, sf_dir):
+    """The upper planes of gray volumes with their labels from HDF5 files in deflated chunks, by place."""
+    folder = shared_path(spark, "hdf5")
+    voxels = emb(spark, sf_dir, 3).withColumn("label", F.floor(F.col("v") / 16) + F.col("z").cast("long") * 4294967296)
+    images.write_files(hdf5.hdf5_files(voxels), folder).write.format("noop").mode("overwrite").save()
+    return hdf5.hdf5_pair(spark, folder).filter("z >= 2")
+
+
+@query(f"WITH {volumes(3)} SELECT vol_id::VARCHAR AS vol_id, v // 16 AS label, count(*) AS n FROM vox GROUP BY ALL")
+def hdf5_label_sizes(spark, sf_dir):
+    """Voxels of each label in HDF5 label volumes."""
+    folder = shared_path(spark, "hdf5")
+    images.write_files(hdf5.hdf5_files(emb(spark, sf_dir, 3).withColumn("label", F.floor(F.col("v") / 16))), folder).write.format("noop").mode("overwrite").save()
+    return hdf5.hdf5_labels(spark, folder).groupBy("vol_id", F.col("v").alias("label")).agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {volumes(3)} SELECT vol_id::VARCHAR AS vol_id, ((ex * 7 + ey) * 7 + ez)::BIGINT AS place, lo::INT AS u FROM cells")
 def raw_ranges(spark, sf_dir):
     """Lower ends of the cells' intervals through the raw sink, by ranges of places, and back."""

@@ -38,6 +38,52 @@ class Planes(InputPartition):
     pieces: list[tuple[str, int, int | None]]
 
 
+class PlaneReader(DataSourceReader):
+    """Deals out files of volumes by runs of planes and takes bounds of z; ``ends`` says which files are meant."""
+
+    ends: tuple[str, ...] = ()
+
+    def __init__(self, path: str, part_bytes: int):
+        self.path, self.part_bytes, self.low, self.high = path, part_bytes, 0, None
+
+    def runs(self, f: pa.NativeFile) -> tuple[int, int, int]:
+        """(bytes of a plane, planes, planes that are stored together) of an open file."""
+        raise NotImplementedError
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Bounds of z are taken; Spark applies all filters again, since a bound may fall within a partition."""
+        for f in filters:
+            if getattr(f, "attribute", None) == ("z",) and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
+                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                    self.low = max(self.low, int(f.value) + isinstance(f, GreaterThan))
+                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                    end = int(f.value) + (not isinstance(f, LessThan))
+                    self.high = end if self.high is None else min(self.high, end)
+            yield f
+
+    def partitions(self) -> list[Planes]:
+        """Large files by runs of planes, which takes their headers; small ones together."""
+        store, root = pafs.FileSystem.from_uri(self.path)
+        found = store.get_file_info(root)
+        files = [found] if found.is_file else store.get_file_info(pafs.FileSelector(root, recursive=True))
+        parts, small, held = [], [], 0
+        for info in sorted(files, key=lambda i: i.path):
+            if not info.is_file or not info.path.endswith(self.ends):
+                continue
+            if info.path.endswith(".gz") or info.size <= self.part_bytes:
+                if small and held + info.size > self.part_bytes:
+                    parts.append(Planes(small))
+                    small, held = [], 0
+                small.append((info.path, 0, None))
+                held += info.size
+                continue
+            with store.open_input_file(info.path) as f:
+                plane, depth, run = self.runs(f)
+            step, end = max(1, self.part_bytes // max(1, plane * run)) * run, depth if self.high is None else min(depth, self.high)
+            parts += [Planes([(info.path, z, min(z + step, end))]) for z in range(self.low // run * run, end, step)]
+        return [*parts, Planes(small)] if small else parts
+
+
 @dataclass
 class Header:
     """What a NIfTI-1 file says of its volume."""
@@ -84,42 +130,12 @@ class NiftiPlanes(DataSource):
         return NiftiReader(self.options["path"], int(self.options.get("part_bytes", PART_BYTES)))
 
 
-class NiftiReader(DataSourceReader):
-    def __init__(self, path: str, part_bytes: int):
-        self.path, self.part_bytes, self.low, self.high = path, part_bytes, 0, None
+class NiftiReader(PlaneReader):
+    ends = (".nii", ".nii.gz")
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Bounds of z are taken; Spark applies all filters again, since a bound may fall within a partition."""
-        for f in filters:
-            if getattr(f, "attribute", None) == ("z",) and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
-                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
-                    self.low = max(self.low, int(f.value) + isinstance(f, GreaterThan))
-                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
-                    end = int(f.value) + (not isinstance(f, LessThan))
-                    self.high = end if self.high is None else min(self.high, end)
-            yield f
-
-    def partitions(self) -> list[Planes]:
-        """Large files by runs of planes, which takes their headers; small ones together."""
-        store, root = pafs.FileSystem.from_uri(self.path)
-        found = store.get_file_info(root)
-        files = [found] if found.is_file else store.get_file_info(pafs.FileSelector(root, recursive=True))
-        parts, small, held = [], [], 0
-        for info in sorted(files, key=lambda i: i.path):
-            if not info.is_file or not info.path.endswith((".nii", ".nii.gz")):
-                continue
-            if info.path.endswith(".gz") or info.size <= self.part_bytes:
-                if small and held + info.size > self.part_bytes:
-                    parts.append(Planes(small))
-                    small, held = [], 0
-                small.append((info.path, 0, None))
-                held += info.size
-                continue
-            with store.open_input_file(info.path) as f:
-                head = Header.read(f.read(348))
-            step, end = max(1, self.part_bytes // max(1, head.plane_bytes)), min(head.shape[2], self.high if self.high is not None else head.shape[2])
-            parts += [Planes([(info.path, z, min(z + step, end))]) for z in range(self.low, end, step)]
-        return [*parts, Planes(small)] if small else parts
+    def runs(self, f: pa.NativeFile) -> tuple[int, int, int]:
+        head = Header.read(f.read(348))
+        return head.plane_bytes, head.shape[2], 1
 
     def read(self, part: Planes) -> Iterator[pa.RecordBatch]:
         store, _ = pafs.FileSystem.from_uri(self.path)

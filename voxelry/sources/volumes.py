@@ -1,4 +1,4 @@
-"""Volume files: NIfTI-1, HDF5 label volumes, and flat integer files with a text of their sizes."""
+"""Volume files: NIfTI-1, and flat integer files with a text of their sizes. HDF5 is in ``hdf5``."""
 
 from __future__ import annotations
 
@@ -115,35 +115,6 @@ def label_file(spark: SparkSession, folder: str, names: tuple[str, ...]) -> str
     return next((there[n] for n in names if n in there), None)
 
 
-def hdf5_pair(spark: SparkSession, path: str, raw: str = "/volumes/raw", labels: str = "/volumes/labels/neuron_ids") -> DataFrame:
-    """(..., v, label) of a gray volume and its labels in one file, by place. Needs h5py."""
-    gray, marks = hdf5_labels(spark, path, raw), hdf5_labels(spark, path, labels).withColumnRenamed("v", "label")
-    return gray.join(marks, ["vol_id", "w", "h", "d", "x", "y", "z"])
-
-
-def hdf5_labels(spark: SparkSession, path: str, dataset: str = "/volumes/labels/neuron_ids", planes: int = 8) -> DataFrame:
-    """(vol_id, w, h, d, x, y, z, v long) of a (z, y, x) label volume, a partition for each run of planes. Needs h5py."""
-    try:
-        import h5py
-    except ImportError as e:
-        raise ImportError("reading HDF5 needs h5py, which is not installed") from e
-    with h5py.File(path, "r") as f:
-        depth, h, w = f[dataset].shape
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import h5py
-
-        with h5py.File(path, "r") as f:
-            for frame in frames:
-                for k in frame["id"]:
-                    part = f[dataset][k * planes : (k + 1) * planes]
-                    z, y, x = (a.ravel() for a in np.indices(part.shape, dtype=np.int32))
-                    yield pd.DataFrame({"vol_id": path, "w": np.int32(w), "h": np.int32(h), "d": np.int32(depth), "x": x, "y": y, "z": z + np.int32(k * planes), "v": part.ravel().astype(np.uint64).view(np.int64)})
-
-    n = -(-depth // planes)
-    return spark.range(0, n, 1, n).mapInPandas(read, VOXELS.replace("v double", "v long"))
-
-
 def write_raw(field: DataFrame, uri: str) -> DataFrame:
     """Each volume's field as row-major little-endian int32 in ``<vol_id>.bin`` with sizes in ``<vol_id>.txt``; a row
     (vol_id, n) for each file written. A volume is one file, so one task's group."""
