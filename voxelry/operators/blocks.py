@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelry.operators.lattice import colocated
 from voxelry.sources.store import checkpointed
 
 #: Cells along a block's edge, in space and in the plane.
@@ -55,7 +56,7 @@ def by_runs(rows: DataFrame, keys: list[str], work: Callable[[pa.Table, np.ndarr
         if held and sum(b.num_rows for b in held):
             yield from called(held, True)[0].to_batches()
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return colocated(rows, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def groups(table: pa.Table, keys: list[str]) -> np.ndarray:
@@ -71,6 +72,14 @@ def groups(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.cumsum(new)
 
 
+def each_group(table: pa.Table, code: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of each group; a null is below 0."""
+    columns = {n: pc.fill_null(table.column(n), -1).to_numpy() for n in table.column_names}
+    cuts = np.flatnonzero(np.diff(code, prepend=-1, append=code[-1] + 1))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield {n: c[a:b] for n, c in columns.items()}
+
+
 def united(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Roots, each the least of its tree and pointed to by all of it, after edges (a, b)."""
     while len(a):

@@ -1,7 +1,7 @@
 """Slabs along z, and rounds that inject the assembled field at their boundaries until it no longer changes.
 
 A slab with its halo is the unit of parallel work: (vol_id, k) is the group, so one volume spreads over many tasks. A
-round is a co-grouping of each slab's voxels with the planes of the assembled field that pin it. The round's field is
+round brings each slab's voxels together with the planes of the assembled field that pin it. The round's field is
 written to the shared checkpoint folder before the next one reads it; the driver sees one row of sums a round.
 """
 
@@ -10,12 +10,12 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelry.operators.blocks import by_runs, each_group
 from voxelry.operators.lattice import CELL, VOLUME
-from voxelry.operators.propagate import FIELD, close_levels, dense_span, to_dense
+from voxelry.operators.propagate import FIELD, close_levels, dense_span, field_table, to_dense
 from voxelry.operators.verify import boundary_violations, well_composed
 from voxelry.sources.store import checkpointed
 
@@ -44,34 +44,42 @@ def bounds_of(parts: DataFrame) -> DataFrame:
     return parts.filter("k < n - 1").select("vol_id", F.col("z1").alias("zb"))
 
 
-def slab_field(pdf: pd.DataFrame, pins: pd.DataFrame | None, l_inf: int, shift: int = 0) -> pd.DataFrame:
-    """The planes that a slab owns: from twice its first plane to just before twice its end; the last slab all.
+def slab_field(group: dict[str, np.ndarray], l_inf: int, shift: int = 0) -> tuple[int, tuple[int, int, int], int, np.ndarray]:
+    """The planes that a slab owns: from twice its first plane to just before twice its end; the last slab all. Rows with a
+    level u above -1 are cells (x, y, z) of the doubled grid that pin it. The result is a part of ``field_table``.
 
     With ``shift`` a bound's first planes belong to the slab before it: 1 for the plane of the bound itself, so that it
     and the one below come from one slab, 2 for the plane above too.
     """
-    first = pdf.iloc[0]
-    w, h, d, k, n, z0, z1, z0e, z1e = (int(first[c]) for c in ("w", "h", "d", "k", "n", "z0", "z1", "z0e", "z1e"))
-    low, high = dense_span(to_dense(pdf.assign(zl=pdf["z"] - z0e), ("x", "y", "zl"), "v", (w, h, z1e - z0e)))
+    pinned = group["u"] >= 0
+    rows, pins = ({n: c[at] for n, c in group.items()} for at in (~pinned, pinned))
+    w, h, d, k, n, z0, z1, z0e, z1e = (int(rows[c][0]) for c in ("w", "h", "d", "k", "n", "z0", "z1", "z0e", "z1e"))
+    low, high = dense_span(to_dense(rows | {"z": rows["z"] - z0e}, ("x", "y", "z"), "v", (w, h, z1e - z0e)))
     seeds = None
-    if pins is not None and len(pins):
-        at = tuple((pins[c] - (2 * z0e if c == "ez" else 0)).to_numpy() for c in ("ex", "ey", "ez"))
+    if pinned.any():
+        at = (pins["x"], pins["y"], pins["z"] - 2 * z0e)
         seeds = np.full(low.shape, -1, np.int64)
-        low[at] = high[at] = seeds[at] = pins["u"].to_numpy()
+        low[at] = high[at] = seeds[at] = pins["u"]
     field = close_levels(low, high, l_inf, seeds)
     begin = 2 * z0 + shift if k else 0
     end = min(2 * z1 + shift, 2 * d - 1) if k < n - 1 else 2 * d - 1
     if end > 2 * z1e - 1:
         raise ValueError("the halo above must hold the planes that a slab owns beyond its own")
-    part = field[:, :, begin - 2 * z0e : end - 2 * z0e]
-    ex, ey, ez = (a.ravel() for a in np.indices(part.shape, dtype=np.int32))
-    return pd.DataFrame({"vol_id": int(first["vol_id"]), "w": w, "h": h, "d": d, "ex": ex, "ey": ey, "ez": ez + np.int32(begin), "u": part.ravel().astype(np.int32)})
+    return int(rows["vol_id"][0]), (w, h, d), begin, field[:, :, begin - 2 * z0e : end - 2 * z0e]
+
+
+def slab_fields(voxels: DataFrame, parts: DataFrame, pins: DataFrame | None, l_inf: int, shift: int) -> DataFrame:
+    """The fields of all slabs, many small ones of a task at once; pins come as further rows of their slab."""
+    rows = with_halo(voxels, parts).select(*VOLUME, "x", "y", "z", "v", "k", "n", "z0", "z1", "z0e", "z1e", F.lit(None).cast("int").alias("u"))
+    if pins is not None:
+        rows = rows.unionByName(pins.select("vol_id", "k", F.col("ex").alias("x"), F.col("ey").alias("y"), F.col("ez").alias("z"), F.col("u").cast("int").alias("u")), allowMissingColumns=True)
+    return by_runs(rows, ["vol_id", "k"], lambda table, code: field_table([slab_field(g, l_inf, shift) for g in each_group(table, code)]), FIELD)
 
 
 def round_zero(voxels: DataFrame, parts: DataFrame, l_inf: int = 0, shift: int = 0) -> DataFrame:
     """Every slab by itself. Its halo above must hold the planes that it owns: one plane, or two where ``shift`` is 2, which
     ``slabs`` gives by ``delta`` or ``ahead``; else it is an error."""
-    return with_halo(voxels, parts).groupBy("vol_id", "k").applyInPandas(lambda pdf: slab_field(pdf, None, l_inf, shift), FIELD)
+    return slab_fields(voxels, parts, None, l_inf, shift)
 
 
 def pins_of(field: DataFrame, parts: DataFrame, one_plane: bool = False) -> DataFrame:
@@ -123,9 +131,7 @@ def inject_each(voxels: DataFrame, k: int, delta: int = 1, l_inf: int = 0, max_r
     field = checkpointed(round_zero(voxels, parts, l_inf, shift), "round-0")
     done, took = [], []
     for rounds in range(1, max_rounds + 1):
-        pins = pins_of(field, parts, one_plane).toDF("pin_vol", "pin_k", "ex", "ey", "ez", "u")
-        both = with_halo(voxels, parts).groupBy("vol_id", "k").cogroup(pins.groupBy("pin_vol", "pin_k"))
-        new = checkpointed(both.applyInPandas(lambda a, b: slab_field(a, b, l_inf, shift), FIELD), f"round-{rounds}")
+        new = checkpointed(slab_fields(voxels, parts, pins_of(field, parts, one_plane), l_inf, shift), f"round-{rounds}")
         keys = [*VOLUME, "ex", "ey", "ez"]
         moved = new.join(field.withColumnRenamed("u", "before"), keys).groupBy("vol_id").agg(F.max(F.abs(F.col("u") - F.col("before"))).alias("change"))
         moved = checkpointed(moved.select("vol_id", (F.col("change") >= eps).alias("goes_on")), f"moved-{rounds}")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelry.operators.interpolate import border_level
-from voxelry.operators.lattice import VOLUME
+from voxelry.operators.lattice import VOLUME, colocated
 from voxelry.operators.propagate import FIELD, dense_span, to_dense
 from voxelry.sources.store import checkpointed
 
@@ -64,7 +64,7 @@ def block_spans(voxels: DataFrame, edge: int, seeds: DataFrame | None = None) ->
         pack = lambda a: np.ascontiguousarray(a, np.int32).tobytes()
         return pd.DataFrame([{**{c: int(first[c]) for c in VOLUME}, **at, "l_inf": int(first["l_inf"]), "low": pack(low), "high": pack(high), "seeds": pack(seed) if len(pins) else None}])
 
-    return rows.groupBy("vol_id", "bx", "by", "bz").applyInPandas(spans, BLOCK)
+    return colocated(rows, "vol_id", "bx", "by", "bz").groupBy("vol_id", "bx", "by", "bz").applyInPandas(spans, BLOCK)
 
 
 class Block:

@@ -16,9 +16,13 @@ CELL = (*VOLUME, "ex", "ey", "ez")
 VOXEL = (*VOLUME, "x", "y", "z")
 
 
-def colocated(df: DataFrame) -> DataFrame:
-    """All rows of a volume in one partition."""
-    return df.repartition("vol_id")
+def colocated(df: DataFrame, *keys: str) -> DataFrame:
+    """All rows of a volume, or of a group by other keys, in one partition, of as many as the session's shuffles have.
+
+    Their number is given, as adaptive execution would merge partitions until they have some bytes, and what is done with a
+    volume takes far longer than its bytes do elsewhere: a few tasks would be left of many.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *(keys or ("vol_id",)))
 
 
 def spread(df: DataFrame, axes: dict[str, tuple[Column, Column]]) -> DataFrame:

@@ -1,7 +1,7 @@
 """The well-composed field of gray volumes: a front that closes one level at a time.
 
 The order of levels is a true recurrence within a volume, so each group (a volume, or a slab of one) is one task's work
-on dense arrays; Spark deals out the groups. A group must fit in a task: slabs (``decompose``) are the knob for volumes
+on dense arrays; Spark deals out the groups, and a task takes many small ones at once from a stream of rows. A group must fit in a task: slabs (``decompose``) are the knob for volumes
 that do not. Order within a level does not matter, so a level closes as a set of cells at a time.
 """
 
@@ -11,10 +11,12 @@ import functools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelry.functions.scalar import snap
+from voxelry.operators.blocks import by_runs, each_group
 from voxelry.operators.interpolate import border_level
 from voxelry.operators.lattice import CELL, VOLUME, neighbours
 from voxelry.sources.store import checkpointed
@@ -191,16 +193,20 @@ def nearest_level(levels: DataFrame, at: int, keys: tuple[str, ...] = ("vol_id",
     return levels.groupBy(*keys).agg(F.min_by("v", F.struct(F.abs(F.col("v") - at), -F.col("v"))).alias("level"))
 
 
-def to_dense(pdf: pd.DataFrame, names: tuple[str, str, str], value: str, shape: tuple[int, int, int], empty: int = 0) -> np.ndarray:
+def to_dense(rows: pd.DataFrame | dict[str, np.ndarray], names: tuple[str, str, str], value: str, shape: tuple[int, int, int], empty: int = 0) -> np.ndarray:
     out = np.full(shape, empty, np.int64)
-    out[tuple(pdf[n].to_numpy() for n in names)] = pdf[value].to_numpy()
+    out[tuple(np.asarray(rows[n]) for n in names)] = rows[value]
     return out
 
 
-def to_rows(field: np.ndarray, vol_id: int, size: tuple[int, int, int]) -> pd.DataFrame:
-    ex, ey, ez = (a.ravel() for a in np.indices(field.shape, dtype=np.int32))
-    w, h, d = size
-    return pd.DataFrame({"vol_id": vol_id, "w": w, "h": h, "d": d, "ex": ex, "ey": ey, "ez": ez, "u": field.ravel().astype(np.int32)})
+def field_table(parts: list[tuple[int, tuple[int, int, int], int, np.ndarray]], open_below_0: bool = False) -> pa.Table:
+    """Rows (FIELD) of dense fields: each with its volume, that one's size, and the plane that it begins at."""
+    many = [f.size for _, _, _, f in parts]
+    ex, ey, ez = (np.concatenate(c) for c in zip(*[[a.ravel() for a in np.indices(f.shape, dtype=np.int32)] for _, _, _, f in parts], strict=True))
+    u = np.concatenate([f.ravel() for _, _, _, f in parts]).astype(np.int32)
+    size = {n: np.repeat(np.array([s[i] for _, s, _, _ in parts], np.int32), many) for i, n in enumerate("whd")}
+    vol, first = np.repeat(np.array([v for v, _, _, _ in parts], np.int64), many), np.repeat(np.array([z for _, _, z, _ in parts], np.int32), many)
+    return pa.table({"vol_id": vol, **size, "ex": ex, "ey": ey, "ez": ez + first, "u": pa.array(u, mask=u < 0 if open_below_0 else None)})
 
 
 def propagated(voxels: DataFrame, l_inf: str | int = "border_median", ascending: bool = False) -> DataFrame:
@@ -211,14 +217,15 @@ def propagated(voxels: DataFrame, l_inf: str | int = "border_median", ascending:
     else:
         rows = voxels.withColumn("l_inf", F.lit(0 if l_inf == "zero" else int(l_inf)))
 
-    def close(pdf: pd.DataFrame) -> pd.DataFrame:
-        size = tuple(int(pdf[c].iloc[0]) for c in ("w", "h", "d"))
-        low, high = dense_span(to_dense(pdf, ("x", "y", "z"), "v", size))
-        found = (sweep_levels if ascending else close_levels)(low, high, int(pdf["l_inf"].iloc[0]))
-        rows = to_rows(found, int(pdf["vol_id"].iloc[0]), size)
-        return rows.assign(u=rows["u"].astype("Int32").where(rows["u"] >= 0, pd.NA)) if ascending else rows
+    def close(table: pa.Table, code: np.ndarray) -> pa.Table:
+        parts = []
+        for g in each_group(table, code):
+            size = tuple(int(g[c][0]) for c in ("w", "h", "d"))
+            low, high = dense_span(to_dense(g, ("x", "y", "z"), "v", size))
+            parts.append((int(g["vol_id"][0]), size, 0, (sweep_levels if ascending else close_levels)(low, high, int(g["l_inf"][0]))))
+        return field_table(parts, ascending)
 
-    return rows.select(*VOLUME, "x", "y", "z", "v", "l_inf").groupBy("vol_id").applyInPandas(close, FIELD)
+    return by_runs(rows.select(*VOLUME, "x", "y", "z", "v", "l_inf"), ["vol_id"], close, FIELD)
 
 
 def ordered(field: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelry.functions.scalar import quantised
-from voxelry.operators.lattice import VOXEL
+from voxelry.operators.lattice import VOXEL, colocated
 
 SHAPES = {"emb2d": (8, 8, 1), "emb3d": (4, 4, 4)}
 
@@ -15,7 +15,8 @@ def embeddings(spark: SparkSession, sf_dir: str, kind: str = "emb2d") -> DataFra
     """Each vector of 64 as an 8x8 image or a 4x4x4 volume. Vectors are dealt out before they become voxels, 64 times
     fewer rows, and stay together, so that no operator behind needs an exchange."""
     w, h, d = SHAPES[kind]
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("vol_id"), "embedding").repartition("vol_id")
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("vol_id"), "embedding")
+    rows = colocated(rows)
     out = rows.select("vol_id", F.posexplode("embedding").alias("i", "e"))
     i = F.col("i")
     return out.select("vol_id", *[F.lit(n).alias(c) for n, c in ((w, "w"), (h, "h"), (d, "d"))], (i % w).cast("int").alias("x"), (F.floor(i / w) % h).cast("int").alias("y"), F.floor(i / (w * h)).cast("int").alias("z"), quantised(F.col("e"), -0.6, 1.2).alias("v"))
