@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from voxelry.functions import timing
 from voxelry.operators import blocks, decompose, fronts, interpolate, labels, propagate, stats, topology
 from voxelry.plans import experiments
-from voxelry.sources import formats, volumes
+from voxelry.sources import formats, raster, volumes
+from voxelry.sources.store import checkpointed
 from voxelry.streaming import records
 
 
@@ -213,3 +214,17 @@ def test_rule_of_thin_slabs(spark):
     table = stats.slab_table(spark.createDataFrame(rows, columns))
     assert {r.K: r.thin_right for r in table.collect()} == {2: True, 4: True, 8: False}
     assert tuple(stats.rule_accuracy(table).first()) == (2, 3)
+
+
+def broadcasts(df) -> int:
+    """How many tables a plan would send through the driver."""
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_lattices_and_stored_tables_are_never_broadcast(spark):
+    points = spark.range(40).selectExpr("0L as vol_id", "id as x", "0 as y", "0 as z", "1 as v")
+    images = raster.dense(points, spark.range(1).selectExpr("id as vol_id"), (F.lit(50), F.lit(1), F.lit(1)))
+    assert broadcasts(images.filter("v > 0")) == 0 and images.filter("v > 0").count() == 40
+    table = checkpointed(spark.range(100).selectExpr("id as k", "1 as a"), "alike")
+    assert broadcasts(table.join(table.groupBy("k").agg(F.sum("a").alias("b")), "k")) == 0
+    assert broadcasts(table.join(spark.range(100).selectExpr("id as k").filter("k > 0").join(table, "k"), "k")) == 0
