@@ -2,66 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from voxelry.sources.store import shared_path
 
 RECORD = "subject string, K int, delta int, eps double, violations long, rounds long"
 KEYS = ("K", "delta", "eps")
-SUMS = "n long, passed long, viol long, viol_squares long, viol_min long, viol_max long, rounds long, rounds_squares long, rounds_min long, rounds_max long"
 SUMMARY = "K int, delta int, eps double, n_subjects long, viol_mean double, viol_std double, viol_min long, viol_max long, pass_rate double, rounds_mean double, rounds_std double, rounds_min long, rounds_max long"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def deviation(n: int, total: int, squares: int) -> float:
-    """Sample standard deviation from whole sums, 0 for one value."""
-    return (max(0, n * squares - total * total) / (n * (n - 1))) ** 0.5 if n > 1 else 0.0
-
-
-class RunningSummary(StatefulProcessor):
-    """Sums of one setting's records, and which subjects it has: a subject's first record counts."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "subject string", "there boolean")
-        self.sums = handle.getValueState("sums", SUMS)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        sums = list(self.sums.get()) if self.sums.exists() else None
-        for frame in rows:
-            for subject, v, r in zip(frame["subject"], frame["violations"].astype(int), frame["rounds"].astype(int), strict=True):
-                if self.seen.containsKey((subject,)):
-                    continue
-                self.seen.updateValue((subject,), (True,))
-                one = [1, int(v == 0), v, v * v, v, v, r, r * r, r, r]
-                sums = one if sums is None else [f(a, b) for f, a, b in zip((add, add, add, add, min, max, add, add, min, max), sums, one, strict=True)]
-        if sums is None:
-            return
-        self.sums.update(tuple(int(x) for x in sums))
-        n, passed, viol, viol2, low, high, rounds, rounds2, least, most = sums
-        yield pd.DataFrame([(*key, n, viol / n, deviation(n, viol, viol2), low, high, passed / n, rounds / n, deviation(n, rounds, rounds2), least, most)], columns=[c.split()[0] for c in SUMMARY.split(", ")])
-
-    def close(self) -> None:
-        pass
-
-
-def add(a: int, b: int) -> int:
-    return a + b
-
-
 def use_state_store(spark: SparkSession) -> None:
-    """State of this kind needs a store that keeps several values for each key."""
+    """State outside the heap, of bounded memory for each executor: a row for each subject of each setting."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
+
+
+def deviation(n: Column, total: Column, squares: Column) -> Column:
+    """Sample standard deviation from whole sums, 0 for one value."""
+    whole = [c.cast("decimal(19,0)") for c in (n, squares, total)]
+    over = F.greatest(whole[0] * whole[1] - whole[2] * whole[2], F.lit(0)).cast("double")
+    return F.when(n > 1, F.sqrt(over / (n * (n - 1)))).otherwise(0.0)
 
 
 def running_summaries(records: DataFrame) -> DataFrame:
-    """For each setting (K, delta, eps) with new records, its summary over all records so far, in update mode."""
-    plain = records.select(F.coalesce("subject", F.lit("")).alias("subject"), *KEYS, F.coalesce("violations", F.lit(0)).alias("violations"), F.coalesce("rounds", F.lit(0)).alias("rounds"))
-    return plain.groupBy(*KEYS).transformWithStateInPandas(RunningSummary(), SUMMARY, "Update", "None")
+    """For each setting (K, delta, eps) with new records, its summary over all records so far, in update mode: a subject's first
+    record of each setting counts, sums are kept by setting."""
+    plain = records.select(F.coalesce("subject", F.lit("")).alias("subject"), *KEYS, F.coalesce("violations", F.lit(0)).alias("v"), F.coalesce("rounds", F.lit(0)).alias("r"))
+    v, r = F.col("v"), F.col("r")
+    sums = plain.dropDuplicates([*KEYS, "subject"]).groupBy(*KEYS).agg(
+        F.count("*").alias("n_subjects"), F.sum("v").alias("_v"), F.sum(v * v).alias("_vv"), F.min("v").alias("viol_min"), F.max("v").alias("viol_max"), F.count_if(v == 0).alias("_passed"),
+        F.sum("r").alias("_r"), F.sum(r * r).alias("_rr"), F.min("r").alias("rounds_min"), F.max("r").alias("rounds_max"))
+    n = F.col("n_subjects")
+    more = {f"{name}_mean": F.col(s) / n for name, s in (("viol", "_v"), ("rounds", "_r"))} | {f"{name}_std": deviation(n, F.col(s), F.col(s + s[1:])) for name, s in (("viol", "_v"), ("rounds", "_r"))}
+    return sums.withColumns(more | {"pass_rate": F.col("_passed") / n}).select(*[c.split()[0] for c in SUMMARY.split(", ")])
 
 
 def replayed(records: DataFrame, first: str) -> DataFrame:
