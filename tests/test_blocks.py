@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelry.functions import timing
-from voxelry.operators import blocks, decompose, fronts, interpolate, labels, propagate, stats, topology
+from voxelry.operators import blocks, decompose, fronts, interpolate, labels, propagate, stats, topology, verify
 from voxelry.plans import experiments
 from voxelry.sources import formats, raster, volumes
 from voxelry.sources.store import checkpointed
@@ -228,3 +228,28 @@ def test_lattices_and_stored_tables_are_never_broadcast(spark):
     table = checkpointed(spark.range(100).selectExpr("id as k", "1 as a"), "alike")
     assert broadcasts(table.join(table.groupBy("k").agg(F.sum("a").alias("b")), "k")) == 0
     assert broadcasts(table.join(spark.range(100).selectExpr("id as k").filter("k > 0").join(table, "k"), "k")) == 0
+
+
+def test_small_volumes_are_checked_in_their_rows(noise):
+    parts = decompose.slabs(noise, 3, 1)
+    bounds = decompose.bounds_of(parts)
+    packed = decompose.slab_fields(noise, parts, None, 0, 0)
+    columns = ["vol_id", "n_cells", "n_blocks", "n_violations", "bdry_violations"]
+    assert rows_of(decompose.checked(packed, bounds, small=True), *columns) == rows_of(decompose.checked(packed, bounds), *columns)
+    assert packed.count() == parts.count()  # what is stored and shuffled is a row for each slab, not for each cell
+    whole, cells = propagate.whole(packed), propagate.cells_of(packed)
+    other = propagate.propagated_whole(noise, "zero")
+    columns = ["vol_id", "cells_differ", "max_diff", "max_diff_bounds"]
+    assert rows_of(verify.whole_differing(whole, other, bounds), *columns) == rows_of(verify.differing(cells, propagate.cells_of(other), bounds), *columns)
+
+
+def test_gaps_of_volumes_dealt_out_are_filled_alike(noise):
+    open_ = interpolate.interval_span(noise).withColumn("u", F.when((F.col("ex") + F.col("ey") + F.col("ez")) % 9 == 0, F.col("hi")))
+    columns = ["vol_id", "ex", "ey", "ez", "u"]
+    dealt = propagate.gap_filled(open_, None, ("vol_id",))
+    assert rows_of(dealt, *columns) == rows_of(propagate.gap_filled(open_, None), *columns)
+
+
+def test_state_of_records_is_kept_without_python(spark):
+    plan = records.running_summaries(spark.createDataFrame([], records.RECORD))._jdf.queryExecution().logical().toString()
+    assert "Deduplicate" in plan and "Python" not in plan and "Pandas" not in plan

@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 
 from voxelry.operators.interpolate import border_level
 from voxelry.operators.lattice import VOLUME, colocated
-from voxelry.operators.propagate import FIELD, dense_span, to_dense
+from voxelry.operators.propagate import dense_span, to_dense
 from voxelry.sources.store import checkpointed
 
 #: Cells along a block's edge; even.
 EDGE = 64
+FIELD = "vol_id long, w int, h int, d int, ex int, ey int, ez int, u int"
 BLOCK = "vol_id long, w int, h int, d int, bx int, by int, bz int, l_inf int, low binary, high binary, seeds binary"
 #: The six faces: axis, and whether it is the upper one.
 FACES = [(axis, up) for axis in range(3) for up in (False, True)]
