@@ -253,3 +253,14 @@ def test_gaps_of_volumes_dealt_out_are_filled_alike(noise):
 def test_state_of_records_is_kept_without_python(spark):
     plan = records.running_summaries(spark.createDataFrame([], records.RECORD))._jdf.queryExecution().logical().toString()
     assert "Deduplicate" in plan and "Python" not in plan and "Pandas" not in plan
+
+
+def test_blocks_of_small_volumes_close_in_one_task(spark, noise):
+    columns = ["vol_id", "w", "h", "d", "ex", "ey", "ez", "u"]
+    at = noise.filter("z % 2 = 0 and x > 0").select("vol_id", "w", "h", "d", (2 * F.col("x")).alias("ex"), F.col("y").alias("ey"), F.lit(0).alias("ez"), F.when(F.col("z") == 0, F.col("v")).alias("u"))
+    at = at.unionByName(at.withColumn("vol_id", F.lit(99).cast("long")))  # of no volume
+    for seeds in (None, at):
+        found = [fronts.propagated_in_blocks(noise, 30, 4, seeds, 4, n) for n in (fronts.TOGETHER, 729, 0)]  # all, some, none in one task
+        plan = found[0]._jdf.queryExecution().optimizedPlan().toString()
+        assert "InPandas" not in plan and plan.count("MapInArrow") == 1  # no call for each block
+        assert rows_of(found[0], *columns) == rows_of(found[1], *columns) == rows_of(found[2], *columns)

@@ -6,6 +6,9 @@ of a block's face that closed, what its neighbours must know, and which levels n
 blocks. A volume stays at its level while faces have news; then it goes to the nearest level at which cells wait anywhere,
 the upper of two. A message is as long as the faces with news, compressed; levels are two numbers for each volume.
 
+Volumes of at most ``TOGETHER`` cells have all their blocks in one task, which needs no stage of that kind: it takes many of
+them from a stream and closes the blocks of all in step, each volume at its own level (``closed_together``).
+
 The tasks of the stage run at once, so there must be a core for each; a lost executor starts the stage anew. They find each
 other by the barrier's gathering and then talk through the first task, as that gathering takes a second each time.
 """
@@ -25,13 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelry.operators.blocks import by_runs
 from voxelry.operators.interpolate import border_level
 from voxelry.operators.lattice import VOLUME, colocated
-from voxelry.operators.propagate import dense_span, to_dense
+from voxelry.operators.propagate import FIELD as PACKED
+from voxelry.operators.propagate import cells_of, dense_span, field_table, to_dense
 from voxelry.sources.store import checkpointed
 
 #: Cells along a block's edge; even.
 EDGE = 64
+#: Cells of a volume whose blocks are all in one task.
+TOGETHER = EDGE**3
 FIELD = "vol_id long, w int, h int, d int, ex int, ey int, ez int, u int"
 BLOCK = "vol_id long, w int, h int, d int, bx int, by int, bz int, l_inf int, low binary, high binary, seeds binary"
 #: The six faces: axis, and whether it is the upper one.
@@ -233,16 +240,113 @@ def closed_blocks(batches: Iterator[pa.RecordBatch], edge: int) -> Iterator[pa.R
             yield pa.record_batch(columns, names=["vol_id", "w", "h", "d", "ex", "ey", "ez", "u"])
 
 
-def propagated_in_blocks(voxels: DataFrame, l_inf: str | int = "border_median", edge: int = EDGE, seeds: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
+def closed_together(low: np.ndarray, high: np.ndarray, l_inf: np.ndarray, seeds: np.ndarray, edge: int) -> np.ndarray:
+    """The fields of volumes of one size (volumes x cells), cut in blocks, from cells' intervals, borders' levels and seeds or -1.
+
+    All volumes go in step, each at its own level: blocks close what waits at it by themselves, then cells beside the faces
+    with news are reached, until no face has any; then a volume goes to its nearest level at which cells wait.
+    """
+    n, *shape = low.shape
+    size = [s + 2 for s in shape]
+    many, inner = int(np.prod(size)), (slice(None), *[slice(1, -1)] * 3)
+    lo, hi, at = (np.zeros((n, *size), np.int32) for _ in range(3))
+    lo[inner], hi[inner], at[inner] = np.where(seeds < 0, low, seeds), np.where(seeds < 0, high, seeds), seeds
+    reached, rim = np.ones((n, *size), bool), np.zeros((n, *size), bool)
+    reached[inner], rim[inner] = seeds >= 0, True
+    rim[:, 2:-2, 2:-2, 2:-2] = False
+    lo, hi, at, reached, vol = lo.ravel(), hi.ravel(), at.ravel(), reached.ravel(), np.repeat(np.arange(n, dtype=np.int32), many)
+    ways = []  # to each side: how far, and whether that is in the same block
+    for axis, place in enumerate(np.indices(size)):
+        stride = int(np.prod(size[axis + 1 :]))
+        ways += [(step * stride, np.tile(((place - 1) // edge == (place - 1 + step) // edge).ravel(), n)) for step in (-1, 1)]
+    level, once, later = l_inf.astype(np.int32), np.empty(n * many, np.int32), []
+
+    def reach(cells: np.ndarray) -> np.ndarray:
+        """Of the cells met those that close at once; the others wait at their volume's level snapped to their interval."""
+        cells = cells[~reached[cells]]
+        once[cells] = np.arange(len(cells))
+        cells = cells[once[cells] == np.arange(len(cells))]
+        reached[cells] = True
+        now = level[vol[cells]]
+        at[cells] = snapped = np.clip(now, lo[cells], hi[cells])
+        later.append(cells[snapped != now])
+        return cells[snapped == now]
+
+    waiting = np.zeros(0, np.int64)
+    pins = np.zeros((n, *size), bool)
+    pins[inner] = seeds >= 0
+    later.append(np.flatnonzero(pins))
+    front = reach(np.flatnonzero(rim))
+    while True:
+        while len(front):
+            news = []
+            while len(front):
+                own = []
+                for step, same in ways:
+                    here = same[front]
+                    own.append(front[here] + step)
+                    news.append(front[~here] + step)
+                front = reach(np.concatenate(own))
+            front = reach(np.concatenate(news))
+        waiting = np.concatenate([waiting, *later])
+        later.clear()
+        if not len(waiting):
+            return at.reshape(n, *size)[inner]
+        far = at[waiting].astype(np.int64) - level[vol[waiting]]
+        far = 2 * np.abs(far) + (far < 0)  # of two as near the upper
+        least = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(least, vol[waiting], far)
+        hit = far == least[vol[waiting]]
+        front, waiting = waiting[hit], waiting[~hit]
+        level[vol[front]] = at[front]
+
+
+def small_fields(voxels: DataFrame, edge: int, seeds: DataFrame | None = None) -> DataFrame:
+    """The fields, a row each (``propagate.FIELD``), of volumes with a column l_inf whose blocks are all in one task."""
+    rows = voxels.select(*VOLUME, "x", "y", "z", "v", "l_inf", F.lit(None).cast("int").alias("u"))
+    if seeds is not None:
+        pins = seeds.filter("u is not null").select(*VOLUME, F.col("ex").alias("x"), F.col("ey").alias("y"), F.col("ez").alias("z"), F.lit(0).alias("v"), F.lit(0).alias("l_inf"), F.col("u").cast("int").alias("u"))
+        rows = rows.unionByName(pins)
+
+    def close(table: pa.Table, code: np.ndarray) -> pa.Table:
+        c = {n: table.column(n).fill_null(-1).to_numpy() for n in table.column_names}
+        first = np.flatnonzero(np.diff(code, prepend=-1))
+        sizes, kind = np.unique(np.stack([c[n][first] for n in ("w", "h", "d")], axis=1), axis=0, return_inverse=True)
+        kind, there, parts = kind.ravel(), np.bincount(code[c["u"] < 0], minlength=len(first)) > 0, []
+        for i, size in enumerate(sizes.tolist()):
+            vols = np.flatnonzero((kind == i) & there)  # seeds of a volume without voxels are left out
+            mine = np.flatnonzero(np.isin(code, vols))
+            number, pinned = np.searchsorted(vols, code[mine]), c["u"][mine] >= 0
+            at = lambda rows, number: (number, c["x"][rows], c["y"][rows], c["z"][rows])
+            v, l_inf = np.zeros((len(vols), *size), np.int32), np.zeros(len(vols), np.int32)
+            v[at(mine[~pinned], number[~pinned])] = c["v"][mine[~pinned]]
+            l_inf[number[~pinned]] = c["l_inf"][mine[~pinned]]
+            low, high = dense_span(v, 1)
+            seed = np.full(low.shape, -1, np.int32)
+            seed[at(mine[pinned], number[pinned])] = c["u"][mine[pinned]]
+            u = closed_together(low, high, l_inf, seed, edge)
+            parts += [(int(k), tuple(size), 0, f) for k, f in zip(c["vol_id"][first[vols]], u, strict=True)]
+        return field_table(parts)
+
+    return by_runs(rows, ["vol_id"], close, PACKED, 50_000)
+
+
+def propagated_in_blocks(voxels: DataFrame, l_inf: str | int = "border_median", edge: int = EDGE, seeds: DataFrame | None = None, tasks: int | None = None, together: int = TOGETHER) -> DataFrame:
     """The field (CELL, u) of each volume as by ``propagated``, in blocks of ``edge`` cells each way; ``seeds`` (CELL, u; u null:
     none) are cells whose interval is one level and that wait at it from the start. ``tasks``: how many run at once, all
-    cores by default."""
+    cores by default, for volumes of more than ``together`` cells; the blocks of others are all in one task."""
     if edge % 2 or edge < 2:
         raise ValueError("a block's edge must be even")
+    cells = (2 * F.col("w").cast("long") - 1) * (2 * F.col("h") - 1) * (2 * F.col("d") - 1)
     if l_inf == "border_median":
         rows = voxels.join(border_level(voxels).select("vol_id", F.rint("l_inf").cast("int").alias("l_inf")), "vol_id")
     else:
         rows = voxels.withColumn("l_inf", F.lit(0 if l_inf == "zero" else int(l_inf)))
-    spans = block_spans(rows, edge, seeds)
+    of = lambda df, some: None if df is None else df.filter(some)
+    small = cells_of(small_fields(of(rows, cells <= together), edge, of(seeds, cells <= together)))
+    if voxels.filter(cells > together).isEmpty():
+        return small
+    spans = block_spans(of(rows, cells > together), edge, of(seeds, cells > together))
     tasks = tasks or voxels.sparkSession.sparkContext.defaultParallelism
-    return checkpointed(spans.repartition(tasks).mapInArrow(lambda batches: closed_blocks(batches, edge), FIELD, barrier=True), "front")
+    front = checkpointed(spans.repartition(tasks).mapInArrow(lambda batches: closed_blocks(batches, edge), FIELD, barrier=True), "front")
+    return front.unionByName(small)
