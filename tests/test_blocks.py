@@ -264,3 +264,21 @@ def test_blocks_of_small_volumes_close_in_one_task(spark, noise):
         plan = found[0]._jdf.queryExecution().optimizedPlan().toString()
         assert "InPandas" not in plan and plan.count("MapInArrow") == 1  # no call for each block
         assert rows_of(found[0], *columns) == rows_of(found[1], *columns) == rows_of(found[2], *columns)
+
+
+def test_topology_from_one_pass_over_a_field(spark, voxels):
+    rng = np.random.default_rng(7)
+    df = voxels(v1=rng.integers(0, 101, (6, 5, 9)), v2=np.zeros((4, 4, 4), int), v3=100 * rng.integers(0, 2, (3, 7, 2)))
+    df = df.selectExpr("vol_id", "w", "h", "d", "x AS ex", "y AS ey", "z AS ez", "v / 100 AS u", "'own' AS method").withColumn("on", F.col("u") >= 0.5)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    ref = topology.euler_in_blocks(df, ["vol_id"]).withColumnRenamed("chi", "ref_chi")
+    got = topology.bundle(df.mapInPandas(counted, df.schema), ref, 0.5, [0.3, 0.5, 0.7]).collect()
+    assert seen.value == df.count()
+    alone = {r.vol_id: r.chi for r in topology.euler(df.filter("on"), ["vol_id"]).collect()}
+    assert {r.vol_id: (r.chi, r.ref_chi, r.is_binary) for r in got} == {v: (alone.get(v, 0), alone.get(v, 0), int(v > 1)) for v in (1, 2, 3)}
