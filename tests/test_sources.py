@@ -22,6 +22,19 @@ def test_png_round_trip(spark, tmp_path):
     assert images.listed(spark, str(tmp_path), most=1).count() == 1
 
 
+def test_png_files_are_read_once(spark, tmp_path):
+    from tests.conftest import SF
+    from voxelry.plans.files import QUERIES
+
+    plan = QUERIES["png_files"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Relation") == 1
+    for i in range(40):
+        (tmp_path / f"{i}.png").write_bytes(images.png(np.full((2, 3), i)))
+    got = images.gray_images(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() <= 4  # not one for every few files
+    assert {(r.vol_id, r.w, r.h, r.d, r.x, r.y, r.z, r.v) for r in got.collect()} == {(str(i), 2, 3, 1, x, y, 0, i) for i in range(40) for x in range(2) for y in range(3)}
+
+
 def test_tile_files(spark, voxels, tmp_path):
     tiles = labels.tiles(voxels(v0=np.arange(16).reshape(4, 4)), 2, 2)
     rows = images.tile_files(tiles, 2).orderBy("name").collect()

@@ -24,7 +24,7 @@ def png_files(spark, sf_dir):
     tiles = images.tile_files(labels.tiles(emb(spark, sf_dir, 2), 8, 8), 8)
     images.write_files(tiles, folder).write.format("noop").mode("overwrite").save()
     gray = images.gray_images(spark, folder, "*.png")
-    return images.masks(gray).withColumnRenamed("v", "m").join(gray.select("vol_id", "x", "y", "v"), ["vol_id", "x", "y"]).select("vol_id", "x", "y", "v", "m")
+    return images.masks(gray.withColumn("gray", F.col("v"))).select("vol_id", "x", "y", F.col("gray").alias("v"), F.col("v").alias("m"))
 
 
 @query("SELECT lpad(vec_id::VARCHAR, 9, '0') || '.png' AS name FROM embeddings ORDER BY 1 LIMIT 7")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,17 +32,26 @@ def gray_images(spark: SparkSession, folder: str, pattern: str = "*") -> DataFra
     x runs along the height and y along the width, as rows and columns of the picture.
     """
     files = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", pattern).load(folder).select("image.*")
-
-    def explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples(index=False):
-                p = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels).astype(np.int64)
-                g = p[..., 0] if r.nChannels == 1 else (p[..., 2] * 299 + p[..., 1] * 587 + p[..., 0] * 114 + 500) // 1000
-                x, y = (a.ravel() for a in np.indices(g.shape, dtype=np.int32))
-                name = r.origin.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-                yield pd.DataFrame({"vol_id": name, "w": np.int32(r.height), "h": np.int32(r.width), "d": np.int32(1), "x": x, "y": y, "z": np.int32(0), "v": g.ravel().astype(np.int32)})
-
-    return files.mapInPandas(explode, VOXELS)
+    # many small files make a partition of every few, and a task costs more than they do
+    files = files.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def gray(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            height, width, channels, data, origin = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("height", "width", "nChannels", "data", "origin"))
+            levels = [np.zeros(0, np.int16)]
+            for n, raw in zip(channels, data, strict=True):
+                p = np.frombuffer(raw, np.uint8)
+                if n > 1:
+                    p = p.reshape(-1, n).astype(np.int64)
+                    p = (p[:, 2] * 299 + p[:, 1] * 587 + p[:, 0] * 114 + 500) // 1000
+                levels.append(p.astype(np.int16))
+            ends = np.cumsum([len(p) for p in levels]).astype(np.int32)
+            name = [o.rsplit("/", 1)[-1].rsplit(".", 1)[0] for o in origin]
+            yield pa.record_batch([pa.array(name, pa.string()), pa.array(height, pa.int32()), pa.array(width, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(levels)))], names=["vol_id", "w", "h", "g"])
+
+    at = F.col("_at")
+    voxels = files.mapInArrow(gray, "vol_id string, w int, h int, g array<short>").select("vol_id", "w", "h", F.posexplode("g").alias("_at", "_v"))
+    return voxels.select("vol_id", "w", "h", F.lit(1).alias("d"), F.expr("int(_at div h)").alias("x"), (at % F.col("h")).alias("y"), F.lit(0).alias("z"), F.col("_v").cast("int").alias("v"))
 
 
 def masks(images: DataFrame, share: float = 0.5) -> DataFrame:
