@@ -138,3 +138,11 @@ def test_ids_of_a_wide_tokenizer(spark, tmp_path):
     path = str(tmp_path / "wide.json")
     wide.save(path)
     assert token_output.id_width(path, 2) == "<u4" and token_output.id_width(PATH, 2) == "<u2" and token_output.id_width(PATH, 1 << 16) == "<u4"
+
+
+def test_ids_beyond_the_given_vocabulary(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "one")], "doc_id long, text string")
+    narrow = token_output.write_shards(docs, f"file://{tmp_path}/narrow", PATH, 2, 1 << 16)
+    assert [m["dtype"] for m in narrow] == ["<u2"]
+    with pytest.raises(Exception, match="does not fit <u2"):
+        token_output.write_shards(docs, f"file://{tmp_path}/wide", PATH, 1 << 16, 1 << 16)

@@ -45,10 +45,10 @@ def id_width(tokenizer: str, end_id: int) -> str:
     return "<u2" if most < 1 << 16 else "<u4"
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, kind: str | None = None) -> list[dict]:
-    """Write ``docs`` (doc_id, text) in ascending document order; returns the manifest, a row for each shard. Ids are of type
-    ``kind``, by default as wide as the tokenizer wants; an id beyond it is an error."""
-    kind = kind or id_width(tokenizer, end_id)
+def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocab_size: int | None = None) -> list[dict]:
+    """Write ``docs`` (doc_id, text) in ascending document order; returns the manifest, a row for each shard. Ids are as wide as
+    a vocabulary of ``vocab_size`` wants, by default as the tokenizer wants; an id beyond that width is an error."""
+    kind = id_width(tokenizer, end_id) if vocab_size is None else "<u2" if vocab_size <= 1 << 16 else "<u4"
     limit = int(np.iinfo(np.dtype(kind)).max)
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_tie", F.xxhash64("text"))
