@@ -243,6 +243,57 @@ def test_small_volumes_are_checked_in_their_rows(noise):
     assert rows_of(verify.whole_differing(whole, other, bounds), *columns) == rows_of(verify.differing(cells, propagate.cells_of(other), bounds), *columns)
 
 
+@pytest.mark.parametrize("l_inf", [0, 90, 300])
+def test_grids_that_close_in_step_are_those_that_close_alone(l_inf):
+    rng = np.random.default_rng(3)
+    for size, top, share in (((4, 4, 4), 256, 0.0), ((3, 5, 2), 256, 0.2), ((5, 4, 6), 3, 0.1), ((4, 4, 4), 9000, 0.4), ((1, 2, 5), 256, 0.3)):
+        low, high = propagate.dense_span(rng.integers(0, top, (9, *size)), 1)
+        seeds = np.where(rng.random(low.shape) < share, rng.integers(0, top, low.shape), -1)
+        waits = seeds >= 0
+        rim = np.ones(low.shape[1:], bool)
+        rim[1:-1, 1:-1, 1:-1] = False
+        volume = np.arange(9)[::-1]  # grid i is of volume 8 - i
+        at = np.where(waits, seeds, np.clip(l_inf, low[volume], high[volume]))
+        got = propagate.closed_in_step(low, high, volume, at, waits | rim, ~(waits | rim), l_inf)
+        for i, k in enumerate(volume):
+            low_i, high_i = (np.where(waits[i], seeds[i], a[k]) for a in (low, high))
+            assert (got[i] == propagate.close_levels(low_i, high_i, l_inf, seeds[i])).all()
+
+
+@pytest.mark.parametrize("k, delta, eps, most, shift, one_plane", [(2, 1, 0.5, 8, 0, False), (3, 2, 3.0, 8, 0, False), (2, 1, 0.5, 1, 1, True), (1, 1, 0.5, 8, 0, False)])
+def test_rounds_of_small_volumes_are_in_one_task(noise, k, delta, eps, most, shift, one_plane):
+    found = [decompose.injected(noise, k, delta, 0, most, eps, shift, one_plane, small) for small in (False, True)]
+    (field, took), (small, small_took) = found
+    assert rows_of(propagate.cells_of(small), "vol_id", "w", "h", "d", "ex", "ey", "ez", "u") == rows_of(propagate.cells_of(field), "vol_id", "w", "h", "d", "ex", "ey", "ez", "u")
+    assert rows_of(small_took, "vol_id", "rounds", "converged") == rows_of(took, "vol_id", "rounds", "converged")
+    assert small.count() == 4
+
+
+def test_sweep_of_small_volumes_is_one_pass(spark, noise, monkeypatch):
+    configs = [(2, 1, 0.5), (2, 1, 40.0), (3, 2, 0.5)]
+    columns = ["subject", "K", "delta", "eps", "violations", "rounds"]
+    want = rows_of(experiments.sweep(noise, "v", configs), *columns)
+    stored = []
+    for module in (decompose, experiments):
+        monkeypatch.setattr(module, "checkpointed", lambda df, name, *keys: stored.append(name) or checkpointed(df, name, *keys))
+    got = experiments.sweep(noise, "v", configs, small=True)
+    assert rows_of(got, *columns) == want and len(want) == 12
+    # no round is stored and read again, and no setting has a pass of its own
+    assert not stored and got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    with pytest.raises(ValueError, match="halo"):
+        experiments.sweep(noise, "v", [(2, 0, 0.5)], small=True)
+
+
+def test_bounds_stand_on_the_rows(noise):
+    parts = decompose.slabs(noise, 3, 1)
+    bounds = decompose.bounds_of(parts)
+    whole = propagate.whole(decompose.slab_fields(noise, parts, None, 0, 0)).withColumn("u", F.transform("u", lambda _, i: i * 7919 % 251))  # far from well-composed
+    rows = whole.join(bounds.groupBy("vol_id").agg(F.collect_list("zb").alias("zb")), "vol_id").select(*whole.columns, "zb", F.lit(5).alias("k"))
+    columns = ["vol_id", "n_cells", "n_blocks", "n_violations", "bdry_violations"]
+    want = rows_of(verify.whole_checked(whole, bounds), *columns)
+    assert rows_of(verify.whole_checked(rows, "zb", ("vol_id", "k")), *columns) == want and max(r[-1] for r in want) > 0
+
+
 def test_gaps_of_volumes_dealt_out_are_filled_alike(noise):
     open_ = interpolate.interval_span(noise).withColumn("u", F.when((F.col("ex") + F.col("ey") + F.col("ez")) % 9 == 0, F.col("hi")))
     columns = ["vol_id", "ex", "ey", "ez", "u"]
