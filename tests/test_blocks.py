@@ -1,6 +1,7 @@
 """Volumes in blocks against whole volumes, exact percentiles, box sums, and the data sources."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -284,6 +285,27 @@ def test_sweep_of_small_volumes_is_one_pass(spark, noise, monkeypatch):
         experiments.sweep(noise, "v", [(2, 0, 0.5)], small=True)
 
 
+def test_small_slabs_of_one_shape_and_place_close_in_one_call(monkeypatch):
+    rng = np.random.default_rng(4)
+    parts = []
+    for vol_id in range(6):
+        size, (k, z0, z1, z0e, z1e) = [((4, 3, 5), (0, 0, 3, 0, 4)), ((4, 3, 5), (1, 3, 5, 2, 5)), ((2, 3, 5), (0, 0, 3, 0, 4))][vol_id // 2]
+        same = dict(zip(("w", "h", "d"), size, strict=True)) | {"vol_id": vol_id, "k": k, "n": 2, "z0": z0, "z1": z1, "z0e": z0e, "z1e": z1e}
+        at = np.argwhere(np.ones((*size[:2], z1e - z0e))) + [0, 0, z0e]
+        parts += [{**same, "x": x, "y": y, "z": z, "v": int(rng.integers(0, 256)), "u": None} for x, y, z in at.tolist()]
+        if vol_id % 2:  # the plane at the bound is pinned; such rows have but their slab
+            parts += [{"vol_id": vol_id, "k": k, "x": x, "y": y, "z": 6, "u": int(rng.integers(0, 256))} for x in range(2 * size[0] - 1) for y in range(2 * size[1] - 1)]
+    kind = pa.schema([(n, pa.int64() if n == "vol_id" else pa.int32()) for n in ("vol_id", "w", "h", "d", "x", "y", "z", "v", "k", "n", "z0", "z1", "z0e", "z1e", "u")])
+    table = pa.Table.from_pylist(sorted(parts, key=lambda r: (r["vol_id"], r["x"])), kind)
+    calls = []
+    monkeypatch.setattr(decompose, "closed_in_step", lambda low, *more: calls.append(len(low)) or propagate.closed_in_step(low, *more))
+    rows = lambda: sorted(decompose.closed_slabs(table, blocks.groups(table, ["vol_id", "k"]), 0).to_pylist(), key=lambda r: r["vol_id"])
+    in_step = rows()
+    assert calls == [2, 2, 2] and [(r["first"], len(r["u"])) for r in in_step] == [(0, 7 * 5 * 6)] * 2 + [(6, 7 * 5 * 3)] * 2 + [(0, 3 * 5 * 6)] * 2
+    monkeypatch.setattr(decompose, "SMALL", 0)
+    assert rows() == in_step and len(calls) == 3
+
+
 def test_bounds_stand_on_the_rows(noise):
     parts = decompose.slabs(noise, 3, 1)
     bounds = decompose.bounds_of(parts)
